@@ -1,9 +1,9 @@
 r"""Quality rules: log-likelihood ratio of hashed n-grams between trusted texts and the raw corpus.
 
 Words ``[^\x20\x09-\x0D]+`` and pairs of neighbouring words are hashed into ``buckets``.  Two multinomials over the
-buckets, add-``smoothing`` smoothed, are counted: one of the trusted texts (documents labelled of good quality, at
-most ``trusted`` of them, chosen by a hash of the id), one of all documents.  The smoothing keeps words that stand
-in one text only from telling trusted texts from others.  A document's ``score`` is the sum of ``ln(target / raw)`` over its
+buckets are counted: one of the trusted texts (documents labelled of good quality, at most ``trusted`` of them,
+chosen by a hash of the id), one of all documents.  ``smoothing`` is added to the trusted count and, scaled to the
+size of the corpus, to the raw count, so that words of one text only do not tell trusted texts from others.  A document's ``score`` is the sum of ``ln(target / raw)`` over its
 n-grams, divided by their number; it is kept when it passes the base rules and its score reaches ``threshold``.
 
 Everything is DataFrame functions: word hashes, pair hashes (by zipping an array with itself shifted) and window
@@ -54,16 +54,14 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int
 
 
 def weights(counts: list[tuple[int, int, int]], buckets: int, smoothing: float) -> list[float]:
-    raw, target = [0] * buckets, [0] * buckets
-    for b, r, t in counts:
-        raw[b], target[b] = r, t
-    r_all, t_all = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
-    if not any(target):
-        return [0.0] * buckets
-    return [math.log((t + smoothing) / t_all) - math.log((r + smoothing) / r_all) for r, t in zip(raw, target, strict=True)]
+    r_all, t_all = sum(r for _, r, _ in counts), sum(t for _, _, t in counts)
+    out = [0.0] * buckets
+    for b, r, t in counts if t_all else ():
+        out[b] = math.log(t + smoothing) - math.log(r * t_all / r_all + smoothing)
+    return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 20.0, threshold: float = -0.1,
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, threshold: float = -0.085,
           trusted: int = 50_000) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
