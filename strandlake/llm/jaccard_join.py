@@ -6,11 +6,12 @@ Two texts are linked if their sets have a Jaccard similarity of ``threshold`` or
 1. Every text becomes a digest of its set, 128 MinHash values (of which one byte each is kept) and 32 bands of four
    values.  Texts of equal sets are one class; all that follows is between classes.  A pair at 0.8 shares no band
    with a probability of 5e-8.
-2. Classes that share a band are candidates.  A band's classes are cut into blocks of about ``block`` and a task
-   compares two blocks, so no group is ever gathered whole.  Of the bands that a pair shares, only the first
-   compares it.  MinHash bytes are compared 16 at a time; after each step a pair is dropped if the posterior
-   probability of its similarity reaching the threshold (from a uniform prior) is below ``tolerance``.
-3. The remaining pairs are packed by blocks of classes; each block pair gets the shingle sets of its classes once
+2. Classes that share a band are candidates.  Every class has a home, a block of about ``block`` classes of the
+   largest band that it shares; homes that meet in a band are compared, each pair of homes by one task and once,
+   so no group is ever gathered whole.  MinHash bytes are compared 16 at a time; after each step a pair is dropped
+   if the posterior probability of its similarity reaching the threshold (from a uniform prior) is below
+   ``tolerance``.
+3. The remaining pairs are packed by pairs of homes; each gets the shingle sets of its classes once
    and counts the shared shingles exactly.  It returns a row per class: its links and a tree of its block, not the
    pairs.
 4. Groups are the connected components of the trees, by alternating stars with checkpoints in between.
@@ -140,13 +141,16 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield held
 
 
-def starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+def split(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys, one by one."""
     fresh = np.zeros(rows.num_rows, bool)
     fresh[0] = True
     for k in keys:
         column = rows.column(k).to_numpy()
         fresh[1:] |= column[1:] != column[:-1]
-    return np.flatnonzero(fresh)
+    begin = np.flatnonzero(fresh)
+    for a, b in zip(begin, np.append(begin[1:], rows.num_rows), strict=True):
+        yield rows.slice(a, b - a)
 
 
 def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -155,97 +159,69 @@ def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-TASK = ["band", "bucket", "one", "two"]
+HOME = ["one_home", "two_home"]
 
 
-def prune(rows: pa.Table, needed: list[int], threshold: Fraction) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
-    """Surviving pairs of whole tasks, by pair of blocks: block, block, keys, and positions of both sides in keys."""
+def prune(rows: pa.Table, needed: list[int], threshold: Fraction) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Surviving pairs of one pair of home blocks: the keys of their classes, and the positions of both sides in them."""
     sig, bands = fixed(rows.column("sig"), np.uint8), fixed(rows.column("bands"), np.uint32)
-    size, home, own = (rows.column(c).to_numpy() for c in ("size", "home", "own"))
-    band, one, two = (rows.column(c).to_numpy() for c in ("band", "one", "two"))
-    keys = rows.column("set_key").to_pylist()
-    begin = starts(rows, TASK)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush() -> None:
-        if not left:
-            return
-        i, j = np.concatenate(left), np.concatenate(right)
-        left.clear(), right.clear()
+    size, home = rows.column("size").to_numpy(), rows.column("home").to_numpy()
+    here = home == rows.column("one_home")[0].as_py()
+    if here.all():
+        left, right = np.triu_indices(len(home), 1)
+    else:
+        left, right = (v.ravel() for v in np.meshgrid(np.flatnonzero(here), np.flatnonzero(~here)))
+    kept = []
+    for at in range(0, len(left), 50_000):
+        i, j = left[at : at + 50_000], right[at : at + 50_000]
         fits = np.minimum(size[i], size[j]) * threshold.denominator >= np.maximum(size[i], size[j]) * threshold.numerator
         i, j = i[fits], j[fits]
-        first = (bands[i] == bands[j]).argmax(1) == band[i]
-        i, j = i[first], j[first]
+        shared = (bands[i] == bands[j]).any(1)
+        i, j = i[shared], j[shared]
         matches = np.zeros(len(i), np.int64)
-        for at, least in zip(range(0, HASHES, STEP), needed, strict=True):
-            matches += (sig[i, at : at + STEP] == sig[j, at : at + STEP]).sum(1)
+        for step, least in zip(range(0, HASHES, STEP), needed, strict=True):
+            matches += (sig[i, step : step + STEP] == sig[j, step : step + STEP]).sum(1)
             stay = matches >= least
             i, j, matches = i[stay], j[stay], matches[stay]
-        kept.append((i, j))
-
-    waiting = 0
-    for a, b in zip(begin, np.append(begin[1:], rows.num_rows), strict=True):
-        if one[a] == two[a]:
-            x, y = np.triu_indices(b - a, 1)
-        else:
-            mine = own[a:b] == one[a]
-            x, y = (v.ravel() for v in np.meshgrid(np.flatnonzero(mine), np.flatnonzero(~mine)))
-        left.append(x + a), right.append(y + a)
-        waiting += len(x)
-        if waiting > 50_000:
-            flush()
-            waiting = 0
-    flush()
-    i, j = (np.concatenate([k[s] for k in kept]) if kept else np.zeros(0, np.int64) for s in (0, 1))
-    if not len(i):
-        return
-    swap = home[i] > home[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((home[j], home[i]))
-    i, j = i[order], j[order]
-    edges = np.flatnonzero(np.append(True, (home[i][1:] != home[i][:-1]) | (home[j][1:] != home[j][:-1])))
-    for a, b in zip(edges, np.append(edges[1:], len(i)), strict=True):
-        used, back = np.unique(np.concatenate([i[a:b], j[a:b]]), return_inverse=True)
-        yield int(home[i[a]]), int(home[j[a]]), [keys[k] for k in used], back[: b - a], back[b - a :]
+        kept.append(np.stack([i, j]))
+    both = np.concatenate(kept, 1) if kept else np.zeros((2, 0), np.int64)
+    used, back = np.unique(both, return_inverse=True)
+    back = back.reshape(2, -1).astype(np.int32)
+    return rows.column("set_key").take(pa.array(used, pa.int64())).to_pylist(), back[0], back[1]
 
 
 def candidates(classes: DataFrame, block: int, tolerance: float, threshold: Fraction) -> DataFrame:
-    """one_home, two_home, keys, left, right: pairs that survive the pruning, packed by pair of home blocks."""
+    """one_home, two_home, keys, left, right: pairs that survive the pruning, packed by pair of home blocks.
+
+    The home of a class is a block of the largest band that it shares.  Homes that meet in a band are compared.
+    """
     place = F.expr(f"explode(sequence(0, {BANDS - 1}))")
     rows = classes.select("set_key", "bands", place.alias("band")).select(
         "set_key", "band", F.xxhash64("band", F.substring("bands", F.col("band") * 4 + 1, F.lit(4))).alias("bucket")
     )
     shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("many")).where("many > 1")
     rows = rows.join(shared, ["band", "bucket"])
-    spread = lambda n: F.pmod(F.xxhash64("set_key"), F.ceil(n / block)).cast("int")
     most = rows.groupBy("set_key").agg(F.max(F.struct("many", "bucket")).alias("m"))
-    homes = most.select("set_key", F.xxhash64("m.bucket", spread(F.col("m.many"))).alias("home"))
-    dealt = rows.withColumn("own", spread(F.col("many"))).withColumn(
-        "other", F.explode(F.expr(f"sequence(0, cast(ceil(many / {block}) as int) - 1)"))
-    )
-    dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    ready = dealt.join(classes.join(homes, "set_key"), "set_key").select(*TASK, "own", "home", "size", "set_key", "sig", "bands")
+    part = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("m.many") / block))
+    homes = most.select("set_key", F.xxhash64("m.bucket", part).alias("home"))
+    meet = rows.join(homes, "set_key").select("band", "bucket", "home").distinct()
+    other = meet.withColumnRenamed("home", "two_home")
+    pairs = meet.withColumnRenamed("home", "one_home").join(other, ["band", "bucket"]).where("one_home <= two_home").select(*HOME).distinct()
+    sides = [pairs.join(homes, pairs["one_home"] == homes["home"]), pairs.where("one_home < two_home").join(homes, pairs["two_home"] == homes["home"])]
+    ready = sides[0].unionByName(sides[1]).join(classes.select("set_key", "size", "sig", "bands"), "set_key")
     needed = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups_of(batches, TASK):
-            found = list(prune(whole, needed, threshold))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([f[1] for f in found], pa.int64()),
-                        pa.array([f[2] for f in found], pa.list_(pa.binary())),
-                        pa.array([f[3].astype(np.int32).tobytes() for f in found], pa.binary()),
-                        pa.array([f[4].astype(np.int32).tobytes() for f in found], pa.binary()),
-                    ],
-                    names=["one_home", "two_home", "keys", "left", "right"],
-                )
+        for whole in groups_of(batches, HOME):
+            for part in split(whole, HOME):
+                keys, left, right = prune(part, needed, threshold)
+                if keys:
+                    first = [pa.array([part.column(c)[0].as_py()], pa.int64()) for c in HOME]
+                    rest = [pa.array([keys], pa.list_(pa.binary())), *(pa.array([v.tobytes()], pa.binary()) for v in (left, right))]
+                    yield pa.RecordBatch.from_arrays(first + rest, names=[*HOME, "keys", "left", "right"])
 
     schema = "one_home long, two_home long, keys array<binary>, left binary, right binary"
-    return ready.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(run, schema)
+    return ready.repartition(*HOME).sortWithinPartitions(*HOME, "set_key").mapInArrow(run, schema)
 
 
 def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes, int]]:
@@ -297,8 +273,7 @@ def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes,
 def linked_classes(docs: DataFrame, classes: DataFrame, block: int, tolerance: float, threshold: Fraction) -> DataFrame:
     """set_key, root, links: partial link counts and tree edges of all verified pairs."""
     packed = cut(candidates(classes, block, tolerance, threshold))
-    home = ["one_home", "two_home"]
-    wanted = packed.select(*home, F.explode("keys").alias("set_key")).distinct()
+    wanted = packed.select(*HOME, F.explode("keys").alias("set_key"))
     ids = wanted.select("set_key").distinct().join(classes.select("set_key", "doc_id", "rows"), "set_key")
 
     def sets(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -315,19 +290,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame, block: int, tolerance: f
     known = ids.join(every, F.col("set_key") == F.col("key")).select("set_key", "rows", "found")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     with_sets = wanted.join(known, "set_key").select(
-        *home, "set_key", "rows", "found", none("array<binary>", "keys"), none("binary", "left"), none("binary", "right")
+        *HOME, "set_key", "rows", "found", none("array<binary>", "keys"), none("binary", "left"), none("binary", "right")
     )
-    with_pairs = packed.select(*home, none("binary", "set_key"), none("long", "rows"), none("binary", "found"), "keys", "left", "right")
+    with_pairs = packed.select(*HOME, none("binary", "set_key"), none("long", "rows"), none("binary", "found"), "keys", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups_of(batches, home):
-            begin = starts(whole, home)
-            for a, b in zip(begin, np.append(begin[1:], whole.num_rows), strict=True):
-                if out := list(verify(whole.slice(a, b - a), threshold)):
+        for whole in groups_of(batches, HOME):
+            for part in split(whole, HOME):
+                if out := list(verify(part, threshold)):
                     arrays = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["set_key", "root", "links"])
 
-    both = with_sets.unionByName(with_pairs).repartition(*home).sortWithinPartitions(*home)
+    both = with_sets.unionByName(with_pairs).repartition(*HOME).sortWithinPartitions(*HOME)
     return both.mapInArrow(run, "set_key binary, root binary, links long")
 
 
