@@ -1,4 +1,33 @@
 """Queries and oracle SQL by operator id."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandlake.plans import placement, sequences, statistics, structure
+from strandlake.plans.model import with_views
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL
+
+
+def load(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """The given tables that a query names, as temporary views."""
+    for name in TABLES:
+        if name in sql:
+            spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = with_views(sql)
+        load(spark, sf_dir, text)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: runner(sql) for name, sql in SQL.items()}
+ORACLES: dict[str, str] = {name: with_views(sql, duck=True) for name, sql in SQL.items()}
