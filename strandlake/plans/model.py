@@ -3,6 +3,9 @@
 ``lineitem`` rows are reads, ``orders`` contigs, ``customer.c_nationkey`` their project; two reads share a template.
 Every view is whole: no row of the tables is left out.  ``with_views`` prefixes a query with the views it needs.
 
+Sequences are cut into chunks of 200 letters (with 20 of the next) before they are read letter by letter, as both
+engines count letters from the start of a string.
+
 Macros: ``SERIES[n]`` is 1..n as rows (in a select list), ``RXALL[s; pattern; to]`` replaces every match,
 ``JOINED[value; separator; order]`` joins strings of a group in order.
 """
@@ -68,8 +71,10 @@ VIEWS = {
         case when event_id%5=0 then null else ts end as endtime from events""",
     "a_seq": """select doc_id as seq_id, translate(lower(text),'abcdefghijklmnopqrstuvwxyz','acgtacgtacgtacgtacgtacgtac') as dna
       from documents where text is not null""",
-    "a_base_at": """select seq_id, pos, substr(dna,cast(pos as int),1) as base, ascii(substr(dna,cast(pos as int),1))%41 as q
-      from (select seq_id, dna, SERIES[length(dna)] as pos from a_seq where length(dna)>0) x""",
+    "a_chunk": """select seq_id, (c-1)*200 as before, substr(dna,cast((c-1)*200+1 as int),220) as part, least(200,length(dna)-(c-1)*200) as n
+      from (select seq_id, dna, SERIES[floor((length(dna)+199)/200.0)] as c from a_seq where length(dna)>0) x""",
+    "a_base_at": """select seq_id, before+i as pos, substr(part,cast(i as int),1) as base, ascii(substr(part,cast(i as int),1))%41 as q
+      from (select seq_id, before, part, SERIES[n] as i from a_chunk) x""",
     "a_mapping": """select contig_id, seq_id, direction, min(cstart) as cstart, max(cstart+length-1) as cfinish,
         min(case when direction='Forward' then rstart else rstart-length+1 end) as rmin,
         max(case when direction='Forward' then rstart+length-1 else rstart end) as rmax, count(*) as segments

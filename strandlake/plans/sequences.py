@@ -10,15 +10,16 @@ _CLIP = """f as (select seq_id, pos, q-15 as d, sum(q-15) over (partition by seq
     clip as (select b.seq_id, max(case when g.pos<=b.at and g.up=0 then g.pos else 0 end)+1 as qleft,
       coalesce(min(case when g.pos>=b.at and g.down=0 then g.pos end), max(g.pos)+1)-1 as qright
       from best b join g on g.seq_id=b.seq_id where b.score>0 group by b.seq_id)"""
-_KMER = "k as (select seq_id, i+7 as centre, substr(dna,cast(i as int),15) as kmer from (select seq_id, dna, SERIES[length(dna)-14] as i from a_seq where length(dna)>=15) x)"
-_PILE = """p as (select m.contig_id, m.cstart+i as pos, m.direction, substr(s.dna,cast(1+(i%length(s.dna)) as int),1) as base,
-      ascii(substr(s.dna,cast(1+(i%length(s.dna)) as int),1))%41 as q
-      from (select contig_id, seq_id, cstart, direction, SERIES[cfinish-cstart+1]-1 as i from a_curmap) m
+_KMER = """k as (select seq_id, before+i+7 as centre, substr(part,cast(i as int),15) as kmer
+      from (select seq_id, before, part, SERIES[least(n,length(part)-14)] as i from a_chunk where length(part)>=15) x)"""
+_PILE = """p as (select m.contig_id, m.cstart+i-1 as pos, m.direction, substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1) as base,
+      ascii(substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1))%41 as q
+      from (select contig_id, seq_id, cstart, direction, SERIES[cfinish-cstart+1] as i from a_curmap) m
       join (select seq_id, dna from a_seq where length(dna)>0) s on s.seq_id=m.seq_id)"""
 
 SQL = {
     "fn_revcomp": f"select seq_id, {_RC.format('dna')} as revcomp from a_seq",
-    "fn_gc": """select seq_id, case when length(dna)=0 then null else 100-100.0*length(translate(dna,'gcGC',''))/length(dna) end as gc from a_seq""",
+    "fn_gc": """select seq_id, case when length(dna)=0 then null else 100-100*cast(length(translate(dna,'gcGC','')) as double)/length(dna) end as gc from a_seq""",
     "fn_strip": "select seq_id, RXALL[dna; '(n|x|N|X|-)'; ''] as stripped from a_seq",
     "fn_n_to_x": "select seq_id, translate(dna,'nN?','xxx') as masked from a_seq",
     "fn_mask": "select seq_id, concat(repeat('x',least(length(dna),20)),substr(dna,21)) as masked from a_seq",
@@ -32,8 +33,8 @@ SQL = {
         least(min(q.qright), min(case when m.rmin>1 then m.rmin else 300 end)) as qright
         from a_mapping m join a_qualityclip q on q.seq_id=m.seq_id group by m.seq_id""",
     "end_trim": f"with {_CLIP} select s.seq_id, substr(s.dna,cast(c.qleft as int),cast(c.qright-c.qleft+1 as int)) as trimmed from a_seq s join clip c on c.seq_id=s.seq_id where c.qright>=c.qleft",
-    "digest": """with site as (select seq_id, i as pos from (select seq_id, dna, SERIES[length(dna)-3] as i from a_seq where length(dna)>=4) x
-          where substr(dna,cast(i as int),4) in ('gatc','gacc','aatt'))
+    "digest": """with site as (select seq_id, before+i as pos from (select seq_id, before, part, SERIES[least(n,length(part)-3)] as i from a_chunk where length(part)>=4) x
+          where substr(part,cast(i as int),4) in ('gatc','gacc','aatt'))
         select seq_id, pos, lead(pos) over (partition by seq_id order by pos)-pos as fragment from site""",
     "fn_oligo_pattern": "select seq_id, regexp_extract(dna,'a-*c-*a-*c',0) as first_hit from a_seq",
     "fn_padded_quality": """select seq_id, pos, q1+cast(floor((q2-q1)/2.0) as int) as q from (select seq_id, pos, base,
@@ -60,9 +61,9 @@ SQL = {
           group by a.seq_id, b.seq_id, a.centre-b.centre)
         select seq_a, seq_b, shift, n from (select *, row_number() over (partition by seq_a, seq_b order by n desc, shift) as k from c) x where k=1 and n>=10""",
     "oligo_search": """with o as (select 'acgtacgtac' as oligo union all select 'ttgacgatca' union all select 'gattacagat' union all select 'cgcacgcacg'),
-        both as (select oligo, oligo as pattern, 'F' as strand from o union all select oligo, translate(reverse(oligo),'acgt','tgca'), 'R' from o)
-        select b.oligo, b.strand, s.seq_id, i as offset_1 from (select seq_id, dna, SERIES[length(dna)-9] as i from a_seq where length(dna)>=10) s
-        join both b on substr(s.dna,cast(i as int),10)=b.pattern""",
+        either as (select oligo, oligo as pattern, 'F' as strand from o union all select oligo, translate(reverse(oligo),'acgt','tgca'), 'R' from o)
+        select b.oligo, b.strand, s.seq_id, before+i as offset_1 from (select seq_id, before, part, SERIES[least(n,length(part)-9)] as i from a_chunk where length(part)>=10) s
+        join either b on substr(s.part,cast(i as int),10)=b.pattern""",
     "oligo_tag": """select seq_id, position('acgc' in dna) as first_base, position('acgc' in dna)+3 as last_base from a_seq where position('acgc' in dna)>0""",
     "pileup": f"with {_PILE} select contig_id, pos, direction, base, q, count(*) as reads from p group by contig_id, pos, direction, base, q",
     "consensus_vote": f"""with {_PILE}, v as (select contig_id, pos, case when base in ('a','c','g','t') then base else '*' end as base, sum(q) as score from p
