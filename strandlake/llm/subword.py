@@ -28,7 +28,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label``: labelled documents of each class that are learned from, at most.
+    """``per_label``: labelled documents of class 0 and of class 1 that are learned from, at most.
 
     ``natural``: the constant is moved from the sample's odds to the odds among all labelled documents.
     """
@@ -38,13 +38,13 @@ class Settings:
     shortest: int = 3
     longest: int = 5
     buckets: int = 1 << 18
-    width: int = 10
-    per_label: int = 1500
+    width: int = 5
+    per_label: tuple[int, int] = (4000, 1500)
     epochs: int = 6
     batch: int = 32
-    rate: float = 0.3
+    rate: float = 1.0
     seed: int = 11
-    natural: bool = True
+    natural: bool = False
 
 
 def words_of(text: str | None, lower: bool) -> list[str]:
@@ -91,7 +91,7 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[int, l
     """
     known = known_labels(labels, s)
     chosen = [
-        known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_label) for y in (0, 1)
+        known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_label[y]) for y in (0, 1)
     ]
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
 
