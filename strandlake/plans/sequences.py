@@ -60,10 +60,10 @@ SQL = {
         c as (select a.seq_id as seq_a, b.seq_id as seq_b, a.centre-b.centre as shift, count(*) as n from g a join g b on a.kmer=b.kmer and a.seq_id<b.seq_id
           group by a.seq_id, b.seq_id, a.centre-b.centre)
         select seq_a, seq_b, shift, n from (select *, row_number() over (partition by seq_a, seq_b order by n desc, shift) as k from c) x where k=1 and n>=10""",
-    "oligo_search": """with o as (select 'acgtacgtac' as oligo union all select 'ttgacgatca' union all select 'gattacagat' union all select 'cgcacgcacg'),
+    "oligo_search": """with o as (select 'acgta' as oligo union all select 'ttgac' union all select 'gatta' union all select 'cgcac'),
         either as (select oligo, oligo as pattern, 'F' as strand from o union all select oligo, translate(reverse(oligo),'acgt','tgca'), 'R' from o)
-        select b.oligo, b.strand, s.seq_id, before+i as offset_1 from (select seq_id, before, part, SERIES[least(n,length(part)-9)] as i from a_chunk where length(part)>=10) s
-        join either b on substr(s.part,cast(i as int),10)=b.pattern""",
+        select b.oligo, b.strand, s.seq_id, before+i as offset_1 from (select seq_id, before, part, SERIES[least(n,length(part)-4)] as i from a_chunk where length(part)>=5) s
+        join either b on substr(s.part,cast(i as int),5)=b.pattern""",
     "oligo_tag": """select seq_id, position('acgc' in dna) as first_base, position('acgc' in dna)+3 as last_base from a_seq where position('acgc' in dna)>0""",
     "pileup": f"with {_PILE} select contig_id, pos, direction, base, q, count(*) as reads from p group by contig_id, pos, direction, base, q",
     "consensus_vote": f"""with {_PILE}, v as (select contig_id, pos, case when base in ('a','c','g','t') then base else '*' end as base, sum(q) as score from p
