@@ -152,7 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         out = []
         for text, spans in zip(utf8(batch.column("text")), batch.column(FOUND).to_pylist(), strict=True):
             if spans:
-                words = [m.span() for m in WORD.finditer(text)]
+                words = [m.span() for m in WORD.finditer(text.lower())]  # bytes.lower() changes A-Z only
                 kept, at = [], 0
                 for s in spans:
                     kept.append(text[at : words[s["first"]][0]])

@@ -66,6 +66,8 @@ def test_decontamination(spark, docs, texts):
             row = next(r for (_, t), r in found.items() if t == text)
             assert row["__words"] == len(w)
             assert {k for s in row["__spans"] for k in range(s["first"], s["last"] + 1)} == hit
+    loud = spark.createDataFrame([(1, "Before, ONE Two! After", "en", "a", 22, "x")], SCHEMA)
+    assert [(r["text"], r["n_chars"]) for r in decontaminate.clean(loud, bench).collect()] == [("Before, ! After", 15)]
     clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns
     assert not [r for r in decontaminate.find(clean, bench).collect() if r["__spans"] and r["text"] in texts]
