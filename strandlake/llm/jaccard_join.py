@@ -321,7 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
             return roots.unionByName(edges.select(F.col("a").alias("key"), F.col("b").alias("root")))
 
 
-def grouped(docs: DataFrame, block: int = 256, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD) -> DataFrame:
+def grouped(docs: DataFrame, block: int = 512, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, text_key (MD5 of the text), set_key, group (digest of its first class), class_id and n_links per row."""
     slim = docs.select("doc_id", "text")
     signed = cut(signatures(slim.withColumn("text_key", F.unhex(F.md5("text")))))
