@@ -12,7 +12,7 @@ each word to the mean of its buckets' numbers; a document's logit is the mean ov
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,11 +83,11 @@ def known_labels(labels: DataFrame, s: Settings) -> DataFrame:
     return labels.select("doc_id", F.col(s.label).cast("int").alias("__y")).na.drop().where(~held_out()).distinct()
 
 
-def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[int, list[str], list[int]]]:
-    """Label, words and counts of up to ``per_label`` documents of each class, none of them held out.
+def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> pa.Table:
+    """Columns __y, words (joined by blanks) and counts of up to ``per_label`` documents of each class, none held out.
 
     The choice follows a hash of the id, so it is the same in every run; texts are counted where they lie and
-    only the counts come to the driver.
+    only the counts come to the driver, as Arrow columns.
     """
     known = known_labels(labels, s)
     chosen = [
@@ -98,40 +98,56 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[int, l
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         counts = [Counter(words_of(t, s.lower)) for t in batch.column("text").to_pylist()]
         return {
-            "words": pa.array([list(c) for c in counts], pa.list_(pa.string())),
+            "words": pa.array([" ".join(c) for c in counts], pa.string()),
             "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
         }
 
-    fields = [("words", T.ArrayType(T.StringType())), ("counts", T.ArrayType(T.IntegerType()))]
-    rows = map_rows(picked, work, fields, ["doc_id", "__y"]).collect()
-    return [(r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1], len(r[2]), r[2])) if r[2]]
+    fields = [("words", T.StringType()), ("counts", T.ArrayType(T.IntegerType()))]
+    rows = map_rows(picked, work, fields, ["doc_id", "__y"]).where("words <> ''").toArrow()
+    return rows.sort_by([("doc_id", "ascending"), ("__y", "ascending"), ("words", "ascending")])
 
 
-def train(rows: list[tuple[int, list[str], list[int]]], s: Settings) -> tuple[np.ndarray, float]:
+def one_by_one(rows: pa.Table) -> Iterator[tuple[int, list[str], list[int]]]:
+    """Label, words and counts of each sampled document; only one document exists as Python objects at a time."""
+    for y, words, counts in zip(*(rows.column(c) for c in ("__y", "words", "counts")), strict=True):
+        yield y.as_py(), words.as_py().split(), counts.as_py()
+
+
+def train(rows: Iterable[tuple[int, list[str], list[int]]], s: Settings) -> tuple[np.ndarray, float]:
     """One number per bucket and a constant: the logit of class 1 against class 0."""
-    if len({y for y, _, _ in rows}) < 2:
-        share = (sum(y for y, _, _ in rows) + 1) / (len(rows) + 2)
+    vocabulary: dict[str, int] = {}
+    labels, bags = [], []
+    for label, words, counts in rows:
+        labels.append(label)
+        bags.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32), np.array(counts, np.int32)))
+    y = np.array(labels, np.int64)
+    if len(set(labels)) < 2:
+        share = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share)))
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in rows for w in words}))}
-    flat, begins = buckets_of(list(vocabulary), s)
-    sizes = np.diff(np.append(begins, len(flat)))
+    names, flat, sizes = list(vocabulary), [], []
+    for at in range(0, len(names), 20_000):  # words are hashed alone; parts bound the arrays that exist at a time
+        found, begins = buckets_of(names[at : at + 20_000], s)
+        flat.append(found.astype(np.int32))
+        sizes.append(np.diff(np.append(begins, len(found))))
+    del vocabulary, names
+    flat, sizes = np.concatenate(flat), np.concatenate(sizes)
+    begins = np.cumsum(sizes) - sizes
     column, value = [], []
-    for _, words, counts in rows:
-        ids = np.array([vocabulary[w] for w in words])
-        share = np.array(counts, np.float64) / sum(counts) / sizes[ids]
+    for ids, counts in bags:
         n = sizes[ids]
+        share = counts / counts.sum() / n
         at = np.repeat(begins[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         bucket, back = np.unique(flat[at], return_inverse=True)
         column.append(bucket)
         value.append(np.bincount(back, np.repeat(share, n)).astype(np.float32))
-    y = np.array([r[0] for r in rows])
+    del bags, flat
     rng = np.random.RandomState(s.seed)
     vectors = (rng.uniform(-1, 1, (s.buckets, s.width)) / s.width).astype(np.float32)
     weights, bias = rng.normal(0, 1, (s.width, 2)).astype(np.float32), np.zeros(2)
     seen = np.full(s.buckets, 1e-8)
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(y))
         for at in range(0, len(order), s.batch):
             batch = order[at : at + s.batch]
             cols, vals = np.concatenate([column[i] for i in batch]), np.concatenate([value[i] for i in batch])
@@ -179,10 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, s: Settings, threshold: float)
     """
     spark = docs.sparkSession
     rows = sample(docs, labels, s)
-    bucket_values, bias = train(rows, s)
-    if s.natural and 0 < (ones := sum(y for y, _, _ in rows)) < len(rows):
+    bucket_values, bias = train(one_by_one(rows), s)
+    if s.natural and 0 < (ones := int(rows.column("__y").to_numpy().sum())) < rows.num_rows:
         share = known_labels(labels, s).agg(F.avg("__y")).first()[0]
-        bias += float(np.log(share / (1 - share)) - np.log(ones / (len(rows) - ones)))
+        bias += float(np.log(share / (1 - share)) - np.log(ones / (rows.num_rows - ones)))
     model = spark.sparkContext.broadcast((bucket_values, bias))
     held: dict[str, Scorer] = {}
 
