@@ -6,12 +6,14 @@ Two texts are linked if their sets have a Jaccard similarity of ``threshold`` or
 1. Every text becomes a digest of its set, 128 MinHash values (of which one byte each is kept) and 32 bands of four
    values.  Texts of equal sets are one class; all that follows is between classes.  A pair at 0.8 shares no band
    with a probability of 5e-8.
-2. Classes that share a band are candidates.  Every class has a home, a block of about ``block`` classes of the
-   largest band that it shares; homes that meet in a band are compared, each pair of homes by one task and once,
-   so no group is ever gathered whole.  MinHash bytes are compared 16 at a time; after each step a pair is dropped
-   if the posterior probability of its similarity reaching the threshold (from a uniform prior) is below
+2. Classes that share a band are candidates.  Classes whose bands lead to the same largest band, over one band
+   between them at most, are a neighbourhood.  It is dealt to blocks of about ``block`` classes, but to ``parts``
+   blocks at most unless they would exceed ``most`` classes; blocks that meet in a band are compared, each pair of
+   blocks by one task and once.  So a class travels to ``parts`` + 1 tasks of its neighbourhood at most, however large
+   that is, and no group is gathered whole.  MinHash bytes are compared 16 at a time; after each step a pair is
+   dropped if the posterior probability of its similarity reaching the threshold (from a uniform prior) is below
    ``tolerance``.
-3. The remaining pairs are packed by pairs of homes; each gets the shingle sets of its classes once
+3. The remaining pairs are packed by pairs of blocks; each gets the shingle sets of its classes once
    and counts the shared shingles exactly.  It returns a row per class: its links and a tree of its block, not the
    pairs.
 4. Groups are the connected components of the trees, by alternating stars with checkpoints in between.
@@ -162,19 +164,19 @@ def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 HOME = ["one_home", "two_home"]
 
 
-def prune(rows: pa.Table, needed: list[int], threshold: Fraction) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Surviving pairs of one pair of home blocks: the keys of their classes, and the positions of both sides in them."""
+def prune(rows: pa.Table, needed: list[int], threshold: Fraction, slab: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of one pair of blocks, as positions in ``rows``, from about ``slab`` compared pairs at a time."""
     sig, bands = fixed(rows.column("sig"), np.uint8), fixed(rows.column("bands"), np.uint32)
     size, home = rows.column("size").to_numpy(), rows.column("home").to_numpy()
     here = home == rows.column("one_home")[0].as_py()
-    if here.all():
-        left, right = np.triu_indices(len(home), 1)
-    else:
-        left, right = (v.ravel() for v in np.meshgrid(np.flatnonzero(here), np.flatnonzero(~here)))
-    kept = []
-    for at in range(0, len(left), 50_000):
-        i, j = left[at : at + 50_000], right[at : at + 50_000]
+    alone = bool(here.all())
+    first, second = np.flatnonzero(here), np.flatnonzero(here if alone else ~here)
+    width = max(1, slab // max(1, len(second)))
+    for at in range(0, len(first), width):
+        i, j = (v.ravel() for v in np.meshgrid(first[at : at + width], second, indexing="ij"))
         fits = np.minimum(size[i], size[j]) * threshold.denominator >= np.maximum(size[i], size[j]) * threshold.numerator
+        if alone:
+            fits &= i < j
         i, j = i[fits], j[fits]
         shared = (bands[i] == bands[j]).any(1)
         i, j = i[shared], j[shared]
@@ -183,66 +185,94 @@ def prune(rows: pa.Table, needed: list[int], threshold: Fraction) -> tuple[list[
             matches += (sig[i, step : step + STEP] == sig[j, step : step + STEP]).sum(1)
             stay = matches >= least
             i, j, matches = i[stay], j[stay], matches[stay]
-        kept.append(np.stack([i, j]))
-    both = np.concatenate(kept, 1) if kept else np.zeros((2, 0), np.int64)
-    used, back = np.unique(both, return_inverse=True)
-    back = back.reshape(2, -1).astype(np.int32)
-    return rows.column("set_key").take(pa.array(used, pa.int64())).to_pylist(), back[0], back[1]
+        if len(i):
+            yield i, j
 
 
-def candidates(classes: DataFrame, block: int, tolerance: float, threshold: Fraction) -> DataFrame:
-    """one_home, two_home, keys, left, right: pairs that survive the pruning, packed by pair of home blocks.
+def homes_of(rows: DataFrame, block: int, parts: int, most: int) -> DataFrame:
+    """set_key, home for every class of ``rows`` (set_key, bucket, many: the bands that several classes share)."""
+    largest = lambda df, key: df.groupBy(key).agg(F.max("m").alias("m"))
+    own = largest(rows.select("set_key", F.struct("many", "bucket").alias("m")), "set_key")
+    next_to = largest(rows.select("set_key", "bucket").join(own, "set_key"), "bucket")
+    led = largest(rows.select("set_key", "bucket").join(next_to, "bucket"), "set_key").select("set_key", F.col("m.bucket").alias("lead"))
+    n = led.groupBy("lead").agg(F.count("*").alias("n"))
+    count = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(parts)), F.ceil(F.col("n") / most))
+    return led.join(n, "lead").select("set_key", F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), count)).alias("home"))
 
-    The home of a class is a block of the largest band that it shares.  Homes that meet in a band are compared.
+
+def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, block: int, parts: int, most: int) -> DataFrame:
+    """one_home, two_home, keys, left, right: pairs that survive the pruning, packed by pair of blocks.
+
+    left and right are positions in the pair of blocks; the row with keys has the positions of these in left.
     """
     place = F.expr(f"explode(sequence(0, {BANDS - 1}))")
     rows = classes.select("set_key", "bands", place.alias("band")).select(
-        "set_key", "band", F.xxhash64("band", F.substring("bands", F.col("band") * 4 + 1, F.lit(4))).alias("bucket")
+        "set_key", F.xxhash64("band", F.substring("bands", F.col("band") * 4 + 1, F.lit(4))).alias("bucket")
     )
-    shared = rows.groupBy("band", "bucket").agg(F.count("*").alias("many")).where("many > 1")
-    rows = rows.join(shared, ["band", "bucket"])
-    most = rows.groupBy("set_key").agg(F.max(F.struct("many", "bucket")).alias("m"))
-    part = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("m.many") / block))
-    homes = most.select("set_key", F.xxhash64("m.bucket", part).alias("home"))
-    meet = rows.join(homes, "set_key").select("band", "bucket", "home").distinct()
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
+    rows = cut(rows.join(shared, "bucket"))
+    homes = cut(homes_of(rows, block, parts, most))
+    meet = rows.select("set_key", "bucket").join(homes, "set_key").select("bucket", "home").distinct()
     other = meet.withColumnRenamed("home", "two_home")
-    pairs = meet.withColumnRenamed("home", "one_home").join(other, ["band", "bucket"]).where("one_home <= two_home").select(*HOME).distinct()
+    pairs = meet.withColumnRenamed("home", "one_home").join(other, "bucket").where("one_home <= two_home").select(*HOME).distinct()
     sides = [pairs.join(homes, pairs["one_home"] == homes["home"]), pairs.where("one_home < two_home").join(homes, pairs["two_home"] == homes["home"])]
     ready = sides[0].unionByName(sides[1]).join(classes.select("set_key", "size", "sig", "bands"), "set_key")
     needed = least_matches(threshold, tolerance)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], pack: int = 1_000_000) -> Iterator[pa.RecordBatch]:
         for whole in groups_of(batches, HOME):
             for part in split(whole, HOME):
-                keys, left, right = prune(part, needed, threshold)
-                if keys:
-                    first = [pa.array([part.column(c)[0].as_py()], pa.int64()) for c in HOME]
-                    rest = [pa.array([keys], pa.list_(pa.binary())), *(pa.array([v.tobytes()], pa.binary()) for v in (left, right))]
-                    yield pa.RecordBatch.from_arrays(first + rest, names=[*HOME, "keys", "left", "right"])
+                first = [pa.array([part.column(c)[0].as_py()], pa.int64()) for c in HOME]
+
+                def row(keys: list[bytes] | None, left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
+                    packed = [None if v is None else v.astype(np.int32).tobytes() for v in (left, right)]
+                    rest = [pa.array([keys], pa.list_(pa.binary())), *(pa.array([v], pa.binary()) for v in packed)]
+                    return pa.RecordBatch.from_arrays(first + rest, names=[*HOME, "keys", "left", "right"])
+
+                used, held = np.zeros(part.num_rows, bool), []
+                for i, j in prune(part, needed, threshold):
+                    used[i] = used[j] = True
+                    held.append(np.stack([i, j]))
+                    if sum(v.shape[1] for v in held) >= pack:
+                        yield row(None, *np.concatenate(held, 1))
+                        held = []
+                if held:
+                    yield row(None, *np.concatenate(held, 1))
+                if used.any():
+                    at = np.flatnonzero(used)
+                    yield row(part.column("set_key").take(pa.array(at)).to_pylist(), at, None)
 
     schema = "one_home long, two_home long, keys array<binary>, left binary, right binary"
     return ready.repartition(*HOME).sortWithinPartitions(*HOME, "set_key").mapInArrow(run, schema)
 
 
 def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes, int]]:
-    """key, key of the root of its tree, number of links, for the classes of one pair of home blocks that have links."""
+    """key, key of the root of its tree, number of links, for the classes of one pair of blocks that have links."""
     sets: dict[bytes, tuple[int, np.ndarray]] = {}
-    pairs: dict[bytes, set[bytes]] = {}
+    chunks, names, places = [], [], np.zeros(0, np.int32)
     columns = [rows.column(c).to_pylist() for c in ("set_key", "rows", "found", "keys", "left", "right")]
     for key, n, found, keys, left, right in zip(*columns, strict=True):
         if key is not None:
             sets[key] = (n, np.frombuffer(found, np.uint64))
+        elif keys is not None:
+            names, places = keys, np.frombuffer(left, np.int32)
         else:
-            for i, j in zip(np.frombuffer(left, np.int32).tolist(), np.frombuffer(right, np.int32).tolist(), strict=True):
-                pairs.setdefault(keys[i], set()).add(keys[j])
+            chunks.append(np.stack([np.frombuffer(v, np.int32) for v in (left, right)]))
     order = sorted(sets)
     number = {k: i for i, k in enumerate(order)}
+    at_place = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int32)
+    at_place[places] = [number[k] for k in names]
+    one, two = at_place[np.concatenate(chunks, 1)] if chunks else np.zeros((2, 0), np.int32)
+    by_one = np.argsort(one, kind="stable")
+    one, two = one[by_one], two[by_one]
+    starts = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
     flat = np.concatenate([sets[k][1] for k in order]) if order else np.zeros(0, np.uint64)
     ids = np.unique(flat, return_inverse=True)[1]
     sizes = np.array([len(sets[k][1]) for k in order], np.int64)
+    copies = np.array([sets[k][0] for k in order], np.int64)
     ends = np.cumsum(sizes)
-    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
-    root, links = list(range(len(order))), [0] * len(order)
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int32)
+    root, links = list(range(len(order))), np.zeros(len(order), np.int64)
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -250,9 +280,8 @@ def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes,
             i = root[i]
         return i
 
-    for key in sorted(pairs):
-        i = number[key]
-        others = np.array(sorted(number[k] for k in pairs[key]), np.int64)
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(one)).tolist(), strict=True):
+        i, others = int(one[a]), two[a:b]
         mine = ids[ends[i] - sizes[i] : ends[i]]
         mark[mine] = 1
         n = sizes[others]
@@ -260,19 +289,19 @@ def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes,
         both = np.add.reduceat(mark[ids[at]], np.cumsum(n) - n)
         mark[mine] = 0
         linked = others[both * threshold.denominator >= (sizes[i] + n - both) * threshold.numerator]
+        links[i] += copies[linked].sum()
+        links[linked] += copies[i]
         for j in linked.tolist():
-            links[i] += sets[order[j]][0]
-            links[j] += sets[key][0]
-            a, b = top(i), top(j)
-            root[max(a, b)] = min(a, b)
+            x, y = top(i), top(j)
+            root[max(x, y)] = min(x, y)
     for i, key in enumerate(order):
         if links[i]:
-            yield key, order[top(i)], links[i]
+            yield key, order[top(i)], int(links[i])
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, block: int, tolerance: float, threshold: Fraction) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, tolerance: float, threshold: Fraction, **blocks: int) -> DataFrame:
     """set_key, root, links: partial link counts and tree edges of all verified pairs."""
-    packed = cut(candidates(classes, block, tolerance, threshold))
+    packed = cut(candidates(classes, tolerance, threshold, **blocks))
     wanted = packed.select(*HOME, F.explode("keys").alias("set_key"))
     ids = wanted.select("set_key").distinct().join(classes.select("set_key", "doc_id", "rows"), "set_key")
 
@@ -321,7 +350,9 @@ def components(edges: DataFrame) -> DataFrame:
             return roots.unionByName(edges.select(F.col("a").alias("key"), F.col("b").alias("root")))
 
 
-def grouped(docs: DataFrame, block: int = 256, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD) -> DataFrame:
+def grouped(
+    docs: DataFrame, block: int = 256, parts: int = 12, most: int = 8192, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD
+) -> DataFrame:
     """doc_id, text_key (MD5 of the text), set_key, group (digest of its first class), class_id and n_links per row."""
     slim = docs.select("doc_id", "text")
     signed = cut(signatures(slim.withColumn("text_key", F.unhex(F.md5("text")))))
@@ -329,7 +360,7 @@ def grouped(docs: DataFrame, block: int = 256, tolerance: float = 1e-9, threshol
         F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("size", "sig", "bands"))
     )
     classes = cut(classes)
-    linked = cut(linked_classes(slim, classes, block, tolerance, threshold))
+    linked = cut(linked_classes(slim, classes, tolerance, threshold, block=block, parts=parts, most=most))
     links = linked.groupBy("set_key").agg(F.sum("links").alias("links"))
     trees = components(linked.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     info = classes.select("set_key", "doc_id", "rows").join(trees.withColumnRenamed("key", "set_key"), "set_key", "left").join(links, "set_key", "left")
