@@ -1,0 +1,62 @@
+"""Queries over several parts of the model: Bayesian consensus, comparison of mappings, propagated tags."""
+
+from strandlake.plans.sequences import _PILE, _RC
+from strandlake.plans.structure import _LINK, _SEG
+
+#: What repeated readings of a base on one strand add to the highest quality, by their number (10 at most).
+_BONUS = (0, 0, 7, 14, 21, 28, 35, 41, 45, 58, 49)
+_ADDED = "case least(n, 10) " + " ".join(f"when {k} then {v}" for k, v in enumerate(_BONUS)) + " end"
+
+_DOMINANT = _LINK + """, g as (select contig_id, parent_id, dir, shift, row_number() over (partition by contig_id, parent_id order by count(*) desc, dir desc, shift) as k
+      from l group by contig_id, parent_id, dir, shift)"""
+
+
+def _carried(tags: str) -> str:
+    """Tags of parents on their children; cut ones become ASIT, those wholly outside go."""
+    return f"""select t.tag_id, c.contig_id, case when low<1 or high>c.length then 'ASIT' else t.tagtype end as tagtype, greatest(low,1) as cstart,
+        least(high,c.length) as cfinal, case when t.dir=1 then t.strand when t.strand='F' then 'C' else 'F' end as strand
+      from (select t.tag_id, t.tagtype, t.strand, g.contig_id, g.dir, case when g.dir=1 then t.cstart+g.shift else g.shift-t.cfinal end as low,
+          case when g.dir=1 then t.cfinal+g.shift else g.shift-t.cstart end as high from {tags} t join g on g.parent_id=t.contig_id and g.k=1) t
+      join a_contig c on c.contig_id=t.contig_id where high>=1 and low<=c.length"""
+
+
+SQL = {
+    "consensus_bayes": f"""with {_PILE}, e as (select contig_id, pos, base, direction, max(q) as hi, count(*) as n
+          from (select contig_id, pos, direction, q, case when base in ('a','c','g','t') then base else '*' end as base from p where q>0) x
+          group by contig_id, pos, base, direction),
+        w as (select contig_id, pos, base, direction, 1-power(10.0,-(case when hi=1 then 2 else hi end+{_ADDED})/10.0) as good,
+          max(case when base='*' then 1 else 0 end) over (partition by contig_id, pos) as pad from e),
+        c as (select contig_id, pos, base, good, pad, SERIES[4+pad] as k from w),
+        s as (select contig_id, pos, k, sum(ln(case when base=substr('acgt*',cast(k as int),1) then good else (1-good)/(3+pad) end)) as score
+          from c group by contig_id, pos, k),
+        m as (select contig_id, pos, max(score) as top, sum(exp(score)) as total from s group by contig_id, pos),
+        b as (select s.contig_id, s.pos, min(s.k) as k from s join m on m.contig_id=s.contig_id and m.pos=s.pos and s.score>=m.top-1e-9 group by s.contig_id, s.pos),
+        r as (select b.contig_id, b.pos, b.k, sum(case when s.k=b.k then 0 else exp(s.score-m.top) end) as rest
+          from b join s on s.contig_id=b.contig_id and s.pos=b.pos join m on m.contig_id=b.contig_id and m.pos=b.pos group by b.contig_id, b.pos, b.k)
+        select contig_id, pos, substr('acgt*',cast(k as int),1) as base,
+          cast(case when rest<=1e-10 then 99 else least(99,floor(-10*log10(rest/(1+rest))+0.5001)) end as int) as score from r""",
+    "map_compare": f"""with {_SEG} select k.contig_id, k.parent_id, c.seq_id, c.dir*p.dir as align,
+          case when c.dir=p.dir then (c.x0-c.dir*(case when c.dir=1 then c.y0 else -c.y1 end))-(p.x0-p.dir*(case when p.dir=1 then p.y0 else -p.y1 end)) else c.x0+p.x1 end as shift,
+          min(greatest(c.y0,p.y0)) as y_first, max(least(c.y1,p.y1)) as y_last, count(*) as pieces
+        from a_c2c k join s c on c.contig_id=k.contig_id join s p on p.contig_id=k.parent_id and p.seq_id=c.seq_id and p.y0<=c.y1 and p.y1>=c.y0
+        group by 1,2,3,4,5""",
+    "map_transform_string": f"""with {_SEG}, d as (select s.contig_id, s.seq_id, s.x0, s.x1, lag(s.x1) over (partition by s.contig_id, s.seq_id order by s.x0) as last,
+          case when s.dir=1 then substr(q.dna,cast(s.y0 as int),cast(s.y1-s.y0+1 as int)) else {_RC.format("substr(q.dna,cast(s.y0 as int),cast(s.y1-s.y0+1 as int))")} end as piece
+          from s join a_seq q on q.seq_id=s.seq_id)
+        select contig_id, seq_id, JOINED[concat(repeat('-',cast(greatest(coalesce(x0-last-1,0),0) as int)),piece); ''; x0] as carried from d group by contig_id, seq_id""",
+    "tag_propagate": f"""with {_DOMINANT}, t0 as (select tag_id, contig_id, tagtype, cstart, cfinal, 'F' as strand from a_tag),
+        t1 as ({_carried("t0")}), t2 as ({_carried("t1")})
+        select 1 as generation, tag_id, contig_id, tagtype, cstart, cfinal, strand from t1
+        union all select 2, tag_id, contig_id, tagtype, cstart, cfinal, strand from t2""",
+    "tag_split": """select contig_id, tagtype, tag_id, row_number() over (partition by contig_id, tagtype order by cstart, tag_id) as part, cstart, cfinal,
+          greatest(0, cstart-coalesce(lag(cfinal) over (partition by contig_id, tagtype order by cstart, tag_id), cstart-1)-1) as unknown_before from a_tag""",
+    "low_quality_reads": """with pads as (select seq_id, pos from a_base_at where base not in ('a','c','g','t') and q<15)
+        select m.contig_id, m.seq_id, count(*) as pads from a_curmap m join pads p on p.seq_id=m.seq_id and p.pos<=m.cfinish-m.cstart+1 group by m.contig_id, m.seq_id""",
+    "crossmatch_place": """with m as (select seq_id, contig_id, contig_length, cstart, cfinish, count(*) over (partition by seq_id) as places from a_curmap)
+        select seq_id, contig_id, case when cstart<=20 and cfinish>contig_length-20 then 'W' when cstart<=20 then 'L' when cfinish>contig_length-20 then 'R' else 'C' end as kind
+        from m where places=1 and not (cstart<=20 and cfinish>contig_length-20)""",
+    "import_consensus_reads": """with f as (select concat('d',cast(seq_id as varchar(20)),'.con') as readname, dna from a_seq)
+        select f.readname, regexp_extract(f.readname,'^([^.]+)',1) as template, length(f.dna) as length, md5(f.dna) as seq_hash,
+          row_number() over (partition by substr(md5(f.dna),1,2) order by f.readname) as number_in_part
+        from f left join a_readinfo r on r.readname=f.readname where r.readname is null""",
+}

@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import placement, sequences, statistics, structure
+from strandlake.operators.components import subgraphs
+from strandlake.plans import derived, placement, sequences, statistics, structure
 from strandlake.plans.model import with_views
+from strandlake.sources import exchange
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL
+SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL | derived.SQL | exchange.TEXTS
+
+_ENOUGH = 2
+_BRIDGED = f"""with recursive {structure._BRIDGES}, e as (select a, b from br where templates>={_ENOUGH} union select b, a from br where templates>={_ENOUGH}),
+    go(a, b) as (select a, a from e union select go.a, e.b from go join e on e.a=go.b)
+  select a as contig_id, min(b) as seed from go group by a"""
 
 
 def load(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -20,14 +27,22 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> None:
             spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def result(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    text = with_views(sql)
+    load(spark, sf_dir, text)
+    return spark.sql(text)
+
+
 def runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = with_views(sql)
-        load(spark, sf_dir, text)
-        return spark.sql(text)
+    return lambda spark, sf_dir: result(spark, sf_dir, sql)
+
 
-    return run
+def bridge_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contig_id, seed: contigs held together by bridges of two templates or more, for all seeds at once."""
+    return subgraphs(result(spark, sf_dir, SQL["bridges"]), _ENOUGH)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: runner(sql) for name, sql in SQL.items()}
+QUERIES |= exchange.trips(result) | {"bridge_subgraph": bridge_subgraph}
 ORACLES: dict[str, str] = {name: with_views(sql, duck=True) for name, sql in SQL.items()}
+ORACLES |= exchange.ORACLES | {"bridge_subgraph": with_views(_BRIDGED, duck=True)}
