@@ -162,6 +162,27 @@ def test_masked_lm_is_a_distribution(spark, docs, texts):
     assert all(r["score"] is None and r["log_prob"] == 0 if r["n_tokens"] == 0 else r["score"] < 0 for r in rows)
 
 
+def test_masked_lm_sees_words(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "BATCH", 16)
+    long = "x" * 70
+    pairs = [(i, f"a{i} b{i}") for i in range(30)] * 200 + [(100 + i, f"a{i} b{(i + 7) % 30}") for i in range(30)]
+    some = spark.createDataFrame([*pairs, (200, long), (201, "once"), *[(300, long)] * 50], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in masked_lm.score(some, every=1).collect()}
+    assert min(found[i] for i in range(30)) > max(found[100 + i] for i in range(30)) + 1  # all words are equally frequent
+    assert found[200] == found[300] > found[201] + 1
+    again = {r["doc_id"]: r["score"] for r in masked_lm.score(some.orderBy("text").repartition(7), every=1).collect()}
+    assert again == pytest.approx(found, abs=1e-5)
+
+
+def test_masked_lm_learns_from_more_of_more_documents(spark, docs):
+    def gathered(rows):
+        words = masked_lm.learn_words(rows, 5)
+        assert words.counts.sum() == sum(r["n"] for r in masked_lm.word_counts(rows).collect())
+        return sum(map(len, masked_lm.window_blocks(rows, words, 2, 1000)))
+
+    assert gathered(docs.union(docs)) == 2 * gathered(docs) > 0
+
+
 def test_misspelling_shares_subwords():
     s = subword.Settings("toxic", lower=True, buckets=1 << 12, epochs=20)
     rng = random.Random(1)
