@@ -1,13 +1,13 @@
 r"""Quality rules: log-likelihood ratio of hashed n-grams between trusted texts and the raw corpus.
 
 Words ``[^\x20\x09-\x0D]+`` and pairs of neighbouring words are hashed into ``buckets``.  Two multinomials over the
-buckets are counted: one of the trusted texts (documents labelled of good quality, at most ``trusted`` of them,
-chosen by a hash of the id), one of all documents.  ``smoothing`` is added to the trusted count and, scaled to the
+buckets are counted: one of the trusted texts (all documents labelled of good quality), one of all documents.  ``smoothing`` is added to the trusted count and, scaled to the
 size of the corpus, to the raw count, so that words of one text only do not tell trusted texts from others.  A document's ``score`` is the sum of ``ln(target / raw)`` over its
 n-grams, divided by their number; it is kept when it passes the base rules and its score reaches ``threshold``.
 
 Everything is DataFrame functions: word hashes, pair hashes (by zipping an array with itself shifted) and window
-hashes live in arrays of the row, so a document is never shuffled; only bucket counts are.  The two weight
+hashes live in arrays of the row.  Texts are shuffled once, to meet the ids of trusted ones, as these ids grow with
+the corpus; then only bucket counts are.  The two weight
 tables come to the driver (``buckets`` numbers, a parameter) and go back as one literal array.
 
 Edge cases: a null text has no words and fails the base rules; a text without words has a null score.  Without
@@ -43,11 +43,11 @@ def bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1))
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -> list[tuple[int, int, int]]:
+def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
     """bucket, count over all documents, count over the trusted ones."""
     good = labels.where("quality = 1").select("doc_id").na.drop().distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("__good", F.lit(1))
-    marked = hashed(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left"))
+    good = good.withColumn("__good", F.lit(1)).hint("shuffle_hash")
+    marked = hashed(docs.select("doc_id", "text").join(good, "doc_id", "left"))
     each = marked.select("__good", F.explode(F.concat("__h", "__p")).alias("h"))
     counted = each.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("target"))
     return [tuple(r) for r in counted.collect()]
@@ -61,13 +61,12 @@ def weights(counts: list[tuple[int, int, int]], buckets: int, smoothing: float)
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, threshold: float = -0.085,
-          trusted: int = 50_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0, threshold: float = -0.085) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     Input columns stay under their names in a struct ``doc``, so that none clashes with the new ones.
     """
-    w = weights(bucket_counts(docs, labels, buckets, trusted), buckets, smoothing)
+    w = weights(bucket_counts(docs, labels, buckets), buckets, smoothing)
     table_of = F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>")
     looked = lambda name: F.aggregate(
         name, F.lit(0.0), lambda acc, h: acc + F.get(table_of, bucket(h, buckets).cast("int"))

@@ -113,6 +113,13 @@ def test_quality_rules(spark, docs, texts):
             assert r["base_failed"] == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
 
 
+def test_quality_rules_count_every_trusted_text(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'word' as text")
+    labels = spark.range(55_000).selectExpr("id as doc_id", "1 as quality")
+    assert [(r, t) for _, r, t in quality_rules.bucket_counts(docs, labels.union(labels), 1 << 16)] == [(60_000, 55_000)]
+    assert quality_rules.judge(docs.limit(10), labels).where("kept").count() == 0  # too short, whatever the score
+
+
 def test_lookup_table_is_filled_in_turns():
     names, slots = [f"s{i}" for i in range(5)], 23
     number = lambda name, part: int(hashlib.md5(f"{part}:{name}".encode()).hexdigest(), 16)
