@@ -12,8 +12,9 @@ tables come to the driver (``buckets`` numbers, a parameter) and go back as one
 
 Edge cases: a null text has no words and fails the base rules; a text without words has a null score.  Without
 trusted texts all weights are 0 and the base rules alone decide.  Documents with several labels count as trusted
-if any label is 1.  Repeated rows are each counted and judged.  Bucket counts are integers, so results do not
-depend on the order of rows.
+if any label is 1; rows with a null id never do.  Repeated rows are each counted and judged.  A text of any length is judged whole, in
+arrays of its row.  Scores equal to the threshold pass.  Columns of ``docs`` may have the names of the new ones.  Empty tables give no
+rows.  Bucket counts are integers, so results do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -109,5 +110,10 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    return judge(docs, labels, **options).where("kept").select("doc.*")
+    """The rows of ``docs`` that pass, with their columns.
+
+    The verdict passes through a generator of one row, as Catalyst pushes a filter through projections and would then
+    evaluate the hashes once more for each of its terms.
+    """
+    judged = judge(docs, labels, **options).select("doc", F.explode(F.array("kept")).alias("kept"))
+    return judged.where("kept").select("doc.*")
