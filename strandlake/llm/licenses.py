@@ -10,7 +10,8 @@ together, so the least counts.  A text without any notice has score 0.
 
 Edge cases: a null or empty text has no words, no labels and score 0.  A malformed expression (unbalanced
 parentheses, an operator without a side) still gives the labels of its names, and scores 0.5.  Ties and repeated
-rows need no rule: every row is judged alone.
+rows need no rule: every row is judged alone.  Whole texts are read, in time proportional to their length.  Only doc_id and text are
+read, so other columns cannot clash.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,10 +77,10 @@ def postfix(expression: str) -> list[str] | None:
     return out
 
 
-def leading(line: str) -> str:
-    """The tokens at the start of a line that can belong to one expression: it ends where prose follows a name."""
+def expression_at(text: str, first: int, end: int) -> str:
+    """The tokens from ``first`` on that can belong to one expression: it ends where prose follows a name."""
     tokens, named = [], False
-    for token in TOKEN.findall(line):
+    for token in (m[0] for m in TOKEN.finditer(text, first, end)):
         name = token not in "()" and token.lower() not in PRECEDENCE
         if named and (name or token == "("):
             break
@@ -123,17 +124,21 @@ def scan(docs: DataFrame) -> DataFrame:
             words = folded_words(data)
             line = f" {b' '.join(words).decode()} "
             base, labels, notices, scores, places = set(), set(), set(), [], []
+            at = before = 0  # blanks of the line before ``at``
             for end, phrase in phrases.iter(line):
                 notices.add(phrase)
+                before, at = before + line.count(" ", at, end), end
                 if phrase in BASE:
-                    places.append(line.count(" ", 0, end - len(phrase)) - 1)
+                    places.append(before - phrase.count(" ") - 1)
                     base.add(BASE[phrase])
                 label = BASE.get(phrase) or MORE[phrase]
                 labels.add(label)
                 scores.append(freedom(label))
-            lower = data.lower().decode() if data else ""  # bytes.lower() changes A-Z only
+            lower, line_end = data.lower().decode() if data else "", 0  # bytes.lower() changes A-Z only
             for end, _ in tags.iter(lower):
-                expression = leading(lower[end + 1 :].split("\n", 1)[0])
+                line_end = lower.find("\n", end + 1) if end + 1 > line_end else line_end
+                line_end = len(lower) if line_end < 0 else line_end
+                expression = expression_at(lower, end + 1, line_end)
                 names, score = evaluate(expression)
                 if names:
                     notices.add(expression)
