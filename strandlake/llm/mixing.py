@@ -12,8 +12,9 @@ buckets (source, size band, hash bucket); the buckets before are counted by two
 over hash buckets, and only a bucket's own rows are ranked together.
 
 Edge cases: a null or empty text has size 0 and is copied like any other, but takes no words.  A source without
-words has target 0 and takes nothing.  A null source is a source of its own.  Rows that agree in id, source and
-size are interchangeable: they are counted together and share their copies in turn.  An empty table gives no rows.
+words has target 0 and takes nothing.  A null source is a source of its own.  Documents without an id are told apart
+by their text.  Rows that agree in id, source, size and (without an id) text are interchangeable: they are counted together and share
+their copies in turn.  Texts of any length are counted whole.  Further columns stay, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,18 @@ from pyspark.sql import functions as F
 from strandlake.llm.batches import BLANKS, table
 
 WEIGHTS = (5, 2, 1)
-HASHES = 64
+HASHES = 4096
 
 
 def words_in(text: str) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")).cast("long")
 
 
+def tie(text: str) -> Column:
+    """What tells documents without an id apart: the MD5 of their text."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(text, F.lit("")))).alias("tie")
+
+
 def unit(text: Column) -> Column:
     """A number from 0 to 1 made of the first eight hex digits of an MD5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
@@ -63,7 +69,7 @@ def banded(docs: DataFrame) -> DataFrame:
     """Adds source key, size, size band (eight to an octave) and hash bucket."""
     bits = F.length(F.bin("size")).cast("int")
     band = bits * 16 + F.expr("cast(shiftright(size * 16, length(bin(size))) as int)")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), "tie", F.lit(""))
     return (
         docs.withColumn("__src", F.coalesce("source", F.lit("")))
         .withColumn("__no_src", F.col("source").isNull().cast("int"))
@@ -73,8 +79,9 @@ def banded(docs: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, one row per row of ``docs`` (doc_id, source, size)."""
-    rows = banded(docs).groupBy("__src", "__no_src", "band", "spread", "doc_id", "size").agg(F.count("*").alias("rows"))
+    """doc_id, source, size, tie, source_size, target, copies, one row per row of ``docs`` (doc_id, source, size, tie if any)."""
+    docs = docs if "tie" in docs.columns else docs.withColumn("tie", F.lit(None).cast("string"))
+    rows = banded(docs).groupBy("__src", "__no_src", "band", "spread", "doc_id", "size", "tie").agg(F.count("*").alias("rows"))
     cells = rows.groupBy("__src", "__no_src", "band", "spread").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("words"))
     bands = cells.groupBy("__src", "__no_src", "band").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     upto = lambda *keys: W.partitionBy("__src", "__no_src", *keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
@@ -88,20 +95,20 @@ def plan(docs: DataFrame) -> DataFrame:
         .select(*of, "band", "spread", (F.col("lower") + F.col("__left")).alias("before"), "source_size", "target", "rate", "offset")
     )
     keys = [*of, "band", "spread"]
-    within = W.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     ranked = rows.withColumn("in_cell", F.coalesce(F.sum("rows").over(within), F.lit(0))).join(before, keys)
     each = ranked.withColumn("rank", F.explode(F.expr("sequence(before + in_cell + 1, before + in_cell + rows)")))
     passed = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
     return each.select(
         "doc_id",
         F.when(F.col("__no_src") == 0, F.col("__src")).alias("source"),
-        "size", "source_size", "target",
+        "size", "tie", "source_size", "target",
         (passed(F.col("rank")) - passed(F.col("rank") - 1)).cast("long").alias("copies"),
     )
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in("text").alias("size"), tie("text"))
     return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -111,14 +118,15 @@ def mix(docs: DataFrame) -> DataFrame:
     Copies are joined back by id, source and size.  Rows that agree in all three but not in their text take the
     sum of their copies in turn.
     """
-    keyed = docs.withColumn("__size", words_in("text"))
-    copies = plan(keyed.select("doc_id", "source", F.col("__size").alias("size"))).groupBy(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__words")
+    keyed = docs.withColumn("__size", words_in("text")).withColumn("__tie", tie("text"))
+    copies = plan(keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__tie").alias("tie"))).groupBy(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__words"), F.col("tie").alias("__other")
     ).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__words"))
-    joined = keyed.join(copies, same).drop("__id", "__from", "__words", "__size")
+    same &= F.col("__tie").eqNullSafe(F.col("__other"))
+    joined = keyed.join(copies, same).drop("__id", "__from", "__words", "__size", "__other")
     alone = joined.where("__rows = 1").withColumn("__take", F.col("__copies"))
-    turn = F.row_number().over(W.partitionBy("doc_id", "source", "__copies", "__rows", words_in("text")).orderBy("text"))
+    turn = F.row_number().over(W.partitionBy("doc_id", "source", "__copies", "__rows", "__tie", words_in("text")).orderBy("text"))
     shared = joined.where("__rows > 1").withColumn("__turn", turn).withColumn(
         "__take", F.floor(F.col("__copies") * F.col("__turn") / F.col("__rows")) - F.floor(F.col("__copies") * (F.col("__turn") - 1) / F.col("__rows"))
     ).drop("__turn")
@@ -129,7 +137,8 @@ def mix(docs: DataFrame) -> DataFrame:
 OP7_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(source, '') as src, cast(source is null as int) as no_src,
-         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
+         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         case when doc_id is null then md5(coalesce(text, '')) end as tie
   from documents),
 sources as (
   select src, no_src, cast(sum(size) as bigint) as source_size,
@@ -150,7 +159,7 @@ goals as (
 ranked as (
   select s.*, row_number() over (partition by src, no_src order by
            length(bin(size)) * 16 + ((size * 16) >> length(bin(size))),
-           cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 9, 4) as bigint) % 64, size, doc_id nulls first) as k
+           cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), tie, '')), 9, 4) as bigint) % 4096, size, doc_id nulls first, tie nulls first) as k
   from sized s)
 select doc_id, size, source_size, target,
        cast(floor(k * r + u) - floor((k - 1) * r + u) as bigint) * size as taken
