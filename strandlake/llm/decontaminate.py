@@ -7,12 +7,15 @@ shortest window are left out for the same reason; the index is built over the re
 backwards through the wavelet tree, occurrences are located by sampled suffix positions, and overlapping
 occurrences merge into removal spans.
 
-Benchmark windows travel to the tasks in blocks of at most ``block_bytes``; a larger benchmark is searched in
+Benchmark windows travel to the tasks in blocks of about ``block_bytes``, dealt by a hash of the item.  The driver builds
+one block at a time and keeps none: a broadcast lies in a file and in Spark's block manager.  A larger benchmark is searched in
 more passes over the same rows, each pass carried on by the next, without a shuffle.
 
 Edge cases: a null or empty text has no words, no hits and stays as it is.  A null item text has no windows.
+Windows of items without an id are hit and cut like others; all such items count as one, and give no id to the list.
 Repeated documents are each reported; repeated items with different ids each count, repeated rows of one
-item_id count once.  No documents or no items: no hits.  Other columns pass through untouched.
+item_id count once.  Texts of any length are searched whole.  No documents or no items: no hits.  Other columns pass through
+untouched, but for those named ``__words``, ``__spans`` and ``__items``, which are replaced.
 """
 
 from __future__ import annotations
@@ -43,12 +46,11 @@ class Windows:
         self.vocabulary: dict[bytes, int] = {}
         self.owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
 
-    def add(self, item: str, text: bytes | None) -> int:
+    def add(self, item: str, text: bytes) -> None:
         words = folded_words(text)
         ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
         for at in range(max(1, len(ids) - self.width + 1) if ids else 0):
             self.owners[tuple(ids[at : at + self.width])].add(item)
-        return sum(map(len, words)) + 200 * len(words)
 
     def by_length(self) -> list[tuple[np.ndarray, list[list[str]]]]:
         groups: dict[int, list[tuple[int, ...]]] = defaultdict(list)
@@ -57,16 +59,22 @@ class Windows:
         return [(np.array(g, np.int64), [sorted(self.owners[w]) for w in g]) for _, g in sorted(groups.items())]
 
 
+#: Stands for the items without an id.
+NO_ID = "\0"
+
+
 def blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windows]:
-    """Items streamed to the driver, one bounded block of windows at a time."""
-    now, held = Windows(width), 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).na.drop().toLocalIterator():
-        held += now.add(row[0], row[1].encode())
-        if held > block_bytes:
+    """Items dealt to as many blocks as their estimated size asks for; each comes to the driver alone."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit(NO_ID)).alias("item"), F.col("text").cast("string")).na.drop()
+    held = items.agg(F.sum(F.octet_length("text") + 200 * F.size(F.split("text", "[^0-9A-Za-z\u0080-\U0010ffff]+")))).first()[0] or 0
+    many = -(-held // block_bytes)
+    for k in range(many):
+        now = Windows(width)
+        for row in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k).toLocalIterator():
+            now.add(row[0], row[1].encode())
+        if now.owners:
             yield now
-            now, held = Windows(width), 0
-    if now.owners:
-        yield now
+            del now
 
 
 def occurrences(texts: list[list[bytes]], vocabulary: dict[bytes, int], windows: list, sample: int):
@@ -116,13 +124,13 @@ ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, sample: int = 16, shard_rows: int = 4096,
          block_bytes: int = 64_000_000) -> DataFrame:
     """``docs`` with ``__words`` (long), ``__spans`` (merged word ranges) and ``__items`` (ids with hits)."""
-    spark = docs.sparkSession
-    out = None
-    for block in [*blocks(benchmark, width, block_bytes)] or [Windows(width)]:
-        sent = spark.sparkContext.broadcast((block.vocabulary, block.by_length()))
-        again = out is not None
+    fields = [("__words", T.LongType()), (FOUND, SPANS), (ITEMS, T.ArrayType(T.StringType()))]
+    stay = [c for c in docs.columns if c not in ("__words", FOUND, ITEMS)]
+
+    def searched(rows: DataFrame, block: Windows, again: bool) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast((block.vocabulary, block.by_length()))
 
-        def work(batch: pa.RecordBatch, sent=sent, again=again) -> dict[str, pa.Array]:
+        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             vocabulary, windows = sent.value
             texts = [folded_words(t) for t in utf8(batch.column("text"))]
             old = lambda name: batch.column(name).to_pylist()
@@ -137,9 +145,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, sample: int = 1
                 ITEMS: pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             }
 
-        fields = [("__words", T.LongType()), (FOUND, SPANS), (ITEMS, T.ArrayType(T.StringType()))]
-        out = map_rows(docs if out is None else out, work, fields, docs.columns, shard_rows)
-    return out
+        return map_rows(rows, work, fields, stay, shard_rows)
+
+    out, again = docs.select(stay), False
+    for block in blocks(benchmark, width, block_bytes):
+        out, again = searched(out, block, again), True
+    return out if again else searched(out, Windows(width), False)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -178,17 +189,17 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.col("__words").alias("n_words"),
         hits.alias("n_hit"),
         F.size(ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.array_remove(ITEMS, NO_ID), ","), 256).alias("items_sha256"),
         (F.size(FOUND) > 0).alias("contaminated"),
     )
 
 
 OP5_SQL = r"""
 with item_words as (
-  select cast(item_id as varchar) as item_id,
+  select coalesce(cast(item_id as varchar), chr(0)) as item_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where text is not null and item_id is not null),
+  from benchmark where text is not null),
 windows as (
   select distinct item_id, least(len(w), 10) as width, array_to_string(w[i:i + 9], ' ') as win
   from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item_words where len(w) > 0) x),
@@ -203,7 +214,7 @@ places as (
   from (select r, w, unnest(range(1, len(w) + 1)) as i from doc_words) x, widths where i + width - 1 <= len(w)),
 hits as (select r, i, p.width, item_id from places p join windows on windows.win = p.win and windows.width = p.width),
 hit_words as (select r, count(distinct pos) as n from (select r, unnest(range(i, i + width)) as pos from hits) x group by r),
-hit_items as (select r, count(*) as n, string_agg(item_id, ',' order by item_id) as ids
+hit_items as (select r, count(*) as n, string_agg(item_id, ',' order by item_id) filter (where item_id <> chr(0)) as ids
               from (select distinct r, item_id from hits) x group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items,
        sha256(coalesce(t.ids, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated

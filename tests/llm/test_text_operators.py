@@ -52,10 +52,10 @@ def test_fm_index_finds_every_place():
 
 
 def test_decontamination(spark, docs, texts):
-    items = [("i1", texts[10]), ("i2", "One two"), ("i3", None), ("i4", ""), ("i1", texts[10])]
+    items = [("i1", texts[10]), ("i2", "One two"), ("i3", None), ("i4", ""), ("i1", texts[10]), (None, texts[12])]
     bench = spark.createDataFrame(items, "item_id string, text string")
     windows = {tuple(w[i : i + 10]) for _, t in items for w in [folded(t)] if w for i in range(max(1, len(w) - 9))}
-    for size in (1, 64_000_000):
+    for size in (3000, 64_000_000):
         found = {(r["doc_id"], r["text"]): r for r in decontaminate.find(docs, bench, shard_rows=7, block_bytes=size).collect()}
         for text in texts:
             w, hit = folded(text), set()
@@ -64,7 +64,7 @@ def test_decontamination(spark, docs, texts):
                     if tuple(w[i : i + len(x)]) == x:
                         hit |= set(range(i, i + len(x)))
             row = next(r for (_, t), r in found.items() if t == text)
-            assert row["__words"] == len(w)
+            assert row["__words"] == len(w) and (decontaminate.NO_ID in row["__items"]) == (text == texts[12])
             assert {k for s in row["__spans"] for k in range(s["first"], s["last"] + 1)} == hit
     loud = spark.createDataFrame([(1, "Before, ONE Two! After", "en", "a", 22, "x")], SCHEMA)
     assert [(r["text"], r["n_chars"]) for r in decontaminate.clean(loud, bench).collect()] == [("Before, ! After", 15)]
