@@ -8,19 +8,20 @@ Two texts are linked if their sets have a Jaccard similarity of ``threshold`` or
    with a probability of 5e-8.
 2. Classes that share a band are candidates.  Classes whose bands lead to the same largest band, over one band
    between them at most, are a neighbourhood.  It is dealt to blocks of about ``block`` classes, but to ``parts``
-   blocks at most unless they would exceed ``most`` classes; blocks that meet in a band are compared, each pair of
-   blocks by one task and once.  So a class travels to ``parts`` + 1 tasks of its neighbourhood at most, however large
+   blocks at most unless they would exceed ``most`` classes or ``shingles`` shingles; blocks that meet in a band are compared,
+   each pair of blocks by one task and once.  So a class travels to ``parts`` + 1 tasks of its neighbourhood at most, however large
    that is, and no group is gathered whole.  MinHash bytes are compared 16 at a time; after each step a pair is
    dropped if the posterior probability of its similarity reaching the threshold (from a uniform prior) is below
    ``tolerance``.
 3. The remaining pairs are packed by pairs of blocks; each gets the shingle sets of its classes once
-   and counts the shared shingles exactly.  It returns a row per class: its links and a tree of its block, not the
-   pairs.
+   and counts the shared shingles exactly, one pack of pairs at a time.  It returns a row per class: its links and a tree of its
+   block, not the pairs.
 4. Groups are the connected components of the trees, by alternating stars with checkpoints in between.
 
 Edge cases: null texts and texts without words have no shingles; such a document is a group of its own without
 links.  Rows of equal texts are links of each other.  Repeated ids are rows like others; ``class_id`` is the least
-id of the group (null if all its ids are null).  An empty table gives no rows.  Results do not depend on the
+id of the group (null if all its ids are null).  Texts of any length are compared whole; one that alone has more than ``shingles``
+shingles has a block with few others.  An empty table gives no rows.  Further columns take no part.  Results do not depend on the
 order or partitions of the rows.
 """
 
@@ -189,18 +190,20 @@ def prune(rows: pa.Table, needed: list[int], threshold: Fraction, slab: int = 50
             yield i, j
 
 
-def homes_of(rows: DataFrame, block: int, parts: int, most: int) -> DataFrame:
+def homes_of(rows: DataFrame, classes: DataFrame, block: int, parts: int, most: int, most_shingles: int) -> DataFrame:
     """set_key, home for every class of ``rows`` (set_key, bucket, many: the bands that several classes share)."""
     largest = lambda df, key: df.groupBy(key).agg(F.max("m").alias("m"))
     own = largest(rows.select("set_key", F.struct("many", "bucket").alias("m")), "set_key")
     next_to = largest(rows.select("set_key", "bucket").join(own, "set_key"), "bucket")
     led = largest(rows.select("set_key", "bucket").join(next_to, "bucket"), "set_key").select("set_key", F.col("m.bucket").alias("lead"))
-    n = led.groupBy("lead").agg(F.count("*").alias("n"))
-    count = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(parts)), F.ceil(F.col("n") / most))
-    return led.join(n, "lead").select("set_key", F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), count)).alias("home"))
+    led = led.join(classes.select("set_key", "size"), "set_key")
+    n = led.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    least = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("size") / most_shingles))
+    count = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(parts)), least)
+    return led.select("lead", "set_key").join(n, "lead").select("set_key", F.xxhash64("lead", F.pmod(F.xxhash64("set_key"), count)).alias("home"))
 
 
-def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, block: int, parts: int, most: int) -> DataFrame:
+def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, **blocks: int) -> DataFrame:
     """one_home, two_home, keys, left, right: pairs that survive the pruning, packed by pair of blocks.
 
     left and right are positions in the pair of blocks; the row with keys has the positions of these in left.
@@ -211,7 +214,7 @@ def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, block:
     )
     shared = rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     rows = cut(rows.join(shared, "bucket"))
-    homes = cut(homes_of(rows, block, parts, most))
+    homes = cut(homes_of(rows, classes, **blocks))
     meet = rows.select("set_key", "bucket").join(homes, "set_key").select("bucket", "home").distinct()
     other = meet.withColumnRenamed("home", "two_home")
     pairs = meet.withColumnRenamed("home", "one_home").join(other, "bucket").where("one_home <= two_home").select(*HOME).distinct()
@@ -219,7 +222,7 @@ def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, block:
     ready = sides[0].unionByName(sides[1]).join(classes.select("set_key", "size", "sig", "bands"), "set_key")
     needed = least_matches(threshold, tolerance)
 
-    def run(batches: Iterator[pa.RecordBatch], pack: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], pack: int = 250_000) -> Iterator[pa.RecordBatch]:
         for whole in groups_of(batches, HOME):
             for part in split(whole, HOME):
                 first = [pa.array([part.column(c)[0].as_py()], pa.int64()) for c in HOME]
@@ -246,57 +249,78 @@ def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, block:
     return ready.repartition(*HOME).sortWithinPartitions(*HOME, "set_key").mapInArrow(run, schema)
 
 
-def verify(rows: pa.Table, threshold: Fraction) -> Iterator[tuple[bytes, bytes, int]]:
-    """key, key of the root of its tree, number of links, for the classes of one pair of blocks that have links."""
-    sets: dict[bytes, tuple[int, np.ndarray]] = {}
-    chunks, names, places = [], [], np.zeros(0, np.int32)
-    columns = [rows.column(c).to_pylist() for c in ("set_key", "rows", "found", "keys", "left", "right")]
-    for key, n, found, keys, left, right in zip(*columns, strict=True):
-        if key is not None:
-            sets[key] = (n, np.frombuffer(found, np.uint64))
-        elif keys is not None:
-            names, places = keys, np.frombuffer(left, np.int32)
-        else:
-            chunks.append(np.stack([np.frombuffer(v, np.int32) for v in (left, right)]))
-    order = sorted(sets)
-    number = {k: i for i, k in enumerate(order)}
-    at_place = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int32)
-    at_place[places] = [number[k] for k in names]
-    one, two = at_place[np.concatenate(chunks, 1)] if chunks else np.zeros((2, 0), np.int32)
-    by_one = np.argsort(one, kind="stable")
-    one, two = one[by_one], two[by_one]
-    starts = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
-    flat = np.concatenate([sets[k][1] for k in order]) if order else np.zeros(0, np.uint64)
-    ids = np.unique(flat, return_inverse=True)[1]
-    sizes = np.array([len(sets[k][1]) for k in order], np.int64)
-    copies = np.array([sets[k][0] for k in order], np.int64)
-    ends = np.cumsum(sizes)
-    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int32)
-    root, links = list(range(len(order))), np.zeros(len(order), np.int64)
-
-    def top(i: int) -> int:
+class Block:
+    """The shingle sets of one pair of blocks, and what its verified pairs add up to."""
+
+    def __init__(self, rows: list[tuple[bytes, int, np.ndarray]], names: list[bytes], places: np.ndarray) -> None:
+        rows.sort(key=lambda r: r[0])
+        self.keys = [k for k, _, _ in rows]
+        number = {k: i for i, k in enumerate(self.keys)}
+        self.at_place = np.zeros(int(places.max()) + 1, np.int32)
+        self.at_place[places] = [number[k] for k in names]
+        self.sizes = np.array([len(s) for _, _, s in rows], np.int64)
+        self.copies = np.array([n for _, n, _ in rows], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.ids = np.unique(np.concatenate([s for _, _, s in rows]), return_inverse=True)[1].astype(np.int32)
+        self.mark = np.zeros(int(self.ids.max()) + 1, np.int8)
+        self.root, self.links = list(range(len(rows))), np.zeros(len(rows), np.int64)
+
+    def top(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(one)).tolist(), strict=True):
-        i, others = int(one[a]), two[a:b]
-        mine = ids[ends[i] - sizes[i] : ends[i]]
-        mark[mine] = 1
-        n = sizes[others]
-        at = np.repeat(ends[others] - np.cumsum(n), n) + np.arange(int(n.sum()))
-        both = np.add.reduceat(mark[ids[at]], np.cumsum(n) - n)
-        mark[mine] = 0
-        linked = others[both * threshold.denominator >= (sizes[i] + n - both) * threshold.numerator]
-        links[i] += copies[linked].sum()
-        links[linked] += copies[i]
-        for j in linked.tolist():
-            x, y = top(i), top(j)
-            root[max(x, y)] = min(x, y)
-    for i, key in enumerate(order):
-        if links[i]:
-            yield key, order[top(i)], int(links[i])
+    def add(self, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> None:
+        """Count the shared shingles of a pack of pairs."""
+        one, two = self.at_place[left], self.at_place[right]
+        by_one = np.argsort(one, kind="stable")
+        one, two = one[by_one], two[by_one]
+        starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(one)).tolist(), strict=True):
+            i, others = int(one[a]), two[a:b]
+            mine = self.ids[self.ends[i] - self.sizes[i] : self.ends[i]]
+            self.mark[mine] = 1
+            n = self.sizes[others]
+            at = np.repeat(self.ends[others] - np.cumsum(n), n) + np.arange(int(n.sum()))
+            both = np.add.reduceat(self.mark[self.ids[at]], np.cumsum(n) - n, dtype=np.int64)
+            self.mark[mine] = 0
+            linked = others[both * threshold.denominator >= (self.sizes[i] + n - both) * threshold.numerator]
+            self.links[i] += self.copies[linked].sum()
+            self.links[linked] += self.copies[i]
+            for j in linked.tolist():
+                x, y = self.top(i), self.top(j)
+                self.root[max(x, y)] = min(x, y)
+
+    def found(self) -> pa.RecordBatch:
+        """key, key of the root of its tree, number of links, for the classes that have links."""
+        at = np.flatnonzero(self.links)
+        keys = pa.array(self.keys, pa.binary())
+        roots = keys.take(pa.array([self.top(i) for i in at.tolist()], pa.int64()))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), roots, pa.array(self.links[at])], names=["set_key", "root", "links"])
+
+
+def verify(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """Rows come by pair of blocks, and in each the sets first, then the names of places, then packs of pairs."""
+    home, sets, block = None, [], None
+    for batch in batches:
+        columns = [batch.column(c) for c in (*HOME, "set_key", "rows", "found", "keys", "left", "right")]
+        for values in zip(*columns, strict=True):
+            one, two, key, n, found, keys, left, right = (v.as_py() for v in values)
+            if (one, two) != home:
+                if block:
+                    yield block.found()
+                home, sets, block = (one, two), [], None
+            if key is not None:
+                sets.append((key, n, np.frombuffer(found, np.uint64)))
+            elif keys is not None:
+                block = Block(sets, keys, np.frombuffer(left, np.int32))
+                sets = []
+            else:
+                block.add(np.frombuffer(left, np.int32), np.frombuffer(right, np.int32), threshold)
+    if block:
+        yield block.found()
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, tolerance: float, threshold: Fraction, **blocks: int) -> DataFrame:
@@ -324,13 +348,10 @@ def linked_classes(docs: DataFrame, classes: DataFrame, tolerance: float, thresh
     with_pairs = packed.select(*HOME, none("binary", "set_key"), none("long", "rows"), none("binary", "found"), "keys", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups_of(batches, HOME):
-            for part in split(whole, HOME):
-                if out := list(verify(part, threshold)):
-                    arrays = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["set_key", "root", "links"])
+        yield from verify(batches, threshold)
 
-    both = with_sets.unionByName(with_pairs).repartition(*HOME).sortWithinPartitions(*HOME)
+    kind = F.when(F.col("set_key").isNotNull(), 0).when(F.col("keys").isNotNull(), 1).otherwise(2)
+    both = with_sets.unionByName(with_pairs).repartition(*HOME).sortWithinPartitions(*HOME, kind)
     return both.mapInArrow(run, "set_key binary, root binary, links long")
 
 
@@ -351,7 +372,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(
-    docs: DataFrame, block: int = 256, parts: int = 12, most: int = 8192, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD
+    docs: DataFrame, block: int = 256, parts: int = 12, most: int = 8192, shingles: int = 4_000_000, tolerance: float = 1e-9, threshold: Fraction = THRESHOLD
 ) -> DataFrame:
     """doc_id, text_key (MD5 of the text), set_key, group (digest of its first class), class_id and n_links per row."""
     slim = docs.select("doc_id", "text")
@@ -360,7 +381,7 @@ def grouped(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("size", "sig", "bands"))
     )
     classes = cut(classes)
-    linked = cut(linked_classes(slim, classes, tolerance, threshold, block=block, parts=parts, most=most))
+    linked = cut(linked_classes(slim, classes, tolerance, threshold, block=block, parts=parts, most=most, most_shingles=shingles))
     links = linked.groupBy("set_key").agg(F.sum("links").alias("links"))
     trees = components(linked.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     info = classes.select("set_key", "doc_id", "rows").join(trees.withColumnRenamed("key", "set_key"), "set_key", "left").join(links, "set_key", "left")
