@@ -179,13 +179,41 @@ def test_masked_lm_sees_words(spark, monkeypatch):
     assert found[200] == found[300] > found[201] + 1
     again = {r["doc_id"]: r["score"] for r in masked_lm.score(some.orderBy("text").repartition(7), every=1).collect()}
     assert again == pytest.approx(found, abs=1e-5)
+    mixed = {r["doc_id"]: r["score"] for r in masked_lm.score(some, every=1, block=4000).collect()}  # copies of a text share a part
+    assert mixed != found and np.mean([mixed[i] for i in range(30)]) > np.mean([mixed[100 + i] for i in range(30)]) + 1
+
+
+def test_masked_lm_scores_are_the_products_of_turns():
+    words = masked_lm.Words([("a", 5), ("b", 3), ("c", 3)], [(0, 2, 2), (1, 1, 1)], 2)
+    network = masked_lm.Network(6, words.counts, 3, 4)
+    network.start()
+    rng = np.random.RandomState(2)
+    texts = [b"a b c a z y", b"", None, b"c"]
+    ids, place, sizes = words.tokens(texts)
+    network.learn(words.around(ids, place, sizes, np.arange(len(ids))), ids, rate=0.5)
+    got = network.log_prob(words.around(ids, place, sizes, np.arange(len(ids))), ids)
+    embedding, inner, shift, vectors, bias = (p.astype(float) for p in network.params)
+    at = 0
+    for text in texts:
+        own = [words.leaf(w) for w in text.split()] if text else []
+        for i, leaf in enumerate(own):
+            around = [own[i + p] if 0 <= i + p < len(own) else 5 for p in masked_lm.PLACES]
+            h = np.tanh(np.concatenate([embedding[a] for a in around]) @ inner + shift)
+            total = 0.0
+            for node, turn in list(zip(network.nodes, network.turns))[network.begins[leaf] : network.begins[leaf + 1]]:
+                total -= math.log1p(math.exp(-turn * (h @ vectors[node] + bias[node])))
+            assert got[at] == pytest.approx(total, abs=1e-4)
+            at += 1
+    assert at == len(ids)
+    everything = [network.log_prob(np.array([[1, 2, 3, 5]]), np.array([leaf]))[0] for leaf in range(5)]
+    assert sum(np.exp(everything)) == pytest.approx(1, abs=1e-5)
 
 
 def test_masked_lm_learns_from_more_of_more_documents(spark, docs):
     def gathered(rows):
         words = masked_lm.learn_words(rows, 5)
         assert words.counts.sum() == sum(r["n"] for r in masked_lm.word_counts(rows).collect())
-        return sum(map(len, masked_lm.window_blocks(rows, words, 2, 1000)))
+        return masked_lm.windows_of(rows, spark.sparkContext.broadcast((words, None)), 2).count()
 
     assert gathered(docs.union(docs)) == 2 * gathered(docs) > 0
 
