@@ -78,6 +78,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later stage reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out() -> F.Column:
     """True for the rows that no learner may take labels from: crc32 of the id's text divisible by 5."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

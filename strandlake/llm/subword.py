@@ -28,10 +28,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_label``: labelled documents of class 0 and of class 1 that are learned from, at most.
-
-    ``natural``: the constant is moved from the sample's odds to the odds among all labelled documents.
-    """
+    """``per_label``: labelled documents of class 0 and of class 1 that are learned from, at most."""
 
     label: str
     lower: bool
@@ -44,7 +41,6 @@ class Settings:
     batch: int = 32
     rate: float = 1.0
     seed: int = 11
-    natural: bool = False
 
 
 def words_of(text: str | None, lower: bool) -> list[str]:
@@ -191,14 +187,13 @@ def classify(docs: DataFrame, labels: DataFrame, s: Settings, threshold: float)
 
     Edge cases: null and empty texts score the constant alone; without labels of both classes every text scores
     the (smoothed) share of class 1; rows with a null id are scored, never learned from, and not held out.
-    Conflicting or repeated labels of one document are all learned from, once each.
+    Conflicting or repeated labels of one document are all learned from, once each.  Texts of any length are scored whole.  A score
+    that equals the threshold is predicted.  Repeated rows are each scored.  Only doc_id and text are read, so no other column can
+    clash.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = sample(docs, labels, s)
     bucket_values, bias = train(one_by_one(rows), s)
-    if s.natural and 0 < (ones := int(rows.column("__y").to_numpy().sum())) < rows.num_rows:
-        share = known_labels(labels, s).agg(F.avg("__y")).first()[0]
-        bias += float(np.log(share / (1 - share)) - np.log(ones / (rows.num_rows - ones)))
     model = spark.sparkContext.broadcast((bucket_values, bias))
     held: dict[str, Scorer] = {}
 

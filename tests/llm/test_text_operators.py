@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from fractions import Fraction
 from itertools import combinations
 
@@ -152,6 +153,54 @@ def test_article_text():
     assert html_text.article(None) == html_text.article("") == ""
 
 
+PROSE = "This is a good deal of plain text in one paragraph, long enough to count as prose. " * 3
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body><div class='layout has-sidebar'><p>{PROSE}</p></div></body>", PROSE),
+    (f"<article class='post comments-open'><p>{PROSE}</p><div id=comments><p>{PROSE[:60]}</p></div></article>", PROSE),
+    (f"<article><p>{PROSE}</p><section id='related-work'><h2 id=related-work>Related work</h2><p>x <math><mi>y</mi></math></p></section></article>", PROSE + "\nRelated work\nx y"),
+    (f"<div class='cookie-notice'>Cookies!</div><div><h1>T</h1><p>{PROSE}<p>{PROSE}</div><div class='site-footer'>foot</div><ul role=menu><li>m</ul>", f"T\n{PROSE}\n{PROSE}"),
+    (f"<header><h1>Site</h1></header><article><header><h1>T</h1></header><p>{PROSE}</p><footer>f</footer></article>", f"T\n{PROSE}"),
+    (f"<div><a href=1>{PROSE}</a><a href=2>{PROSE}</a></div><div><p>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+    (f"<form><input>{PROSE}</form><script>var t='</p>'</script><style>p</style><p>a<br>b&amp;c&#x41;&nbsp; d</p>", "a b&cA d"),
+    (f"<p>hello</p><![ x]><![foo[x]]><!-- <p>no</p> --><? no ?></ no><p title=\"open>{PROSE}</p><p>end", f"hello\n{PROSE}\nend"),
+    ("<div>  </div>", ""), ("<head><title>x</title><p>abc", "abc"), ("1 < 2", "1 < 2"),
+])
+def test_article_choice(html, text):
+    assert html_text.article(html) == re.sub(" +\n", "\n", text).strip()
+
+
+def test_broken_pages_take_linear_time_and_never_fail():
+    n = 20_000
+    for page in ("<div>" * n + "x" + "</span></p>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<" * n, "<a " * n, '<a b="' * n + "x", "<!--" * n, "<a" + " " * n, "<p>" * n):
+        began = time.time()
+        html_text.article(page)
+        assert time.time() - began < 3
+    rng = random.Random(4)
+    bits = ["<", ">", "/", "!", "[", "]", "--", '"', "'", "=", "a", "div", "p", "li", "td", "script", "article", " ", "&#x;", 'class="ad"', "text ", "<p>", "</p>", "<![", "<?", "head"]
+    for _ in range(2000):
+        html_text.article("".join(rng.choice(bits) for _ in range(rng.randint(1, 40))))
+
+
+def test_licence_places(spark):
+    rng = random.Random(5)
+    texts = [None, "", "MIT license"] + [" ".join(rng.choice(["mit", "MIT", "license", "Apache", "general", "public", "x", "-"]) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    texts.append("SPDX-License-Identifier: MIT OR Apache-2.0 here\n" * 3000)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[2], 1)], "doc_id long, text string, n_words long")
+    for r in licenses.scan(docs).collect():
+        w = folded(texts[r["doc_id"] if r["doc_id"] is not None else 2])
+        places, labels = [], set()
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            found = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            places, labels = places + found, labels | ({label} if found else set())
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(","))
+    last = next(r for r in licenses.scan(docs).collect() if r["doc_id"] == len(texts) - 1)
+    assert (last["labels"], last["score"]) == ("apache-2.0,mit", 1.0)
+
+
 def test_licence_expressions(spark, docs):
     assert licenses.postfix("MIT OR Apache-2.0 AND (GPL-2.0 WITH Classpath-exception-2.0)") == [
         "mit", "apache-2.0", "gpl-2.0", "classpath-exception-2.0", "with", "and", "or"]
