@@ -48,7 +48,8 @@ VIEWS = {
     "a_readinfo": """select read_id, concat('t',cast(template_id as varchar(20)),case when rn%2=1 then '.p' else '.q' end,
         cast(rn as varchar(20)),'k') as readname, template_id, strand,
         case when l_returnflag='A' then null else cast(l_shipdate as date) end as asped,
-        case when l_returnflag<>'R' then 'PASS' else 'FAIL' end as status from a_read""",
+        case when l_returnflag<>'R' then 'PASS' else 'FAIL' end as status,
+        case when l_suppkey%5=0 then 'Unknown' when l_suppkey%2=0 then 'Dye_primer' else 'Dye_terminator' end as chemistry from a_read""",
     "a_qualityclip": """select read_id as seq_id, (rn*3)%40 as qleft, 300-cast(l_quantity as int) as qright
       from a_read where l_quantity<50""",
     "a_segment": """select contig_id, seq_id, direction, cstart,
@@ -71,6 +72,16 @@ VIEWS = {
         case when event_id%5=0 then null else ts end as endtime from events""",
     "a_seq": """select doc_id as seq_id, translate(lower(text),'abcdefghijklmnopqrstuvwxyz','acgtacgtacgtacgtacgtacgtac') as dna
       from documents where text is not null""",
+    "a_dna": """select seq_id, upper(RXALL[dna; '(\\W|_|0|1|2|3|4|5|6|7|8|9)+'; '']) as dna from a_seq""",
+    "a_readseq": """select r.read_id as seq_id, r.read_id, d.dna from a_read r
+      join (select seq_id as doc, substr(dna,1,300) as dna from a_dna where length(dna)>0) d on d.doc=r.read_id%(select count(*) from documents)""",
+    "a_version": """select read_id*2 as seq_id, read_id, 0 as version from a_read
+      union all select read_id*2+1, read_id, 1 from a_read where l_tax>0.04""",
+    "a_seg": """select contig_id, seq_id, cast(cstart as bigint) as x0, cast(cstart+length-1 as bigint) as x1,
+        cast(case when direction='Forward' then rstart else rstart-length+1 end as bigint) as y0,
+        cast(case when direction='Forward' then rstart+length-1 else rstart end as bigint) as y1,
+        case when direction='Forward' then 1 else -1 end as dir from a_segment""",
+    "a_curseg": "select s.* from a_seg s join a_cur c on c.contig_id=s.contig_id",
     "a_chunk": """select seq_id, (c-1)*200 as before, substr(dna,cast((c-1)*200+1 as int),220) as part, least(200,length(dna)-(c-1)*200) as n
       from (select seq_id, dna, SERIES[floor((length(dna)+199)/200.0)] as c from a_seq where length(dna)>0) x""",
     "a_base_at": """select seq_id, before+i as pos, substr(part,cast(i as int),1) as base, ascii(substr(part,cast(i as int),1))%41 as q
@@ -103,7 +114,8 @@ def macros(sql: str, duck: bool) -> str:
         if kind == "SERIES":
             return f"unnest(range(1, cast({parts[0]} as bigint) + 1))" if duck else f"explode(sequence(1L, cast({parts[0]} as bigint)))"
         if kind == "RXALL":
-            return f"regexp_replace({parts[0]}, {parts[1]}, {parts[2]}" + (", 'g')" if duck else ")")
+            pattern = parts[1] if duck else parts[1].replace("\\", "\\\\")
+            return f"regexp_replace({parts[0]}, {pattern}, {parts[2]}" + (", 'g')" if duck else ")")
         value, by, order = parts
         return f"string_agg({value}, {by} order by {order})" if duck else f"listagg({value}, {by}) within group (order by {order})"
 

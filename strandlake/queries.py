@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.operators.components import subgraphs
-from strandlake.plans import derived, placement, sequences, statistics, structure
+from strandlake.plans import calls, derived, placement, sequences, statistics, structure
+from strandlake.plans.assembly import Assembly
 from strandlake.plans.model import with_views
 from strandlake.sources import exchange
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL | derived.SQL | exchange.TEXTS
 
 _ENOUGH = 2
@@ -20,29 +20,24 @@ _BRIDGED = f"""with recursive {structure._BRIDGES}, e as (select a, b from br wh
   select a as contig_id, min(b) as seed from go group by a"""
 
 
-def load(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """The given tables that a query names, as temporary views."""
-    for name in TABLES:
-        if name in sql:
-            spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def result(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    text = with_views(sql)
-    load(spark, sf_dir, text)
-    return spark.sql(text)
+    return Assembly(spark, sf_dir).sql(sql)
 
 
 def runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: result(spark, sf_dir, sql)
 
 
+def caller(query: Callable[[Assembly], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(Assembly(spark, sf_dir))
+
+
 def bridge_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig_id, seed: contigs held together by bridges of two templates or more, for all seeds at once."""
-    return subgraphs(result(spark, sf_dir, SQL["bridges"]), _ENOUGH)
+    return subgraphs(QUERIES["bridges"](spark, sf_dir), _ENOUGH)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: runner(sql) for name, sql in SQL.items()}
-QUERIES |= exchange.trips(result) | {"bridge_subgraph": bridge_subgraph}
+QUERIES |= exchange.trips(result) | {"bridge_subgraph": bridge_subgraph} | {name: caller(query) for name, query in calls.CALLS.items()}
 ORACLES: dict[str, str] = {name: with_views(sql, duck=True) for name, sql in SQL.items()}
-ORACLES |= exchange.ORACLES | {"bridge_subgraph": with_views(_BRIDGED, duck=True)}
+ORACLES |= exchange.ORACLES | {"bridge_subgraph": with_views(_BRIDGED, duck=True)} | {name: with_views(sql, duck=True) for name, sql in calls.DUCK.items()}
