@@ -10,10 +10,9 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequences import reverse_complement
+from strandlake.functions.sequences import pad_qualities, reverse_complement
 
 #: What repeated readings of a base on one strand and chemistry add to the highest quality, by their number (10 at most).
 BONUS = (0, 0, 7, 14, 21, 28, 35, 41, 45, 58, 49)
@@ -39,13 +38,7 @@ def pileup(segments: DataFrame, reads: DataFrame) -> DataFrame:
     at = both.where(F.length(dna) > 0).withColumn("from", F.col("x0") + missing).select("contig_id", "seq_id", "dir", "chemistry", "from", row)
     read = at.select("contig_id", (F.col("from") + F.col("pos")).alias("pos"), F.upper("col.base").alias("base"), F.col("col.q").alias("q"), "dir", "chemistry", "seq_id")
 
-    line = W.partitionBy("contig_id", "seq_id").orderBy("x0")
-    gaps = segments.withColumns({"cleft": F.lag("x1").over(line), "rleft": F.lag(F.when(forward, F.col("y1")).otherwise(F.col("y0"))).over(line),
-                                 "rright": F.when(forward, F.col("y0")).otherwise(F.col("y1"))}).where("x0 > cleft + 1").join(reads.select("seq_id", "quality", "chemistry"), "seq_id")
-    flank = lambda c: F.get("quality", (F.col(c) - 1).cast("int"))
-    pads = gaps.withColumns({"q1": flank("rleft"), "q2": flank("rright")}).where("q1 is not null and q2 is not null")
-    pads = pads.select("contig_id", "seq_id", "dir", "chemistry", "q1", "q2", "cleft", "x0", F.explode(F.sequence(F.col("cleft") + 1, F.col("x0") - 1)).alias("pos"))
-    pads = pads.select("contig_id", "pos", F.lit("*").alias("base"), F.expr("cast(q1 + (q2 - q1) * (pos - cleft) div (x0 - cleft) as int)").alias("q"), "dir", "chemistry", "seq_id")
+    pads = pad_qualities(segments, reads.select("seq_id", "quality", "chemistry")).withColumn("base", F.lit("*")).select(read.columns)
     strand = F.when(F.col("dir") == 1, "Forward").otherwise("Reverse")
     return read.unionByName(pads).where("q > 0 and base <> ''").select("contig_id", "pos", "base", "q", strand.alias("strand"), "chemistry", "seq_id")
 

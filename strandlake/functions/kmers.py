@@ -144,7 +144,7 @@ def oligo_hits(sequences: DataFrame, oligos: dict[str, str]) -> DataFrame:
             pieces = dna.where(F.col("dna").rlike(regex)).select("seq_id", between.alias("between"), inside.alias("inside"))
             before = F.transform("inside", lambda _, i: F.aggregate(F.slice("between", F.lit(1), i + 1), F.lit(0), lambda a, v: a + v)
                                  + F.aggregate(F.slice("inside", F.lit(1), i), F.lit(0), lambda a, v: a + v))
-            one = pieces.select(F.lit(name).alias("oligo"), F.lit(strand).alias("strand"), "seq_id", F.explode(before).cast("long").alias("offset"))
+            one = pieces.select(F.lit(name).alias("oligo"), F.lit(strand).alias("strand"), "seq_id", F.explode(before).alias("offset")).withColumn("offset", F.col("offset").cast("long"))
             found = one if found is None else found.unionByName(one)
     return found
 

@@ -1,6 +1,6 @@
 """Lineage of contigs: (contig_id, parent_id) edges, their closure by doubling, links through shared reads, import and removal.
 
-Edges with a null end or parent 0 (retired) take no part.  Cycles do not occur in a lineage; ``relations`` stops on them with an error.
+Edges with a null end take no part.  Cycles do not occur in a lineage; ``relations`` stops on them with an error.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def relations(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each round joins paths of up to 2^k steps with themselves, so a chain of a thousand generations takes ten joins.
     """
-    one = edges.where("parent_id <> 0").select("contig_id", F.col("parent_id").alias("relative")).na.drop().distinct()
+    one = edges.select("contig_id", F.col("parent_id").alias("relative")).na.drop().distinct()
     known = kept(one.withColumn("gen_min", F.lit(1)).withColumn("gen_max", F.lit(1)))
     state = lambda df: df.agg(F.count("*"), F.sum("gen_min"), F.sum("gen_max")).first()
     before = state(known)

@@ -145,16 +145,34 @@ def oligo_pattern(oligo: str) -> str:
     return "-*".join(oligo)
 
 
-def pad_qualities(segments: DataFrame, qualities: DataFrame) -> DataFrame:
-    """contig_id, seq_id, cpos, q at every pad of a mapping: between two segments the quality runs linearly, truncated towards zero.
+def pad_qualities(segments: DataFrame, reads: DataFrame) -> DataFrame:
+    """``reads`` (seq_id, quality, ...) with contig_id, dir, pos and q of every pad of a mapping.
 
-    ``qualities``: seq_id, pos, q of the read's bases; a side without quality gives no pads.
+    Between two segments the quality runs linearly from flank to flank, truncated towards zero.  A flank without quality gives no pads.
     """
     line = W.partitionBy("contig_id", "seq_id").orderBy("x0")
     forward = F.col("dir") == 1
-    at = segments.withColumns({"cleft": F.lag("x1").over(line), "rleft": F.lag(F.when(forward, F.col("y1")).otherwise(F.col("y0"))).over(line),
-                               "rright": F.when(forward, F.col("y0")).otherwise(F.col("y1"))}).where("x0 > cleft + 1")
-    q = lambda end, name: qualities.select("seq_id", F.col("pos").alias(end), F.col("q").alias(name))
-    both = at.join(q("rleft", "q1"), ["seq_id", "rleft"]).join(q("rright", "q2"), ["seq_id", "rright"])
-    each = both.select("contig_id", "seq_id", "q1", "q2", "cleft", "x0", "dir", F.explode(F.sequence(F.col("cleft") + 1, F.col("x0") - 1)).alias("cpos"))
-    return each.select("contig_id", "seq_id", "cpos", "dir", F.expr("cast(q1 + (q2 - q1) * (cpos - cleft) div (x0 - cleft) as int)").alias("q"))
+    gaps = segments.withColumns({"cleft": F.lag("x1").over(line), "rleft": F.lag(F.when(forward, F.col("y1")).otherwise(F.col("y0"))).over(line),
+                                 "rright": F.when(forward, F.col("y0")).otherwise(F.col("y1"))}).where("x0 > cleft + 1").join(reads, "seq_id")
+    flank = lambda c: F.get("quality", (F.col(c) - 1).cast("int"))
+    pads = gaps.withColumns({"q1": flank("rleft"), "q2": flank("rright")}).where("q1 is not null and q2 is not null")
+    rest = [c for c in reads.columns if c != "quality"]
+    each = pads.select("contig_id", "dir", *rest, "q1", "q2", "cleft", "x0", F.explode(F.sequence(F.col("cleft") + 1, F.col("x0") - 1)).alias("pos"))
+    return each.select("contig_id", "dir", *rest, "pos", F.expr("cast(q1 + (q2 - q1) * (pos - cleft) div (x0 - cleft) as int)").alias("q"))
+
+
+def quality_clips(bases: DataFrame, threshold: int = 15) -> DataFrame:
+    """seq_id, qleft, qright: around the place where the running sums of quality minus threshold, reset at 0, forwards and backwards are largest
+    together (the first such place), between the resets before and after.  Sequences without a positive sum have no clip.
+
+    A sum that is reset at 0 is the prefix sum minus its least value so far.
+    """
+    there, back = W.partitionBy("seq_id").orderBy("pos"), W.partitionBy("seq_id").orderBy(F.col("pos").desc())
+    d = F.col("q") - threshold
+    at = bases.withColumns({"pf": F.sum(d).over(there), "pb": F.sum(d).over(back)})
+    at = at.withColumns({"up": F.col("pf") - F.least(F.lit(0), F.min("pf").over(there)), "down": F.col("pb") - F.least(F.lit(0), F.min("pb").over(back))})
+    best = at.groupBy("seq_id").agg(F.max(F.struct((F.col("up") + F.col("down")).alias("s"), (-F.col("pos")).alias("p"))).alias("b"), F.max("pos").alias("last")).where("b.s > 0")
+    met = at.join(best.select("seq_id", (-F.col("b.p")).alias("at"), "last"), "seq_id")
+    left = F.max(F.when((F.col("pos") <= F.col("at")) & (F.col("up") == 0), F.col("pos")).otherwise(0)) + 1
+    right = F.coalesce(F.min(F.when((F.col("pos") >= F.col("at")) & (F.col("down") == 0), F.col("pos"))), F.max("last") + 1) - 1
+    return met.groupBy("seq_id").agg(left.alias("qleft"), right.alias("qright"))

@@ -263,9 +263,9 @@ def activity(a: Assembly, days: int) -> DataFrame:
     return sums.join(imports, "assembly_id", "left").na.fill(0, ["recent_imports"])
 
 
-call("read_increment", """select read_id, readname from a_readinfo where read_id>(select max(read_id) from a_readinfo where asped<date '1996-01-01' and status='PASS')
-        and readname not in (select readname from a_readinfo where asped<date '1996-01-01' and status='PASS')
-        union all select read_id, readname from a_readinfo where false""")(lambda a: increment(a.readinfo, a.readinfo.where("asped < date '1996-01-01' and status = 'PASS'")).select("read_id", "readname"))
+call("read_increment", """with held as (select * from a_readinfo where template_id*4<(select max(template_id)*3 from a_readinfo))
+        select read_id, readname from a_readinfo where read_id>(select max(read_id) from held) and readname not in (select readname from held)""")(
+    lambda a: increment(a.readinfo, a.sql("select * from a_readinfo where template_id*4<(select max(template_id)*3 from a_readinfo)")).select("read_id", "readname"))
 
 # ---- interval mappings
 

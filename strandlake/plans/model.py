@@ -73,8 +73,9 @@ VIEWS = {
     "a_seq": """select doc_id as seq_id, translate(lower(text),'abcdefghijklmnopqrstuvwxyz','acgtacgtacgtacgtacgtacgtac') as dna
       from documents where text is not null""",
     "a_dna": """select seq_id, upper(RXALL[dna; '(\\W|_|0|1|2|3|4|5|6|7|8|9)+'; '']) as dna from a_seq""",
-    "a_readseq": """select r.read_id as seq_id, r.read_id, d.dna from a_read r
-      join (select seq_id as doc, substr(dna,1,300) as dna from a_dna where length(dna)>0) d on d.doc=r.read_id%(select count(*) from documents)""",
+    "a_readseq": """select r.read_id as seq_id, r.read_id, d.dna
+      from (select read_id, read_id%n as doc from a_read cross join (select count(*) as n from documents) c) r
+      join (select seq_id as doc, substr(dna,1,300) as dna from a_dna where length(dna)>0) d on d.doc=r.doc""",
     "a_version": """select read_id*2 as seq_id, read_id, 0 as version from a_read
       union all select read_id*2+1, read_id, 1 from a_read where l_tax>0.04""",
     "a_seg": """select contig_id, seq_id, cast(cstart as bigint) as x0, cast(cstart+length-1 as bigint) as x1,

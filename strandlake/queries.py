@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.operators.components import subgraphs
-from strandlake.plans import calls, derived, placement, sequences, statistics, structure
+from strandlake.plans import calls, derived, placement, sequence_calls, sequences, statistics, structure  # noqa: F401 (sequence_calls adds to calls)
 from strandlake.plans.assembly import Assembly
 from strandlake.plans.model import with_views
 from strandlake.sources import exchange
