@@ -1,0 +1 @@
+"""Operators as functions of DataFrames and arguments; ``strandlake.plans`` calls them for the queries."""

@@ -128,7 +128,7 @@ def equal(one: DataFrame, two: DataFrame, keys=KEYS, by: str = "seq_id") -> Data
         whole = W.partitionBy(*keys)
         low, high = F.min("x0").over(whole), F.max("x1").over(whole)
         at = segments.withColumns({"a": F.col("x0") - low, "b": high - F.col("x1"), "low": low, "high": high, "size": F.col("x1") - F.col("x0")})
-        shape = lambda start, way: F.md5(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(start), F.col("size"), F.col("y0"), (F.col("dir") * way).alias("d"))))))
+        shape = lambda start, way: F.md5(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(start).alias("at"), F.col("size"), F.col("y0"), (F.col("dir") * way).alias("d"))))))
         return at.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"), shape("a", 1).alias("plain"), shape("b", -1).alias("turned"))
 
     a = shapes(one).select(*keys, "low", "high", F.col("plain").alias("shape"))

@@ -12,16 +12,12 @@ from strandlake.functions import sequences as sq
 from strandlake.operators.components import kept
 from strandlake.plans.assembly import Assembly
 from strandlake.plans.calls import call
+from strandlake.sources.exchange import shared_folder, with_quality
 
 #: The quality of the model at position i of a read (from 1), in both engines.
 _Q = "(ascii(substr(dna,cast(i as int),1))*7+i*13)%41"
 
 
-def with_quality(df: DataFrame) -> DataFrame:
-    """Adds quality, an array of int, as the model defines it."""
-    return df.withColumn("quality", F.transform(F.slice(F.split("dna", ""), F.lit(1), F.length("dna")), lambda c, i: ((F.ascii(c) * 7 + (i + 1) * 13) % 41).cast("int")))
-
-
 def texts(a: Assembly) -> DataFrame:
     return a.given("documents").select(F.col("doc_id").alias("seq_id"), F.col("text").alias("dna"))
 
@@ -79,10 +75,9 @@ def end_trim(a: Assembly) -> DataFrame:
 
 
 _ENZYMES = {"EcoRI": "GAATTC", "HaeII": "RGCGCY", "HinfI": "GANTC"}
-call("digest", """with e as (select * from (values ('EcoRI','GAATTC',6),('HaeII','[AG]GCGC[CT]',6),('HinfI','GA[ACGT]TC',5)) v(enzyme, pattern, w)),
-        placed as (select e.enzyme, seq_id, unnest(range(1,length(dna)-w+2)) as pos, dna, pattern, w from a_dna, e where length(dna)>=w),
-        hit as (select enzyme, seq_id, pos from placed where regexp_full_match(substr(dna,pos,w),pattern))
-        select enzyme, seq_id, pos, lead(pos) over (partition by enzyme, seq_id order by pos)-pos as fragment from hit""")(lambda a: sq.digest(a.dna, _ENZYMES))
+_SITES = " union all ".join(f"select '{n}' as enzyme, seq_id, pos from (select seq_id, dna, unnest(range(1,length(dna)-{w}+2)) as pos from a_dna where length(dna)>={w}) x where regexp_full_match(substr(dna,pos,{w}),'{p}')"
+                       for n, p, w in (("EcoRI", "GAATTC", 6), ("HaeII", "(A|G)GCGC(C|T)", 6), ("HinfI", "GA(A|C|G|T)TC", 5)))
+call("digest", f"with hit as ({_SITES}) select enzyme, seq_id, pos, lead(pos) over (partition by enzyme, seq_id order by pos)-pos as fragment from hit")(lambda a: sq.digest(a.dna, _ENZYMES))
 call("fn_oligo_pattern", "select seq_id, regexp_extract(dna,'a-*c-*a-*c',0) as first_hit from a_seq")(lambda a: a.seq.select("seq_id", F.regexp_extract("dna", sq.oligo_pattern("acac"), 0).alias("first_hit")))
 _PADS = """g as (select *, lag(x1) over w as cleft, lag(case when dir=1 then y1 else y0 end) over w as rleft, case when dir=1 then y0 else y1 end as rright from a_curseg window w as (partition by contig_id, seq_id order by x0)),
     pads as (select g.contig_id, g.seq_id, g.dir, unnest(range(cleft+1, x0)) as pos, cleft, x0, s.dna, rleft, rright from g join a_readseq s on s.seq_id=g.seq_id where x0>cleft+1 and rleft<=length(s.dna) and rright<=length(s.dna)),
@@ -147,8 +142,6 @@ call("sink_consensus_upsert", f"with o as ({_HELD}), n as ({_FRESH}) select coal
 
 def stored_again(a: Assembly) -> DataFrame:
     """A stored consensus table rewritten with new rows in place of old ones: the new version is a folder of its own."""
-    from strandlake.sources.exchange import shared_folder
-
     a.sql(_HELD).write.parquet(old := shared_folder(a.spark))
     co.upserted(a.spark.read.parquet(old), a.sql(_FRESH)).write.parquet(new := shared_folder(a.spark))
     return a.spark.read.parquet(new)

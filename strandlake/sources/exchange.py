@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.plans.model import with_views
@@ -37,48 +37,106 @@ def write_fasta_quality(rows: DataFrame, path: str) -> None:
     rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.array_join("quality", " "))).write.text(path)
 
 
-#: One text per block, entry or line, in SQL that both engines read.
-TEXTS = {
-    "sink_caf": """select contig_id, concat('Sequence : contig', cast(contig_id as varchar(20)), chr(10), 'Is_contig', chr(10), 'Padded', chr(10),
-          JOINED[concat('Assembled_from r', cast(seq_id as varchar(20)), ' ', cast(cstart as varchar(20)), ' ', cast(cstart+length-1 as varchar(20)), ' ',
-            cast(rstart as varchar(20)), ' ', cast(case when direction='Forward' then rstart+length-1 else rstart-length+1 end as varchar(20))); chr(10); seq_id, cstart]) as block
-        from a_segment group by contig_id""",
-    "sink_embl": """select contig_id, concat('ID   contig', cast(contig_id as varchar(20)), ';', chr(10),
-          JOINED[concat('FT   ', tagtype, '   ', case when tag_id%2=0 then '' else 'complement(' end, cast(cstart as varchar(20)), '..', cast(cfinal as varchar(20)),
-            case when tag_id%2=0 then '' else ')' end); chr(10); tag_id]) as entry
-        from a_tag group by contig_id""",
-    "sink_baf": """select contig_id, concat('CO=contig', cast(contig_id as varchar(20)), chr(10), 'LN=', cast(length as varchar(20)), chr(10),
-          'SQ=', cast(nreads as varchar(20))) as record from a_cur""",
-    "sink_maf": """select m.seq_id, concat('r', cast(m.seq_id as varchar(20)), ' ', cast(coalesce(q.qleft+1,1) as varchar(20)), ' ', cast(coalesce(q.qright,300) as varchar(20)),
-          ' ', case when m.direction='Forward' then '0' else '1' end, ' contig', cast(m.contig_id as varchar(20)), ' ', cast(m.cstart-1 as varchar(20)), ' ',
-          cast(m.cfinish-1 as varchar(20))) as placed
-        from a_curmap m left join a_qualityclip q on q.seq_id=m.seq_id""",
-    "sink_agp": """with p as (select project_id, contig_id, length, row_number() over (partition by project_id order by length desc, contig_id) as k,
-          sum(length+100) over (partition by project_id order by length desc, contig_id rows between unbounded preceding and current row) as run from a_cur)
-        select contig_id, concat('scaffold', cast(project_id as varchar(20)), chr(9), cast(run-length-100+1 as varchar(20)), chr(9), cast(run-100 as varchar(20)), chr(9),
-          cast(2*k-1 as varchar(20)), chr(9), 'W', chr(9), 'contig', cast(contig_id as varchar(20)), chr(9), '1', chr(9), cast(length as varchar(20)), chr(9), '+') as line from p""",
-    "sink_csv_report": """select project_id, concat(cast(project_id as varchar(20)), ',', cast(count(*) as varchar(20)), ',', cast(sum(nreads) as varchar(20)), ',',
-          cast(sum(length) as varchar(20))) as line from a_cur group by project_id""",
-}
+def wrapped(dna: str, width: int = 60) -> Column:
+    return F.regexp_replace(dna, rf"(.{{{width}}})(?=.)", "$1\n")
+
+
+def text_of(*parts: Column | str) -> Column:
+    """Parts as one text; a Column stays, a string is literal."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def in_order(rows: DataFrame, keys: list[str], line: Column, *order: str) -> DataFrame:
+    """keys, lines: the lines of a group in order, one below the other."""
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))["line"], "\n").alias("lines"))
+
+
+def caf(contigs: DataFrame, segments: DataFrame, reads: DataFrame) -> DataFrame:
+    """block: CAF blocks of contigs (name, dna, quality) with their Assembled_from lines, and of reads.
+
+    ``segments``: name, read, cstart, cfinish, rstart, rfinish.  ``reads``: name, template, strand, si_low, si_high, qleft, qright, dna, quality;
+    null fields have no line.
+    """
+    c = F.col
+    of = in_order(segments, ["name"], text_of("Assembled_from ", c("read"), " ", c("cstart"), " ", c("cfinish"), " ", c("rstart"), " ", c("rfinish")), "cstart", "read")
+    head = contigs.join(of, "name", "left").select(F.concat_ws("\n", text_of("Sequence : ", c("name")), F.lit("Is_contig"), F.lit("Padded"), "lines").alias("block"))
+    read = reads.select(F.concat_ws("\n", text_of("Sequence : ", c("name")), F.lit("Is_read"), F.lit("Padded"), text_of("Template ", c("template")), text_of("Insert_size ", c("si_low"), " ", c("si_high")),
+                                    text_of("Strand ", c("strand")), text_of("Clipping QUAL ", c("qleft"), " ", c("qright"))).alias("block"))
+    both = contigs.select("name", "dna", "quality").unionByName(reads.select("name", "dna", "quality")).where("dna is not null")
+    dna = both.select(text_of("DNA : ", c("name"), "\n", wrapped("dna")).alias("block"))
+    quality = both.where("quality is not null").select(text_of("BaseQuality : ", c("name"), "\n", F.array_join("quality", " ")).alias("block"))
+    return head.unionByName(read).unionByName(dna).unionByName(quality)
+
+
+def fastq(reads: DataFrame) -> DataFrame:
+    """record of reads (name, dna, quality): qualities over 93 count as 93."""
+    symbols = F.array_join(F.transform("quality", lambda q: F.char(F.least(q, F.lit(93)) + 33)), "")
+    return reads.select(text_of("@", F.col("name"), "\n", F.col("dna"), "\n+\n", symbols).alias("record"))
+
+
+def embl_text(contigs: DataFrame, tags: DataFrame) -> DataFrame:
+    """entry: a minimal EMBL entry of contigs (contig, dna) with tags (contig, tagtype, first, last, strand, tag_id) as features."""
+    c = F.col
+    place = F.when(c("strand") == "F", text_of(c("first"), "..", c("last"))).otherwise(text_of("complement(", c("first"), "..", c("last"), ")"))
+    features = in_order(tags, ["contig"], text_of("FT   ", c("tagtype"), "   ", place), "first", "tag_id")
+    at = contigs.join(features, "contig", "left")
+    return at.select(F.concat_ws("\n", text_of("ID   ", c("contig"), "; SV 1; linear; ", F.length("dna"), " BP."), "lines", F.lit("SQ   Sequence"), wrapped("dna")).alias("entry"))
+
+
+def baf(contigs: DataFrame, reads: DataFrame) -> DataFrame:
+    """record: BAF records of contigs (contig, dna, padded) and their placed reads (contig, read, cstart, cfinish, direction); unpadded contigs are rejected."""
+    c = F.col
+    good = contigs.where("padded")
+    head = good.select(text_of("CO=", c("contig"), "\nLN=", F.length("dna"), "\nSQ=", c("dna")).alias("record"))
+    each = reads.join(good.select("contig"), "contig", "left_semi")
+    turn = F.when(c("direction") == "Forward", "1").otherwise("-1")
+    return head.unionByName(each.select(text_of("RD=", c("read"), "\nSO=", c("contig"), "\nAP=", c("cstart"), "\nDR=", turn, "\nLN=", c("cfinish") - c("cstart") + 1).alias("record")))
+
+
+def maf(contigs: DataFrame, placed: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """FASTA rows (name, dna) with N as X, and lines of placed reads: read, clipped range, direction, contig, supercontig, zero-based places."""
+    from strandlake.functions.sequences import n_to_x
+
+    c = F.col
+    lines = placed.select(F.concat_ws(" ", text_of(c("read")), text_of(c("qleft")), text_of(c("qright")), F.when(c("direction") == "Forward", "0").otherwise("1"), text_of(c("contig")),
+                                      text_of(c("contig")), text_of(c("cstart") - 1), text_of(c("cstart") - 1)).alias("line"))
+    return contigs.select(c("contig").alias("name"), n_to_x("dna", least).alias("dna")), lines
+
 
 _EXPERIMENT = """select r.readname as name, cast(r.template_id as varchar(20)) as template, r.asped, l.silow as si_low, l.sihigh as si_high,
   q.qleft, q.qright, r.status from a_readinfo r join a_template t on t.template_id=r.template_id
   join a_ligation l on l.ligation_id=t.ligation_id left join a_qualityclip q on q.seq_id=r.read_id"""
 _MATCH = """select m.cfinish-m.cstart+1 as score, concat('r', cast(m.seq_id as varchar(20))) as one, m.cfinish-m.cstart+1 as one_last,
-  m.direction='Reverse' as turned, concat('contig', cast(m.contig_id as varchar(20))) as two, m.cstart as two_first, m.cfinish as two_last,
+  m.direction='Reverse' as turned, concat('contig', cast(m.contig_id as varchar(20))) as two, case when m.direction='Reverse' then m.cfinish else m.cstart end as two_first,
+  case when m.direction='Reverse' then m.cstart else m.cfinish end as two_last,
   m.contig_length-m.cfinish as two_tail from a_curmap m"""
 
+_CONTIGS = "select concat('contig', cast(c.contig_id as varchar(20))) as name, s.dna from a_cur c join a_dna s on s.seq_id=c.project_id*7+c.nreads where length(s.dna)>0"
+_CAF_READS = """select concat('r', cast(r.read_id as varchar(20))) as name, concat('t', cast(r.template_id as varchar(20))) as template, r.strand, l.silow as si_low, l.sihigh as si_high, q.qleft, q.qright, s.dna
+  from a_readinfo r join a_template t on t.template_id=r.template_id join a_ligation l on l.ligation_id=t.ligation_id left join a_qualityclip q on q.seq_id=r.read_id join a_readseq s on s.read_id=r.read_id"""
+_FEATURES = """select concat('contig', cast(contig_id as varchar(20))) as contig, tagtype, cstart as first, cfinal as last, case when tag_id%2=0 then 'F' else 'R' end as strand, tag_id from a_tag"""
+_PLACED = "select concat('contig', cast(contig_id as varchar(20))) as contig, concat('r', cast(seq_id as varchar(20))) as read, cstart, cfinish, direction from a_curmap"
+_CLIPPED = """select concat('contig', cast(m.contig_id as varchar(20))) as contig, concat('r', cast(m.seq_id as varchar(20))) as read, m.cstart, m.direction, coalesce(q.qleft+1,1) as qleft, coalesce(q.qright,300) as qright
+  from a_curmap m left join a_qualityclip q on q.seq_id=m.seq_id"""
+_REPORT = """select p.name, count(*) as contigs, cast(sum(c.nreads) as bigint) as nreads, cast(sum(c.length) as bigint) as total_length from a_cur c join a_project p on p.project_id=c.project_id group by p.name"""
+
+
+def with_quality(df: DataFrame) -> DataFrame:
+    """Adds quality, an array of int, as the model defines it."""
+    return df.withColumn("quality", F.transform(F.slice(F.split("dna", ""), F.lit(1), F.length("dna")), lambda c, i: ((F.ascii(c) * 7 + (i + 1) * 13) % 41).cast("int")))
+
+
 #: What a round trip must give back.
 EXPECTED = {
-    "src_fasta": """select cast(seq_id as varchar(20)) as name, translate(dna, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '') as dna from a_seq""",
+    "src_fasta": "select cast(seq_id as varchar(20)) as name, dna from a_dna",
     "src_caf": """select concat('contig', cast(contig_id as varchar(20))) as contig, concat('r', cast(seq_id as varchar(20))) as read, cast(cstart as bigint) as cstart,
         cast(cstart+length-1 as bigint) as cfinish, cast(rstart as bigint) as rstart,
-        cast(case when direction='Forward' then rstart+length-1 else rstart-length+1 end as bigint) as rfinish from a_segment""",
+        cast(case when direction='Forward' then rstart+length-1 else rstart-length+1 end as bigint) as rfinish
+        from a_segment where contig_id in (select contig_id from a_cur)""",
     "src_embl": """select concat('contig', cast(contig_id as varchar(20))) as contig, tagtype, cast(cstart as bigint) as first, cast(cfinal as bigint) as last,
         case when tag_id%2=0 then 'F' else 'R' end as strand from a_tag""",
     "src_expfile": _EXPERIMENT,
     "src_crossmatch": _MATCH,
-    "src_fasta_qual": """select cast(seq_id as varchar(20)) as name, count(*) as n, cast(sum(q) as bigint) as total from a_base_at group by seq_id""",
     "src_lists": "select concat('contig', cast(contig_id as varchar(20))) as name, cast(project_id as varchar(20)) as value from a_cur",
 }
 Load = Callable[[SparkSession, str, str], DataFrame]
@@ -91,22 +149,77 @@ def trips(load: Load) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rows.write.option("lineSep", separator).text(path := shared_folder(spark))
         return path
 
+    def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return with_quality(load(spark, sf_dir, _CONTIGS))
+
     def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_fasta(load(spark, sf_dir, EXPECTED["src_fasta"]), path := shared_folder(spark))
         return files.read_fasta(spark, path)
 
     def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = load(spark, sf_dir, "select cast(seq_id as varchar(20)) as name, dna from a_seq where length(dna)>0")
-        each = F.transform(F.split("dna", ""), lambda c: F.ascii(c) % 41)
-        write_fasta_quality(rows.select("name", F.slice(each, 1, F.length("dna")).alias("quality")), path := shared_folder(spark))
+        rows = with_quality(load(spark, sf_dir, "select cast(seq_id as varchar(20)) as name, dna from a_dna where length(dna)>0"))
+        write_fasta(rows, path := shared_folder(spark))
+        write_fasta_quality(rows.where("length(dna) % 3 > 0"), other := shared_folder(spark))
         total = F.aggregate("quality", F.lit(0).cast("long"), lambda a, q: a + q)
-        return files.read_fasta_quality(spark, path).select("name", F.size("quality").cast("long").alias("n"), total.alias("total"))
+        return files.read_fasta_pair(spark, path, other).select("name", "dna", F.size("quality").cast("long").alias("n"), total.alias("total"))
+
+    def whole_caf(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Contigs and reads in one file; its blocks."""
+        segments = load(spark, sf_dir, EXPECTED["src_caf"]).withColumnRenamed("contig", "name")
+        reads = with_quality(load(spark, sf_dir, _CAF_READS))
+        return files.caf_blocks(spark, written(spark, caf(contigs(spark, sf_dir), segments, reads), "\n\n"))
 
-    def caf(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return files.caf_segments(files.caf_blocks(spark, written(spark, load(spark, sf_dir, TEXTS["sink_caf"]).select("block"), "\n\n")))
+    def caf_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return files.caf_segments(whole_caf(spark, sf_dir))
 
-    def embl(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return files.read_embl(spark, written(spark, load(spark, sf_dir, TEXTS["sink_embl"]).select("entry"), "\n//\n"))
+    def caf_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        blocks = whole_caf(spark, sf_dir)
+        sequences = files.caf_sequences(blocks).select("name", F.lit("sequence").alias("kind"), F.length("dna").cast("long").alias("n"), F.md5("dna").alias("digest"), F.size("quality").cast("long").alias("more"))
+        segments = files.caf_segments(blocks).groupBy(F.col("contig").alias("name")).agg(F.count("*").alias("n"), F.sum("cstart").alias("more"))
+        reads = files.caf_reads(blocks).join(files.caf_clips(blocks).select("name", "last"), "name", "left").select("name", F.lit("read").alias("kind"), F.col("si_high").alias("n"), F.concat_ws(" ", "template", "strand").alias("digest"), F.col("last").alias("more"))
+        return sequences.unionByName(segments.select("name", F.lit("contig").alias("kind"), "n", F.lit(None).cast("string").alias("digest"), "more")).unionByName(reads)
+
+    def fasta_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        write_fasta(contigs(spark, sf_dir), path := shared_folder(spark))
+        lines = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''").select(F.regexp_replace("value", r"^>|\n$", "").alias("record"))
+        return lines.select(F.regexp_extract("record", r"^(\S+)", 1).alias("name"), F.md5("record").alias("digest"), F.array_max(F.transform(F.split("record", "\n"), F.length)).cast("long").alias("widest"))
+
+    def fastq_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = written(spark, fastq(contigs(spark, sf_dir).withColumn("quality", F.transform("quality", lambda q: q * 3))))
+        lines = spark.read.option("lineSep", "\n@contig").text(path).select(F.split(F.regexp_replace("value", "^@contig", ""), "\n").alias("l")).where("l[0] <> ''")
+        return lines.select(F.concat(F.lit("contig"), F.col("l")[0]).alias("name"), F.col("l")[1].alias("dna"), F.md5(F.col("l")[3]).alias("digest"))
+
+    def embl_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tags = load(spark, sf_dir, _FEATURES)
+        path = written(spark, embl_text(contigs(spark, sf_dir).withColumnRenamed("name", "contig"), tags), "\n//\n")
+        body = F.regexp_replace(F.regexp_extract("value", r"(?s)SQ   Sequence\n(.*)", 1), r"\s+", "")
+        found = files.read_embl(spark, path).groupBy(F.col("contig").alias("name")).agg(F.count("*").alias("tags"), F.sum("first").alias("firsts"))
+        whole = files.records(spark, path, "\n//\n").select(F.regexp_extract("value", r"(?m)^ID\s+([^\s;]+)", 1).alias("name"), F.md5(body).alias("digest"))
+        return whole.join(found, "name", "left").na.fill(0)
+
+    def baf_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = contigs(spark, sf_dir).select(F.col("name").alias("contig"), "dna", (F.length("dna") % 2 == 0).alias("padded"))
+        path = written(spark, baf(at, load(spark, sf_dir, _PLACED)), "\n\n")
+        rows = files.records(spark, path, "\n\n")
+        one = lambda code: F.regexp_extract("value", rf"(?m)^{code}=([^\n]*)", 1)
+        of = rows.select(F.when(F.col("value").startswith("CO="), one("CO")).otherwise(one("SO")).alias("name"), F.col("value").startswith("CO=").alias("head"), one("LN").cast("long").alias("n"), F.md5(one("SQ")).alias("d"))
+        return of.groupBy("name").agg(F.max(F.when(F.col("head"), F.col("d"))).alias("digest"), F.count_if(~F.col("head")).alias("reads"), F.sum(F.when(~F.col("head"), F.col("n")).otherwise(0)).alias("bases"))
+
+    def maf_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fasta_rows, lines = maf(contigs(spark, sf_dir).select(F.col("name").alias("contig"), F.regexp_replace("dna", "GA(?=T)", "GN").alias("dna")), load(spark, sf_dir, _CLIPPED), 3)
+        write_fasta(fasta_rows, path := shared_folder(spark))
+        w = F.split("value", " ")
+        placed = spark.read.text(written(spark, lines)).select(w[4].alias("name"), w[1].cast("long").alias("l"), w[6].cast("long").alias("at"))
+        sums = placed.groupBy("name").agg(F.count("*").alias("reads"), F.sum("l").alias("lefts"), F.sum("at").alias("places"))
+        return files.read_fasta(spark, path).select("name", F.md5("dna").alias("digest")).join(sums, "name", "left").na.fill(0)
+
+    def csv_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+        load(spark, sf_dir, _REPORT).write.csv(path := shared_folder(spark), header=True)
+        return spark.read.csv(path, header=True, schema="name string, contigs long, nreads long, total_length long")
+
+    def embl_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = load(spark, sf_dir, "select distinct concat('contig', cast(contig_id as varchar(20))) as contig, 'ACGT' as dna from a_tag")
+        return files.read_embl(spark, written(spark, embl_text(at, load(spark, sf_dir, _FEATURES)), "\n//\n"))
 
     def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = load(spark, sf_dir, _EXPERIMENT)
@@ -119,7 +232,7 @@ def trips(load: Load) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def crossmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = [F.col(c).cast("string") for c in ("two_first", "two_last")]
         tail = F.concat(F.lit("("), F.col("two_tail").cast("string"), F.lit(")"))
-        two = F.when(F.col("turned"), F.concat_ws(" ", F.lit("C"), "two", tail, text[1], text[0])).otherwise(F.concat_ws(" ", "two", *text, tail))
+        two = F.when(F.col("turned"), F.concat_ws(" ", F.lit("C"), "two", tail, *text)).otherwise(F.concat_ws(" ", "two", *text, tail))
         line = F.concat_ws(" ", F.col("score").cast("string"), F.lit("0.00 0.00 0.00"), "one", F.lit("1"), F.col("one_last").cast("string"), F.lit("(0)"), two)
         found = files.read_crossmatch(spark, written(spark, load(spark, sf_dir, _MATCH).select(line)))
         return found.select("score", "one", "one_last", "turned", "two", "two_first", "two_last", "two_tail")
@@ -128,9 +241,25 @@ def trips(load: Load) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return files.read_list(spark, written(spark, load(spark, sf_dir, EXPECTED["src_lists"]).select(F.concat_ws("\t", "name", "value"))))
 
     return {
-        "src_fasta": fasta, "src_fasta_qual": quality, "src_caf": caf, "src_embl": embl, "src_expfile": experiment,
-        "src_crossmatch": crossmatch, "src_lists": lists,
+        "src_fasta": fasta, "src_fasta_qual": quality, "src_caf": caf_in, "src_embl": embl_in, "src_expfile": experiment,
+        "src_crossmatch": crossmatch, "src_lists": lists, "sink_caf": caf_out, "sink_fasta": fasta_out, "sink_fastq": fastq_out, "sink_embl": embl_out,
+        "sink_baf": baf_out, "sink_maf": maf_out, "sink_csv_report": csv_out,
     }
 
 
-ORACLES = {name: with_views(sql, duck=True) for name, sql in EXPECTED.items()}
+_QS = "list_transform(range(1,length(dna)+1), lambda i: (ascii(substr(dna,i,1))*7+i*13)%41)"
+_LINES = "array_to_string(list_transform(range(0,cast(ceil(length(dna)/60.0) as bigint)), lambda i: substr(dna,i*60+1,60)), chr(10))"
+#: DuckDB SQL for what comes back from written files.
+DUCK = {
+    "src_fasta_qual": f"select cast(seq_id as varchar) as name, dna, case when length(dna)%3>0 then length(dna) else null end as n, case when length(dna)%3>0 then cast(list_sum({_QS}) as bigint) end as total from a_dna where length(dna)>0",
+    "sink_caf": f"""select name, 'sequence' as kind, length(dna) as n, md5(dna) as digest, length(dna) as more from ({_CONTIGS} union all select name, dna from ({_CAF_READS}) r) x
+        union all select c.name, 'contig', count(*), null, sum(cstart) from ({_CONTIGS}) c join a_segment s on concat('contig',s.contig_id)=c.name group by c.name
+        union all select name, 'read', si_high, concat(template,' ',strand), qright from ({_CAF_READS}) r""",
+    "sink_fasta": f"select name, md5(concat(name, chr(10), {_LINES})) as digest, greatest(length(name), least(60,length(dna))) as widest from ({_CONTIGS}) x",
+    "sink_fastq": f"select name, dna, md5(array_to_string(list_transform({_QS}, lambda q: chr(cast(least(q*3,93)+33 as int))),'')) as digest from ({_CONTIGS}) x",
+    "sink_embl": f"select c.name, md5(c.dna) as digest, coalesce(t.tags,0) as tags, coalesce(t.firsts,0) as firsts from ({_CONTIGS}) c left join (select contig, count(*) as tags, cast(sum(first) as bigint) as firsts from ({_FEATURES}) f group by contig) t on t.contig=c.name",
+    "sink_baf": f"select c.name, md5(c.dna) as digest, coalesce(r.k,0) as reads, coalesce(r.b,0) as bases from ({_CONTIGS}) c left join (select contig, count(*) as k, cast(sum(cfinish-cstart+1) as bigint) as b from ({_PLACED}) p group by contig) r on r.contig=c.name where length(c.dna)%2=0",
+    "sink_maf": f"select c.name, md5(replace(c.dna,'GAT','GNT')) as digest, coalesce(r.k,0) as reads, coalesce(r.l,0) as lefts, coalesce(r.p,0) as places from ({_CONTIGS}) c left join (select contig, count(*) as k, cast(sum(qleft) as bigint) as l, cast(sum(cstart-1) as bigint) as p from ({_CLIPPED}) p group by contig) r on r.contig=c.name",
+    "sink_csv_report": _REPORT,
+}
+ORACLES = {name: with_views(sql, duck=True) for name, sql in (EXPECTED | DUCK).items()}

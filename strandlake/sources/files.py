@@ -23,8 +23,14 @@ def fasta_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, dna."""
-    return fasta_records(spark, path).select("name", F.regexp_replace("body", r"\s+", "").alias("dna"))
+    """name, dna; lines with other letters than A, C, G, T, N and X, in either case, are left out."""
+    lines = F.filter(F.split("body", r"\r?\n"), lambda line: line.rlike(r"^[ACGTNXacgtnx]+$"))
+    return fasta_records(spark, path).select("name", F.array_join(lines, "").alias("dna"))
+
+
+def read_fasta_pair(spark: SparkSession, path: str | list[str], quality_path: str | list[str]) -> DataFrame:
+    """name, dna, quality (null for a sequence without qualities); qualities of unknown names go."""
+    return read_fasta(spark, path).join(read_fasta_quality(spark, quality_path), "name", "left")
 
 
 def read_fasta_quality(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -68,6 +74,20 @@ def caf_clips(blocks: DataFrame) -> DataFrame:
     return _lines(blocks.where("kind = 'Sequence'"), r"(?m)^Clipping\s+(\S+)\s+(\d+)\s+(\d+)", names, "name")
 
 
+def caf_vectors(blocks: DataFrame) -> DataFrame:
+    """name, kind (Seq_vec or Clone_vec), vector, first, last of every vector line."""
+    names = {"kind": "string", "method": "string", "first": "long", "last": "long", "vector": "string"}
+    return _lines(blocks.where("kind = 'Sequence'"), r'(?m)^(Seq_vec|Clone_vec)\s+(\S+)\s+(\d+)\s+(\d+)(?:\s+"([^"\n]*)")?', names, "name").drop("method")
+
+
+def caf_reads(blocks: DataFrame) -> DataFrame:
+    """name, template, strand, si_low, si_high, asped of the reads; null where a line is missing."""
+    one = lambda pattern, k=1: F.nullif(F.regexp_extract("body", rf"(?m)^{pattern}", k), F.lit(""))
+    at = blocks.where((F.col("kind") == "Sequence") & F.col("body").rlike(r"(?m)^Is_read"))
+    return at.select("name", one(r"Template\s+(\S+)").alias("template"), one(r"Strand\s+(\S+)").alias("strand"), one(r"Insert_size\s+(\d+)\s+(\d+)").cast("long").alias("si_low"),
+                     one(r"Insert_size\s+(\d+)\s+(\d+)", 2).cast("long").alias("si_high"), F.try_to_date(one(r"Asped\s+(\S+)")).alias("asped"))
+
+
 def caf_sequences(blocks: DataFrame) -> DataFrame:
     """name, dna, quality (null where there is no BaseQuality block), one row per name in each block kind."""
     dna = blocks.where("kind = 'DNA'").select("name", F.regexp_replace("body", r"\s+", "").alias("dna"))
@@ -85,7 +105,7 @@ def read_embl(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_experiment(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per experiment record: name, template, asped, ligation, si_low, si_high, strand_code, chemistry, basecaller,
-    qleft, qright, status, tags (array), dna.  Records end with a line ``//``."""
+    qleft, qright, status, tags (array), comments (array), trace, clone, direction, quality (array of int), dna.  Records end with a line ``//``."""
     rows = records(spark, path, "\n//\n")
     one = lambda code: F.nullif(F.regexp_extract("value", rf"(?m)^{code}\s+([^\n]+)", 1), F.lit(""))
     size = lambda k: F.nullif(F.regexp_extract("value", r"(?m)^SI\s+(\d+)\.\.(\d+)", k), F.lit("")).cast("int")
@@ -93,7 +113,9 @@ def read_experiment(spark: SparkSession, path: str | list[str]) -> DataFrame:
         one("ID").alias("name"), one("TN").alias("template"), F.to_date(one("DT")).alias("asped"), one("LG").alias("ligation"),
         size(1).alias("si_low"), size(2).alias("si_high"), one("PR").alias("strand_code"), one("CH").alias("chemistry"),
         one("BC").alias("basecaller"), one("QL").cast("int").alias("qleft"), one("QR").cast("int").alias("qright"),
-        one("PS").alias("status"), F.regexp_extract_all("value", F.lit(r"(?m)^TG\s+([^\n]+)"), F.lit(1)).alias("tags"),
+        one("PS").alias("status"), one("LN").alias("trace"), one("CN").alias("clone"), one("DR").alias("direction"),
+        F.regexp_extract_all("value", F.lit(r"(?m)^CC\s+([^\n]+)"), F.lit(1)).alias("comments"),
+        F.filter(F.split(F.array_join(F.regexp_extract_all("value", F.lit(r"(?m)^AV\s+([^\n]+)"), F.lit(1)), " "), r"\s+"), lambda w: w != "").cast("array<int>").alias("quality"), F.regexp_extract_all("value", F.lit(r"(?m)^TG\s+([^\n]+)"), F.lit(1)).alias("tags"),
         F.regexp_replace(F.regexp_extract("value", r"(?s)\nSQ[^\n]*\n(.*?)(?:\n//|$)", 1), r"\s+", "").alias("dna"),
     ).where("name is not null")
 
@@ -101,19 +123,20 @@ def read_experiment(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_crossmatch(spark: SparkSession, path: str | list[str], least: int = 0) -> DataFrame:
     """score, subs, dels, inss, one, one_first, one_last, one_tail, turned, two, two_first, two_last, two_tail.
 
-    A ``C`` in the ninth word shifts the rest by one and puts the tail of the second sequence first.
+    A ``C`` (or ``c``) in the ninth word shifts the rest by one and puts the tail of the second sequence first.  Its two ends stay in the
+    order of the line, so the first of a complement match is usually the larger.
     """
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\d+\s+[\d.]+\s+[\d.]+\s+[\d.]+\s+\S+\s+\d+\s+\d+\s+\(\d+\)"))
     w = F.split(F.trim("value"), r"\s+")
-    turned = F.get(w, F.lit(8)) == "C"
+    turned = F.upper(F.get(w, F.lit(8))) == "C"
     at = lambda k: F.regexp_replace(F.get(w, k), r"[()]", "")
     pick = lambda plain, other: F.when(turned, at(F.lit(other))).otherwise(at(F.lit(plain)))
     number = lambda k, kind="long": at(F.lit(k)).cast(kind)
     return rows.select(
         number(0).alias("score"), *(number(k, "double").alias(n) for k, n in ((1, "subs"), (2, "dels"), (3, "inss"))),
         at(F.lit(4)).alias("one"), number(5).alias("one_first"), number(6).alias("one_last"), number(7).alias("one_tail"),
-        turned.alias("turned"), pick(8, 9).alias("two"), pick(9, 12).cast("long").alias("two_first"),
-        pick(10, 11).cast("long").alias("two_last"), pick(11, 10).cast("long").alias("two_tail"),
+        turned.alias("turned"), pick(8, 9).alias("two"), pick(9, 11).cast("long").alias("two_first"),
+        pick(10, 12).cast("long").alias("two_last"), pick(11, 10).cast("long").alias("two_tail"),
     ).where(F.col("score") >= least)
 
 
@@ -124,13 +147,13 @@ def read_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(F.get(F.split(line, "\t"), F.lit(0)).alias("name"), F.get(F.split(line, "\t"), F.lit(1)).alias("value"))
 
 
-def read_jdbc_reads(spark: SparkSession, url: str, source: str, known: DataFrame, parts: int = 16, **options: str) -> DataFrame:
+def read_jdbc_reads(spark: SparkSession, url: str, source: str, known: DataFrame, parts: int = 16, key: str = "read_id", **options: str) -> DataFrame:
     """Rows of a relational table of reads (with readname and a numeric read_id) whose names are not in ``known`` yet.
 
-    The scan is split by ranges of read_id, whose bounds the store gives.
+    The scan is split by ranges of read_id, whose bounds the store gives; ``key`` is how the store's SQL writes that column.
     """
     reader = spark.read.format("jdbc").option("url", url).options(**options)
-    low, high = reader.option("query", f"select min(read_id) as a, max(read_id) as b from {source}").load().first()
+    low, high = reader.option("query", f"select min({key}) as a, max({key}) as b from {source}").load().first()
     reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", source)
     if low is not None:
         reader = reader.options(partitionColumn="read_id", lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts))

@@ -1,0 +1 @@
+"""Increments of reads, as batches or from files as they arrive."""

@@ -10,7 +10,7 @@ def increment(incoming: DataFrame, stored: DataFrame, column: str = "read_id") -
     """Rows of ``incoming`` beyond the stored maximum (all if nothing is stored), by name not stored yet; a repeated name is taken once."""
     mark = stored.agg(F.max(column).alias("mark"))  # one row
     beyond = incoming.join(F.broadcast(mark)).where(F.col("mark").isNull() | (F.col(column) > F.col("mark"))).drop("mark")
-    return beyond.join(stored.select("readname"), "readname", "left_anti").dropDuplicates(["readname"])
+    return beyond.join(stored.select("readname"), "readname", "left_anti").dropDuplicates(["readname"]).select(incoming.columns)
 
 
 def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):

@@ -17,7 +17,7 @@ def rows(df):
 
 
 def test_fasta(spark, tmp_path):
-    path = saved(tmp_path, ">a first\nacgt\nac\n>b\n>c\nt\n")
+    path = saved(tmp_path, ">a first\nacgt\nno dna!\nac\n>b\n>c\nt\n")
     assert rows(files.read_fasta(spark, path)) == [("a", "acgtac"), ("b", ""), ("c", "t")]
 
 
@@ -59,10 +59,10 @@ def test_experiment(spark, tmp_path):
 
 
 def test_crossmatch(spark, tmp_path):
-    path = saved(tmp_path, "Maximal\n 90 1.0 0.5 0.0 r1 1 90 (3) c1 11 100 (7)\n 30 0.0 0.0 0.0 r2 1 30 (0) C c1 (5) 95 66\n")
+    path = saved(tmp_path, "Maximal\n 90 1.0 0.5 0.0 r1 1 90 (3) c1 11 100 (7)\n 30 0.0 0.0 0.0 r2 1 30 (0) c c1 (5) 95 66\n")
     found = files.read_crossmatch(spark, path)
     got = [(r.one, r.turned, r.two, r.two_first, r.two_last, r.two_tail) for r in found.orderBy("one").collect()]
-    assert got == [("r1", False, "c1", 11, 100, 7), ("r2", True, "c1", 66, 95, 5)]
+    assert got == [("r1", False, "c1", 11, 100, 7), ("r2", True, "c1", 95, 66, 5)]
     assert files.read_crossmatch(spark, path, least=50).count() == 1
 
 
