@@ -95,8 +95,8 @@ _PILE = f"""{_PADS}, e as (select contig_id, c.seq_id, dir, x0, y0, y1, s.dna, u
     b as (select contig_id, seq_id, dir, x0+k as pos, case when dir=1 then y0+k else y1-k end as i, dna from e),
     p0 as (select contig_id, seq_id, dir, pos, case when dir=1 then substr(dna,i,1) else translate(substr(dna,i,1),'ACGT','TGCA') end as base, {_Q} as q from b where i<=length(dna)
       union all select contig_id, seq_id, dir, pos, '*', q from padq), p as (select p0.*, case when dir=1 then 'Forward' else 'Reverse' end as strand, r.chemistry from p0 join a_readinfo r on r.read_id=p0.seq_id where q>0)"""
-call("pileup", f"with {_PILE} select contig_id, base, strand, count(*) as n, cast(sum(q) as bigint) as quality, min(pos) as first_base, max(pos) as last_base, count(distinct pos) as places from p group by contig_id, base, strand")(
-    lambda a: piled(a).groupBy("contig_id", "base", "strand").agg(F.count("*").alias("n"), F.sum("q").alias("quality"), F.min("pos").alias("first_base"), F.max("pos").alias("last_base"), F.count_distinct("pos").alias("places")))
+call("pileup", f"with {_PILE} select contig_id, base, strand, count(*) as n, cast(sum(q) as bigint) as quality, min(pos) as first_base, max(pos) as last_base from p group by contig_id, base, strand")(
+    lambda a: piled(a).groupBy("contig_id", "base", "strand").agg(F.count("*").alias("n"), F.sum("q").alias("quality"), F.min("pos").alias("first_base"), F.max("pos").alias("last_base")))
 _VOTED = f"""{_PILE}, v as (select contig_id, pos, base, sum(q) as score from p group by contig_id, pos, base),
     w as (select contig_id, pos, first(base order by score desc, position(base in 'ACGT*')) as base, max(score) as score from v group by contig_id, pos)"""
 
@@ -223,7 +223,7 @@ call("kmer_segments", f"""with {_PAIRS}, peak as (select seq_a, seq_b, dir, max(
         l as (select m.* from m join z a on a.seq_id=m.seq_a join z b on b.seq_id=m.seq_b where last_base-first_base+1>=floor(ln(a.k*b.k)))
         select * exclude reach from (select *, max(last_base) over (partition by seq_a, seq_b, dir order by first_base, last_base desc, shift rows between unbounded preceding and 1 preceding) as reach from l) x where reach is null or last_base>reach""")(
     lambda a: km.alignment_segments(indexed(a), _K))
-call("overlap_pairs", f"""with {_PAIRS}, best as (select seq_a, seq_b, first(dir order by n desc, shift, dir desc) as dir, first(shift order by n desc, shift, dir desc) as shift, max(n) as n from n group by all having max(n)>=10),
+call("overlap_pairs", f"""with {_PAIRS}, best as (select seq_a, seq_b, first(dir order by n desc, shift, dir desc) as dir, first(shift order by n desc, shift, dir desc) as shift, max(n) as n from n group by all having max(n)>=100),
         t as (select best.*, a.dna as a, case when dir=1 then b.dna else reverse(translate(b.dna,'ACGT','TGCA')) end as b, case when dir=1 then shift else shift-length(b.dna)-1 end as move from best join a_dna a on a.seq_id=seq_a join a_dna b on b.seq_id=seq_b),
         e as (select seq_a, seq_b, dir, shift, n, i, case when substr(a,i,1)=substr(b,i-move,1) then 1 else -2 end as s from (select *, unnest(range(greatest(1,move+1), least(length(a),length(b)+move)+1)) as i from t) x),
         c as (select *, sum(s) over (partition by seq_a, seq_b order by i) as run from e), d as (select *, run-least(0,min(run) over (partition by seq_a, seq_b order by i)) as now from c)
@@ -231,7 +231,7 @@ call("overlap_pairs", f"""with {_PAIRS}, best as (select seq_a, seq_b, first(dir
 
 
 def overlaps(a: Assembly) -> DataFrame:
-    return km.overlaps(a.dna, km.offsets(indexed(a)), 10)
+    return km.overlaps(a.dna, km.offsets(indexed(a)), 100)
 
 
 _OLIGOS = {"one": "ACGTACG", "two": "TTGACCA", "three": "GAATTC", "four": "CGCACTA"}
