@@ -190,13 +190,13 @@ def prune(rows: pa.Table, needed: list[int], threshold: Fraction, slab: int = 50
             yield i, j
 
 
-def homes_of(rows: DataFrame, classes: DataFrame, block: int, parts: int, most: int, most_shingles: int) -> DataFrame:
-    """set_key, home for every class of ``rows`` (set_key, bucket, many: the bands that several classes share)."""
+def homes_of(rows: DataFrame, block: int, parts: int, most: int, most_shingles: int) -> DataFrame:
+    """set_key, home for every class of ``rows`` (set_key, size, bucket, many: the bands that several classes share)."""
     largest = lambda df, key: df.groupBy(key).agg(F.max("m").alias("m"))
     own = largest(rows.select("set_key", F.struct("many", "bucket").alias("m")), "set_key")
     next_to = largest(rows.select("set_key", "bucket").join(own, "set_key"), "bucket")
-    led = largest(rows.select("set_key", "bucket").join(next_to, "bucket"), "set_key").select("set_key", F.col("m.bucket").alias("lead"))
-    led = led.join(classes.select("set_key", "size"), "set_key")
+    led = rows.select("set_key", "bucket", "size").join(next_to, "bucket").groupBy("set_key").agg(F.max("m").alias("m"), F.max("size").alias("size"))
+    led = led.select("set_key", "size", F.col("m.bucket").alias("lead"))
     n = led.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     least = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("size") / most_shingles))
     count = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(parts)), least)
@@ -209,12 +209,12 @@ def candidates(classes: DataFrame, tolerance: float, threshold: Fraction, **bloc
     left and right are positions in the pair of blocks; the row with keys has the positions of these in left.
     """
     place = F.expr(f"explode(sequence(0, {BANDS - 1}))")
-    rows = classes.select("set_key", "bands", place.alias("band")).select(
-        "set_key", F.xxhash64("band", F.substring("bands", F.col("band") * 4 + 1, F.lit(4))).alias("bucket")
+    rows = classes.select("set_key", "size", "bands", place.alias("band")).select(
+        "set_key", "size", F.xxhash64("band", F.substring("bands", F.col("band") * 4 + 1, F.lit(4))).alias("bucket")
     )
     shared = rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     rows = cut(rows.join(shared, "bucket"))
-    homes = cut(homes_of(rows, classes, **blocks))
+    homes = cut(homes_of(rows, **blocks))
     meet = rows.select("set_key", "bucket").join(homes, "set_key").select("bucket", "home").distinct()
     other = meet.withColumnRenamed("home", "two_home")
     pairs = meet.withColumnRenamed("home", "one_home").join(other, "bucket").where("one_home <= two_home").select(*HOME).distinct()
