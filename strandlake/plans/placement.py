@@ -1,7 +1,6 @@
 """Filters, currency, placement and joins."""
 
 SQL = {
-    "src_tables": "select contig_id, project_id, nreads, length from a_contig",
     "flt_read_name": """select r.read_id, r.readname, r.status, m.contig_id, m.cstart, m.cfinish, m.direction
         from a_readinfo r left join a_curmap m on m.seq_id=r.read_id
         where r.readname like 't1%.p1k' and (m.contig_id is not null or r.status='PASS')""",
@@ -17,11 +16,8 @@ SQL = {
     "flt_include_exclude": """select c.contig_id, p.name, c.length from a_cur c join a_project p on p.project_id=c.project_id
         where p.name not in ('BIN','FREEASSEMBLY','TRASH') and c.length>1000""",
     "flt_short_reads": "select contig_id, count(*) as nreads from a_map where cfinish-cstart+1>310 group by contig_id",
-    "flt_invalid_names": """select read_id, readname from a_readinfo where not (readname like '%.p1k' or readname like '%.p2k'
-        or readname like '%.q1k' or readname like '%.q2k')""",
     "flt_named_reads": """select m.contig_id, count(*) as nreads from a_map m where not exists
         (select 1 from a_readinfo r where r.read_id=m.seq_id and r.status='FAIL') group by m.contig_id""",
-    "flt_deprecated_tags": "select tag_id, contig_id, tagtype from a_tag where tag_id%4<>0",
     "flt_history_range": """select project_id, created, count(*) as contigs, sum(length) as length from a_contig
         where created>=date '1995-01-01' and created<=date '1996-12-31' group by project_id, created""",
     "flt_transfer_requests": """select request_id, contig_id, requester, status from a_transfer
@@ -50,8 +46,6 @@ SQL = {
     "dup_read_allocation": """select a.seq_id, a.contig_id as contig_a, b.contig_id as contig_b,
           case when a.project_id=b.project_id then 'inside' else 'between' end as kind
         from a_curmap a join a_curmap b on a.seq_id=b.seq_id and a.contig_id<b.contig_id""",
-    "read_project_conflict": """select distinct r.readname, p.name as project from a_readinfo r join a_curmap m on m.seq_id=r.read_id
-        join a_project p on p.project_id=m.project_id where upper(p.name)<>'CHINA'""",
     "shared_segments": """select a.contig_id as contig_a, b.contig_id as contig_b, a.seq_id, a.cstart as start_a, a.cfinish as finish_a,
           b.cstart as start_b, b.cfinish as finish_b from a_map a join a_map b on a.seq_id=b.seq_id and a.contig_id<b.contig_id""",
     "contig_family": """select distinct a.contig_id, b.contig_id as relative, case when b.contig_id<a.contig_id then 'ancestor' else 'descendant' end as kind
@@ -85,19 +79,8 @@ SQL = {
           when q.contig_id<>i.contig_id then 'other contig' when r.seq_id is not null then 'in repeat' else 'unique' end as kind
         from inside i left join a_place q on q.template_id=i.template_id and q.strand<>i.strand
         left join inside r on r.seq_id=q.seq_id and r.contig_id=q.contig_id""",
-    "sibling_reads": """select r.read_id, r.readname from a_readinfo r where r.status='PASS'
-        and exists (select 1 from a_place p where p.template_id=r.template_id and p.project_id=5)
-        and not exists (select 1 from a_curmap m where m.seq_id=r.read_id)""",
-    "oligo_walks": """select p.template_id, p.contig_id as contig_p, q.contig_id as contig_q from a_place p
-        join a_place q on p.template_id=q.template_id and p.contig_id<>q.contig_id
-        where p.strand='Forward' and q.strand='Reverse' and p.direction='Forward' and p.cstart>p.contig_length-1000
-          and q.direction='Reverse' and q.cfinish<1000""",
     "missing_names": """select concat('t',cast(o_orderkey*64+1 as varchar(20)),'.p1k') as readname from orders o where not exists
         (select 1 from a_readinfo r where r.readname=concat('t',cast(o.o_orderkey*64+1 as varchar(20)),'.p1k'))""",
-    "read_versions": """select s.seq_id, md5(s.dna) as seq_hash, count(*) over (partition by md5(s.dna)) as same,
-          row_number() over (partition by md5(s.dna) order by s.seq_id)-1 as version from a_seq s""",
-    "hanging_projects": """select distinct t.new_project_id+15 as project_id from a_transfer t
-        where not exists (select 1 from a_project p where p.project_id=t.new_project_id+15)""",
     "clip_excess": """select 'left' as side, count(*) as reads, max(qleft-rmin) as most, avg(qleft-rmin) as mean, stddev_pop(qleft-rmin) as sd
           from a_mapping m join a_qualityclip q on q.seq_id=m.seq_id where rmin<qleft
         union all select 'right', count(*), max(rmax-qright), avg(rmax-qright), stddev_pop(rmax-qright)
@@ -106,13 +89,4 @@ SQL = {
           min(case when m.cfinish=c.length then m.seq_id end) as right_read
         from a_map m join a_contig c on c.contig_id=m.contig_id
         join (select contig_id, min(cstart) as first from a_map group by contig_id) f on f.contig_id=m.contig_id group by m.contig_id""",
-    "compare_consensus": """select a.seq_id, a.pos, a.base as base_a, b.base as base_b, a.q from a_base_at a
-        join a_base_at b on b.seq_id=a.seq_id+1 and b.pos=a.pos where a.base<>b.base""",
-    "compare_stores": """select coalesce(a.seq_id,b.seq_id) as seq_id, case when a.seq_id is null then 'missing in first'
-          when b.seq_id is null then 'missing in second' else 'different' end as kind
-        from a_seq a full outer join (select seq_id+1 as seq_id, dna from a_seq) b on a.seq_id=b.seq_id
-        where a.seq_id is null or b.seq_id is null or md5(a.dna)<>md5(b.dna)""",
-    "project_votes": """select read_id, project_id, votes from (select r.read_id, p.project_id, count(*) as votes,
-          row_number() over (partition by r.read_id order by count(*) desc, p.project_id) as k
-          from a_readinfo r join a_place p on p.template_id=r.template_id group by r.read_id, p.project_id) x where k=1""",
 }

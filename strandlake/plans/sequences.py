@@ -1,17 +1,6 @@
 """Sequence functions, clips, digests, k-mers, consensus."""
 
 _RC = "translate(reverse({0}),'acgtACGT','tgcaTGCA')"
-#: Prefix sums of quality minus 15, forwards and backwards; a running sum that is reset at 0 is the prefix sum minus its least value so far.
-_CLIP = """f as (select seq_id, pos, q-15 as d, sum(q-15) over (partition by seq_id order by pos) as pf,
-      sum(q-15) over (partition by seq_id order by pos desc) as pb from a_base_at),
-    g as (select seq_id, pos, pf-least(0,min(pf) over (partition by seq_id order by pos)) as up,
-      pb-least(0,min(pb) over (partition by seq_id order by pos desc)) as down from f),
-    best as (select seq_id, max_by(pos, (up+down)*1000000-pos) as at, max(up+down) as score from g group by seq_id),
-    clip as (select b.seq_id, max(case when g.pos<=b.at and g.up=0 then g.pos else 0 end)+1 as qleft,
-      coalesce(min(case when g.pos>=b.at and g.down=0 then g.pos end), max(g.pos)+1)-1 as qright
-      from best b join g on g.seq_id=b.seq_id where b.score>0 group by b.seq_id)"""
-_KMER = """k as (select seq_id, before+i+7 as centre, substr(part,cast(i as int),15) as kmer
-      from (select seq_id, before, part, SERIES[least(n,length(part)-14)] as i from a_chunk where length(part)>=15) x)"""
 _PILE = """p as (select m.contig_id, m.cstart+i-1 as pos, m.direction, substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1) as base,
       ascii(substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1))%41 as q
       from (select contig_id, seq_id, cstart, direction, SERIES[cfinish-cstart+1] as i from a_curmap) m
@@ -20,64 +9,6 @@ _PILE = """p as (select m.contig_id, m.cstart+i-1 as pos, m.direction, substr(s.
 SQL = {
     "fn_revcomp": f"select seq_id, {_RC.format('dna')} as revcomp from a_seq",
     "fn_gc": """select seq_id, case when length(dna)=0 then null else 100-100*cast(length(translate(dna,'gcGC','')) as double)/length(dna) end as gc from a_seq""",
-    "fn_strip": "select seq_id, RXALL[dna; '(n|x|N|X|-)'; ''] as stripped from a_seq",
-    "fn_n_to_x": "select seq_id, translate(dna,'nN?','xxx') as masked from a_seq",
-    "fn_mask": "select seq_id, concat(repeat('x',least(length(dna),20)),substr(dna,21)) as masked from a_seq",
-    "fn_unmask": """select seq_id, concat(substr(dna,1,20),substr(concat(repeat('x',least(length(dna),20)),substr(dna,21)),21)) as restored from a_seq""",
     "fn_end_regions": """select seq_id, case when length(dna)>200 then concat(substr(dna,1,100),repeat('n',cast(length(dna)-200 as int)),
         substr(dna,cast(length(dna)-99 as int),100)) else dna end as ends from a_seq""",
-    "fn_replace_low": "select seq_id, JOINED[case when q<10 then 'n' else base end; ''; pos] as dna from a_base_at group by seq_id",
-    "fn_remove_pads": "select seq_id, JOINED[base; ''; pos] as dna, count(*) as kept from a_base_at where base not in (' ','-','*') group by seq_id",
-    "quality_clip": f"with {_CLIP} select seq_id, cast(qleft as bigint) as qleft, cast(qright as bigint) as qright from clip",
-    "vector_screen": """select m.seq_id, greatest(max(q.qleft), max(case when m.rmin<=1 then 5 else 0 end)) as qleft,
-        least(min(q.qright), min(case when m.rmin>1 then m.rmin else 300 end)) as qright
-        from a_mapping m join a_qualityclip q on q.seq_id=m.seq_id group by m.seq_id""",
-    "end_trim": f"with {_CLIP} select s.seq_id, substr(s.dna,cast(c.qleft as int),cast(c.qright-c.qleft+1 as int)) as trimmed from a_seq s join clip c on c.seq_id=s.seq_id where c.qright>=c.qleft",
-    "digest": """with site as (select seq_id, before+i as pos from (select seq_id, before, part, SERIES[least(n,length(part)-3)] as i from a_chunk where length(part)>=4) x
-          where substr(part,cast(i as int),4) in ('gatc','gacc','aatt'))
-        select seq_id, pos, lead(pos) over (partition by seq_id order by pos)-pos as fragment from site""",
-    "fn_oligo_pattern": "select seq_id, regexp_extract(dna,'a-*c-*a-*c',0) as first_hit from a_seq",
-    "fn_padded_quality": """select seq_id, pos, q1+cast(floor((q2-q1)/2.0) as int) as q from (select seq_id, pos, base,
-        lag(q) over (partition by seq_id order by pos) as q1, lead(q) over (partition by seq_id order by pos) as q2 from a_base_at) x
-        where base=' ' and q1 is not null and q2 is not null""",
-    "kmer_index": f"with {_KMER} select seq_id, centre, kmer from k where translate(kmer,'acgt','')=''",
-    "kmer_hash_ends": """select seq_id, i as pos, substr(dna,cast(i as int),10) as kmer from (select seq_id, dna, SERIES[least(length(dna)-9, 200)] as i
-        from a_seq where length(dna)>=10) x where translate(substr(dna,cast(i as int),10),'acgt','')=''""",
-    "kmer_offsets": f"""with {_KMER}, good as (select seq_id, centre, kmer from k where translate(kmer,'acgt','')=''),
-        rare as (select kmer from good group by kmer having count(*) between 2 and 12),
-        g as (select good.* from good join rare on rare.kmer=good.kmer)
-        select a.seq_id as seq_a, b.seq_id as seq_b, a.centre-b.centre as shift, count(*) as n from g a join g b on a.kmer=b.kmer and a.seq_id<b.seq_id
-        group by a.seq_id, b.seq_id, a.centre-b.centre""",
-    "kmer_segments": f"""with {_KMER}, good as (select seq_id, centre, kmer from k where translate(kmer,'acgt','')=''),
-        rare as (select kmer from good group by kmer having count(*) between 2 and 12),
-        g as (select good.* from good join rare on rare.kmer=good.kmer),
-        hit as (select a.seq_id as seq_a, b.seq_id as seq_b, a.centre-b.centre as shift, a.centre from g a join g b on a.kmer=b.kmer and a.seq_id<b.seq_id),
-        run as (select *, centre-row_number() over (partition by seq_a, seq_b, shift order by centre) as island from hit)
-        select seq_a, seq_b, shift, min(centre)-7 as first_base, max(centre)+7 as last_base from run group by seq_a, seq_b, shift, island having count(*)>=5""",
-    "overlap_pairs": f"""with {_KMER}, good as (select seq_id, centre, kmer from k where translate(kmer,'acgt','')=''),
-        rare as (select kmer from good group by kmer having count(*) between 2 and 12),
-        g as (select good.* from good join rare on rare.kmer=good.kmer),
-        c as (select a.seq_id as seq_a, b.seq_id as seq_b, a.centre-b.centre as shift, count(*) as n from g a join g b on a.kmer=b.kmer and a.seq_id<b.seq_id
-          group by a.seq_id, b.seq_id, a.centre-b.centre)
-        select seq_a, seq_b, shift, n from (select *, row_number() over (partition by seq_a, seq_b order by n desc, shift) as k from c) x where k=1 and n>=10""",
-    "oligo_search": """with o as (select 'acgta' as oligo union all select 'ttgac' union all select 'gatta' union all select 'cgcac'),
-        either as (select oligo, oligo as pattern, 'F' as strand from o union all select oligo, translate(reverse(oligo),'acgt','tgca'), 'R' from o)
-        select b.oligo, b.strand, s.seq_id, before+i as offset_1 from (select seq_id, before, part, SERIES[least(n,length(part)-4)] as i from a_chunk where length(part)>=5) s
-        join either b on substr(s.part,cast(i as int),5)=b.pattern""",
-    "oligo_tag": """select seq_id, position('acgc' in dna) as first_base, position('acgc' in dna)+3 as last_base from a_seq where position('acgc' in dna)>0""",
-    "pileup": f"with {_PILE} select contig_id, pos, direction, base, q, count(*) as reads from p group by contig_id, pos, direction, base, q",
-    "consensus_vote": f"""with {_PILE}, v as (select contig_id, pos, case when base in ('a','c','g','t') then base else '*' end as base, sum(q) as score from p
-          group by contig_id, pos, case when base in ('a','c','g','t') then base else '*' end),
-        b as (select *, row_number() over (partition by contig_id, pos order by score desc, case base when '*' then 'z' else base end) as k from v)
-        select contig_id, pos, base, cast(score as bigint) as score from b where k=1""",
-    "consensus_assemble": f"""with {_PILE}, v as (select contig_id, pos, case when base in ('a','c','g','t') then base else '*' end as base, sum(q) as score from p
-          group by contig_id, pos, case when base in ('a','c','g','t') then base else '*' end),
-        b as (select *, row_number() over (partition by contig_id, pos order by score desc, case base when '*' then 'z' else base end) as k from v)
-        select contig_id, JOINED[base; ''; pos] as consensus, count(*) as length from b where k=1 group by contig_id""",
-    "read_completeness": """select r.read_id, case when r.asped is null then 'no date' when q.seq_id is null then 'no clip' else 'no pass' end as failed
-        from a_readinfo r left join a_qualityclip q on q.seq_id=r.read_id where r.asped is null or q.seq_id is null or r.status<>'PASS'""",
-    "single_read_contigs": """select r.read_id as seq_id, q.qleft+1 as rstart, q.qright-1 as rfinish, q.qright-q.qleft-1 as length from a_readinfo r
-        join a_qualityclip q on q.seq_id=r.read_id left join a_curmap m on m.seq_id=r.read_id where m.seq_id is null and q.qright-q.qleft>1""",
-    "sink_fasta": "select seq_id, concat('>', cast(seq_id as varchar(20)), chr(10), dna) as record from a_seq",
-    "sink_fastq": "select seq_id, JOINED[base; ''; pos] as dna, JOINED[chr(cast(least(q,93)+33 as int)); ''; pos] as quality from a_base_at group by seq_id",
 }

@@ -1,10 +1,5 @@
 """Aggregations, histories, window-shaped operators, sorts and set operations."""
 
-_ASOF = """contigs as (select c.contig_id, c.project_id, c.created, c.length, c.nreads, min(d.created) as first_gone, max(d.created) as gone
-    from a_contig c left join a_c2c k on k.parent_id=c.contig_id left join a_contig d on d.contig_id=k.contig_id
-    group by c.contig_id, c.project_id, c.created, c.length, c.nreads),
-  days as (select distinct cast(date_trunc('month', created) as date) as day from a_contig),
-  live as (select d.day, c.* from days d join contigs c on c.created<d.day and (c.gone is null or c.gone>d.day) and c.nreads>1)"""
 
 SQL = {
     "project_summary": """with r as (select project_id, length, nreads, created,
@@ -14,63 +9,30 @@ SQL = {
           cast(round(avg(length)) as bigint) as mean_length, cast(round(stddev_pop(length)) as bigint) as sd_length,
           max(length) as max_length, max(created) as newest,
           cast(coalesce(max(case when run>floor(total/2.0) then length end),0) as bigint) as n50 from r group by project_id""",
-    "contig_stats_tiers": """with t as (select 0 as tier union all select 1000 union all select 1500 union all select 2000 union all select 3000)
-        select t.tier, c.project_id, count(*) as contigs, cast(sum(c.nreads) as bigint) as nreads, cast(sum(c.length) as bigint) as total_length,
-          cast(round(avg(c.length)) as bigint) as mean_length, max(c.length) as max_length
-        from a_cur c join t on c.length>=t.tier where c.nreads>2 group by t.tier, c.project_id""",
     "contig_stats_month": """select year(created) as yr, month(created) as mon, count(*) as contigs, cast(sum(nreads) as bigint) as nreads,
         cast(sum(length) as bigint) as total_length from a_cur group by year(created), month(created)""",
     "n50": """select project_id, cast(coalesce(max(case when run>floor(total/2.0) then length end),0) as bigint) as n50 from
         (select project_id, length, sum(length) over (partition by project_id order by length desc, contig_id) as run,
            sum(length) over (partition by project_id) as total from a_cur) x group by project_id""",
-    "project_report_total": """select coalesce(p.name,'TOTAL') as name, count(*) as contigs, cast(sum(c.nreads) as bigint) as nreads,
-          cast(sum(c.length) as bigint) as total_length, max(c.length) as max_length
-        from a_cur c join a_project p on p.project_id=c.project_id where p.name not in ('BIN','FREEASSEMBLY','TRASH') group by rollup(p.name)""",
     "dup_reads": "select seq_id, count(*) as hits from a_curmap group by seq_id having count(*)>1",
     "dup_reads_detail": """select m.seq_id, m.contig_id, m.cstart, m.cfinish from a_curmap m
         join (select seq_id from a_curmap group by seq_id having count(*)>1) d on d.seq_id=m.seq_id""",
     "mapping_extent": "select contig_id, seq_id, rmin, rmax from a_mapping",
-    "c2c_extent": """select k.contig_id, k.parent_id, min(m.cstart) as pstart, max(m.cfinish) as pfinish from a_c2c k
-        join a_map m on m.contig_id=k.parent_id group by k.contig_id, k.parent_id""",
-    "contig_statistics": """select contig_id, min(cstart) as first_base, max(cfinish) as last_base, max(cfinish)-min(cstart)+1 as length,
-          cast(floor((sum(cfinish-cstart+1)*200.0+(max(cfinish)-min(cstart)+1))/(2.0*(max(cfinish)-min(cstart)+1))) as double)/100 as cover, 1-min(cstart) as zero_shift from a_map group by contig_id""",
     "coverage_depth": """with e as (select contig_id, cstart as pos, 1 as d from a_map union all select contig_id, cfinish+1, -1 from a_map),
           s as (select contig_id, pos, sum(d) as d from e group by contig_id, pos),
           r as (select contig_id, pos, cast(sum(d) over (partition by contig_id order by pos) as bigint) as depth,
                   lead(pos) over (partition by contig_id order by pos) as next_pos from s)
         select contig_id, pos as first_base, next_pos-1 as last_base, depth from r where next_pos is not null""",
-    "base_quality_histogram": """select base, q, count(*) as n from a_base_at group by base, q""",
     "reads_by_month": "select year(asped) as yr, month(asped) as mon, count(*) as reads from a_readinfo where status='PASS' and asped is not null group by year(asped), month(asped)",
     "template_strand_counts": """select template_id, cast(sum(case when strand='Forward' then 1 else 0 end) as bigint) as forward_reads,
         cast(sum(case when strand='Reverse' then 1 else 0 end) as bigint) as reverse_reads from a_readinfo group by template_id""",
-    "pad_positions": "select seq_id, pos from a_base_at where base=' '",
     "transfer_counts": """select cast(opened as date) as day, new_project_id as project_id, count(*) as n from a_transfer
         where status='done' and requester=owner group by cast(opened as date), new_project_id""",
     "last_transfer_out": "select old_project_id as project_id, max(opened) as closed from a_transfer where status='done' group by old_project_id",
     "import_export_latest": """select project_id, action, max(starttime) as last_start, max(endtime) as last_end from a_importexport group by project_id, action""",
-    "organism_activity": """select p.assembly_id, max(c.created) as last_contig, count(*) as contigs, cast(sum(c.nreads) as bigint) as nreads,
-        cast(sum(c.length) as bigint) as total_length from a_contig c join a_project p on p.project_id=c.project_id group by p.assembly_id""",
     "contig_checksum": """select contig_id, md5(JOINED[cast(seq_id as varchar(20)); ','; seq_id]) as checksum from a_map group by contig_id""",
-    "sequence_hashes": "select seq_id, length(dna) as len, md5(dna) as seq_hash from a_seq",
-    "project_inheritance": """select contig_id, project_id from (select k.contig_id, p.project_id,
-          row_number() over (partition by k.contig_id order by sum(p.nreads) desc, p.project_id) as k
-          from a_c2c k join a_contig p on p.contig_id=k.parent_id group by k.contig_id, p.project_id) x where k=1""",
-    "read_batches": """with d as (select asped, count(*) as n from a_readinfo where asped is not null group by asped)
-        select asped, n, cast(floor((sum(n) over (order by asped) - n)/1000.0) as bigint) as batch from d""",
     "directories": "select distinct p.name as directory from a_project p join a_contig c on c.project_id=p.project_id",
     "total_length": "select project_id, cast(sum(length) as bigint) as total_length from a_cur group by project_id",
-    "project_history": f"""with {_ASOF}, r as (select day, project_id, length, nreads,
-            sum(length) over (partition by day, project_id order by length desc, contig_id) as run,
-            sum(length) over (partition by day, project_id) as total from live)
-        select day, project_id, count(*) as contigs, cast(sum(nreads) as bigint) as nreads, cast(sum(length) as bigint) as total_length,
-          cast(round(avg(length)) as bigint) as mean_length, max(length) as max_length,
-          cast(coalesce(max(case when run>floor(total/2.0) then length end),0) as bigint) as n50 from r group by day, project_id""",
-    "organism_history": f"""with {_ASOF}, placed as (select day, count(distinct m.seq_id) as in_contigs from live l
-            join a_map m on m.contig_id=l.contig_id group by day)
-        select p.day, p.in_contigs, t.total, t.total-p.in_contigs as free_reads, t.asped, t.total-t.asped as next_gen from placed p,
-          (select count(*) as total, count(asped) as asped from a_readinfo) t""",
-    "weekly_monthly_series": f"""with {_ASOF} select day, count(*) as contigs, cast(sum(nreads) as bigint) as nreads,
-        cast(sum(length) as bigint) as total_length, max(length) as max_length from live group by day""",
     "contig_holes": """select contig_id, seq_id, cstart, reach from (select contig_id, seq_id, cstart,
           max(cfinish) over (partition by contig_id order by cstart, seq_id rows between unbounded preceding and 1 preceding) as reach from a_map) x
         where cstart>reach""",
@@ -79,11 +41,6 @@ SQL = {
           i as (select *, sum(case when reach is not null and cstart>reach then 1 else 0 end) over (partition by contig_id order by cstart, seq_id
             rows between unbounded preceding and current row) as island from r)
         select contig_id, cast(island as bigint) as island, count(*) as nreads, min(cstart) as first_base, max(cfinish) as last_base from i group by contig_id, island""",
-    "latest_version": """select seq_hash, max_by(seq_id, seq_id) as latest, count(*) as versions from (select seq_id, md5(dna) as seq_hash from a_seq) x group by seq_hash""",
-    "c2c_segment_errors": """select contig_id, seq_id, cstart, before_end from (select contig_id, seq_id, cstart,
-          lag(cstart+length) over (partition by contig_id, seq_id order by cstart) as before_end from a_segment) x where before_end>=cstart""",
-    "history_delta": """with d as (select asped as day, count(*) as n from a_readinfo where asped is not null group by asped)
-        select a.day, a.n-b.n as delta from d a join d b on b.day = cast(a.day - interval '1' day as date) where abs(a.n-b.n)>5""",
     "low_quality_pads": """select seq_id, pos, base, q from (select seq_id, pos, base, q,
           lag(q,2) over (partition by seq_id order by pos) as q1, lead(q,2) over (partition by seq_id order by pos) as q2 from a_base_at) x
         where base not in ('a','c','g','t','n') or (q1 is not null and q2 is not null and q<(q1+q2)/2.0-15 and q<15)""",
@@ -98,9 +55,6 @@ SQL = {
           i as (select *, sum(case when reach is null or cstart>reach then 1 else 0 end) over (partition by contig_id, tagtype order by cstart, tag_id
             rows between unbounded preceding and current row) as part from g)
         select contig_id, tagtype, min(cstart) as cstart, max(cfinal) as cfinal, count(*) as tags from i group by contig_id, tagtype, part""",
-    "sort_contigs": "select contig_id, project_id, length, row_number() over (partition by project_id order by length desc, contig_id) as k from a_cur",
-    "sort_projects": """select project_id, name, row_number() over (order by contigs desc, name) as k from (select p.project_id, p.name, count(c.contig_id) as contigs
-        from a_project p left join a_cur c on c.project_id=p.project_id group by p.project_id, p.name) x""",
     "top_contigs": "select contig_id, length from a_cur where length>1000 order by length desc, contig_id limit 100",
     "latest_note": "select project_id, max_by(id, id) as latest from a_importexport where action='import' group by project_id",
     "last_added_contig": """select project_id, contig_id from (select project_id, contig_id,

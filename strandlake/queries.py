@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.operators.components import subgraphs
-from strandlake.plans import calls, derived, placement, sequence_calls, sequences, statistics, structure, structure_calls  # noqa: F401 (the calls modules add to calls)
+from strandlake.plans import calls, placement, sequence_calls, sequences, statistics, structure, structure_calls  # noqa: F401 (the calls modules add to calls)
 from strandlake.plans.assembly import Assembly
 from strandlake.plans.model import with_views
 from strandlake.sources import exchange
 
-SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL | derived.SQL
+SQL: dict[str, str] = placement.SQL | statistics.SQL | sequences.SQL | structure.SQL
 
 _ENOUGH = 2
 _BRIDGED = f"""with recursive {structure._BRIDGES}, e as (select a, b from br where templates>={_ENOUGH} union select b, a from br where templates>={_ENOUGH}),
