@@ -6,13 +6,14 @@ Placements: contig_id, contig_length, seq_id, template_id, strand, direction, cs
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.operators.components import components
+from strandlake.operators.components import components, kept
 
 
 def hooks(placed: DataFrame, limit: int = 8000, inserts: int = 8000) -> DataFrame:
@@ -42,46 +43,67 @@ def ends(linked: DataFrame) -> DataFrame:
 CHAIN = "scaffold long, ordinal long, item long, direction string, gap_before long"
 
 
+def grown(seeds: list, out_of: dict) -> list[tuple]:
+    """Rows of ``CHAIN`` of one component: ``seeds`` in order, ``out_of`` (item, side) the ends it may go on to, best first."""
+    known, used, rows = set(seeds), set(), []
+    for seed in seeds:
+        if seed in used:
+            continue
+        used.add(seed)
+        parts = {"R": [], "L": []}
+        for way in ("R", "L"):
+            at, end = seed, way
+            while found := next((o for o in out_of.get((at, end), ()) if o[0] not in used and o[0] in known), None):
+                other, side, gap = found
+                used.add(other)
+                parts[way].append((other, "F" if side != way else "R", gap))
+                at, end = other, "R" if side == "L" else "L"
+        line = parts["L"][::-1]
+        gaps = [None, *(g for _, _, g in line), *(g for _, _, g in parts["R"])]
+        whole = [*((i, d) for i, d, _ in line), (seed, "F"), *((i, d) for i, d, _ in parts["R"])]
+        rows += [(seed, k, i, d, g) for k, ((i, d), g) in enumerate(zip(whole, gaps, strict=True), 1)]
+    return rows
+
+
+def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``grown`` for each component of a partition sorted by root, items before bridges; one component is held at a time."""
+    types = pa.schema([("scaffold", pa.int64()), ("ordinal", pa.int64()), ("item", pa.int64()), ("direction", pa.string()), ("gap_before", pa.int64())])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], schema=types)
+    root, seeds, out_of = None, [], defaultdict(list)
+    for batch in batches:
+        rows = []
+        for at, item, side, other, other_side, gap in zip(*(batch.column(c).to_pylist() for c in ("root", "item", "side", "other", "other_side", "gap")), strict=True):
+            if at != root:
+                rows += grown(seeds, out_of)
+                root, seeds, out_of = at, [], defaultdict(list)
+            if other is None:
+                seeds.append(item)
+            else:
+                out_of[item, side].append((other, other_side, gap))
+        yield made(rows)
+    yield made(grown(seeds, out_of))
+
+
 def chained(items: DataFrame, bridges: DataFrame, least: int = 2) -> DataFrame:
     """``CHAIN``: greedy chains of items (item, rank; the lowest rank seeds first) over bridges (one, side, other, other_side, n, gap).
 
     A chain grows from its seed to the right, then to the left, each time to the unused item end of the most links (lowest item, then L, if
-    tied), as long as there are ``least``.  Chains can't leave a connected component, so components are chained side by side.
+    tied), as long as there are ``least``.  Chains can't leave a connected component, so components are chained side by side, many in a
+    task and one after the other; a task holds one component at a time.
     """
-    strong = bridges.where(F.col("n") >= least)
+    strong = kept(bridges.where(F.col("n") >= least))
     roots = components(strong.select(F.col("one").alias("a"), F.col("other").alias("b")))
-    at = items.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-    alone = at.join(roots.select(F.col("node").alias("item")), "item", "left_anti").select(
+    at = items.select("item", "rank").join(roots.withColumnRenamed("node", "item"), "item", "left")
+    alone = at.where("root is null").select(
         F.col("item").alias("scaffold"), F.lit(1).cast("long").alias("ordinal"), "item", F.lit("F").alias("direction"), F.lit(None).cast("long").alias("gap_before"))
-    named = at.join(roots.select(F.col("node").alias("item")), "item", "left_semi").select("root", "item", F.col("rank").cast("long").alias("rank"))
-    edges = strong.join(roots.select(F.col("node").alias("one"), "root"), "one").select("root", "one", "side", "other", "other_side", "n", "gap")
-
-    def chain(members: pd.DataFrame, bridged: pd.DataFrame) -> pd.DataFrame:
-        out_of = defaultdict(list)
-        for one, side, other, other_side, n, gap in bridged[["one", "side", "other", "other_side", "n", "gap"]].itertuples(index=False):
-            out_of[one, side].append((-n, other, other_side, gap))
-        for v in out_of.values():
-            v.sort()
-        used, rows, known = set(), [], set(members["item"])
-        for seed in members.sort_values(["rank", "item"])["item"]:
-            if seed in used:
-                continue
-            used.add(seed)
-            parts = {"R": [], "L": []}
-            for way in ("R", "L"):
-                at, end = seed, way
-                while found := next(((o, s, g) for _, o, s, g in out_of[at, end] if o not in used and o in known), None):
-                    other, side, gap = found
-                    used.add(other)
-                    parts[way].append((other, "F" if side != way else "R", gap))
-                    at, end = other, "R" if side == "L" else "L"
-            line = [(i, d, g) for i, d, g in reversed(parts["L"])]
-            gaps = [None, *(g for _, _, g in line), *(g for _, _, g in parts["R"])]
-            whole = [*((i, d) for i, d, _ in line), (seed, "F"), *((i, d) for i, d, _ in parts["R"])]
-            rows += [(seed, k, i, d, g) for k, ((i, d), g) in enumerate(zip(whole, gaps, strict=True), 1)]
-        return pd.DataFrame(rows, columns=["scaffold", "ordinal", "item", "direction", "gap_before"]).astype({"gap_before": "Int64"})
-
-    return alone.unionByName(named.groupBy("root").cogroup(edges.groupBy("root")).applyInPandas(chain, CHAIN))
+    none = F.lit(None)
+    named = at.where("root is not null").select("root", "item", F.col("rank").cast("long").alias("rank"), none.cast("long").alias("n"), none.cast("string").alias("side"),
+                                                none.cast("long").alias("other"), none.cast("string").alias("other_side"), none.cast("long").alias("gap"))
+    edges = strong.join(roots.select(F.col("node").alias("one"), "root"), "one").select(
+        "root", F.col("one").alias("item"), none.cast("long").alias("rank"), F.col("n").cast("long").alias("n"), "side", "other", "other_side", F.col("gap").cast("long").alias("gap"))
+    rows = named.unionByName(edges).repartition("root").sortWithinPartitions(
+        "root", F.col("other").isNotNull(), F.col("rank").asc_nulls_last(), F.col("n").desc(), "item", "other", "other_side", "gap")
+    return alone.unionByName(rows.mapInArrow(chains, CHAIN))
 
 
 def scaffolds(contigs: DataFrame, placed: DataFrame, least: int = 2, limit: int = 8000, inserts: int = 8000) -> DataFrame:
