@@ -161,3 +161,38 @@ def traced(read_segments: DataFrame, edits: DataFrame) -> DataFrame:
     carried = multiplied(read_segments, back).drop("contig_2")
     many = edits.groupBy("seq_id").agg((F.count("*") > 1).alias("edited"))
     return carried.join(many, "seq_id")
+
+
+def extents(segments: DataFrame, *keys: str) -> DataFrame:
+    """keys, xmin, xmax, ymin, ymax of all their segments."""
+    return segments.groupBy(*keys).agg(F.min("x0").alias("xmin"), F.max("x1").alias("xmax"), F.min("y0").alias("ymin"), F.max("y1").alias("ymax"))
+
+
+def parts(segments: DataFrame, keys=KEYS) -> DataFrame:
+    """Every segment as a mapping of its own: adds part, from 1 in order of x."""
+    return segments.withColumn("part", F.row_number().over(W.partitionBy(*keys).orderBy("x0")))
+
+
+def compared(one: DataFrame, two: DataFrame, pairs: DataFrame) -> DataFrame:
+    """contig_id, parent_id, seq_id, align, shift, y_first, y_last, pieces: what maps the parent's positions of a shared read to the child's.
+
+    ``one`` and ``two`` are segments of children and parents, ``pairs`` their contig_id and parent_id.  Where both mappings use a read's
+    bases, child = align * parent + shift; a mapping whose segments disagree has a row for each shift and alignment.
+    """
+    child = one.select("contig_id", "seq_id", F.col("dir").alias("d"), offset().alias("o"), F.col("y0").alias("a0"), F.col("y1").alias("a1"))
+    parent = two.select(F.col("contig_id").alias("parent_id"), "seq_id", F.col("dir").alias("pd"), offset().alias("po"), F.col("y0").alias("b0"), F.col("y1").alias("b1"))
+    met = child.join(pairs.select("contig_id", "parent_id"), "contig_id").join(parent, ["parent_id", "seq_id"]).where("b0 <= a1 and b1 >= a0")
+    align = F.col("d") * F.col("pd")
+    return met.groupBy("contig_id", "parent_id", "seq_id", align.alias("align"), (F.col("o") - align * F.col("po")).alias("shift")).agg(
+        F.min(F.greatest("a0", "b0")).alias("y_first"), F.max(F.least("a1", "b1")).alias("y_last"), F.count("*").alias("pieces"))
+
+
+def carried(segments: DataFrame, strings: DataFrame, column: str = "dna", gap: str = "-", keys=KEYS) -> DataFrame:
+    """keys, carried: ``strings`` (seq_id, column) carried from y to x, complemented on reverse segments, ``gap`` in the holes between."""
+    from strandlake.functions.sequences import reverse_complement
+
+    hole = F.col("x0") - F.lag("x1").over(W.partitionBy(*keys).orderBy("x0")) - 1
+    at = segments.withColumn("hole", F.greatest(F.coalesce(hole, F.lit(0)), F.lit(0)).cast("int")).join(strings.select("seq_id", column), "seq_id")
+    piece = F.substring(column, F.col("y0").cast("int"), (F.col("y1") - F.col("y0") + 1).cast("int"))
+    whole = F.concat(F.repeat(F.lit(gap), F.col("hole")), F.when(F.col("dir") == 1, piece).otherwise(reverse_complement(piece)))
+    return at.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct("x0", whole.alias("s"))))["s"], "").alias("carried"))

@@ -18,11 +18,11 @@ from strandlake.operators.components import components, kept
 
 def hooks(placed: DataFrame, limit: int = 8000, inserts: int = 8000) -> DataFrame:
     """Placements near an end that point outwards, with ``side`` and ``overhang`` (at least 1); inserts up to ``inserts``."""
-    right = placed.where((F.col("direction") == "Forward") & (F.col("cstart") > F.col("contig_length") - limit))
-    left = placed.where((F.col("direction") == "Reverse") & (F.col("cfinish") < limit))
-    both = right.withColumn("side", F.lit("R")).withColumn("overhang", F.col("cstart") + F.col("sihigh") - F.col("contig_length")).unionByName(
-        left.withColumn("side", F.lit("L")).withColumn("overhang", F.col("sihigh") - F.col("cfinish")))
-    return both.where((F.col("overhang") >= 1) & (F.col("sihigh") <= inserts))
+    right = (F.col("direction") == "Forward") & (F.col("cstart") > F.col("contig_length") - limit)
+    left = (F.col("direction") == "Reverse") & (F.col("cfinish") < limit)
+    at = placed.where(F.col("sihigh") <= inserts).withColumn("side", F.when(right, "R").when(left, "L")).where("side is not null")
+    beyond = F.when(F.col("side") == "R", F.col("cstart") + F.col("sihigh") - F.col("contig_length")).otherwise(F.col("sihigh") - F.col("cfinish"))
+    return at.withColumn("overhang", beyond).where("overhang >= 1")
 
 
 def links(placed: DataFrame, limit: int = 8000, inserts: int = 8000) -> DataFrame:

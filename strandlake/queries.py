@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.operators.components import subgraphs
-from strandlake.plans import calls, placement, sequence_calls, sequences, statistics, structure, structure_calls  # noqa: F401 (the calls modules add to calls)
+from strandlake.plans import calls, placement, placement_calls, sequence_calls, sequences, statistics, structure, structure_calls  # noqa: F401 (the calls modules add to calls)
 from strandlake.plans.assembly import Assembly
 from strandlake.plans.model import with_views
 from strandlake.sources import exchange
