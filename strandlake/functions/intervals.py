@@ -1,7 +1,7 @@
 """Sweeps along contigs: coverage, holes, islands, collated segments and merged tags.
 
-A sweep runs inside bins of positions; what a bin takes over from those before it comes from one row per bin, so neither a long nor a
-deep contig is swept whole by one task.  Intervals with a null start or contig are left out by ``swept``; empty tables give no rows.
+A sweep runs inside bins of positions; what a bin takes over from those before it comes from one row per bin, so a long
+contig is swept by many tasks; what starts within one bin is sorted by one, which spills if need be.  Intervals with a null start or contig are left out by ``swept``; empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -1,10 +1,6 @@
 """Sequence functions, clips, digests, k-mers, consensus."""
 
 _RC = "translate(reverse({0}),'acgtACGT','tgcaTGCA')"
-_PILE = """p as (select m.contig_id, m.cstart+i-1 as pos, m.direction, substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1) as base,
-      ascii(substr(s.dna,cast(1+((i-1)%length(s.dna)) as int),1))%41 as q
-      from (select contig_id, seq_id, cstart, direction, SERIES[cfinish-cstart+1] as i from a_curmap) m
-      join (select seq_id, dna from a_seq where length(dna)>0) s on s.seq_id=m.seq_id)"""
 
 SQL = {
     "fn_revcomp": f"select seq_id, {_RC.format('dna')} as revcomp from a_seq",
