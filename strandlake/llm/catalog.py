@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import (
-    decontaminate, html_text, jaccard_join, licenses, masked_lm, mixing, quality_model, quality_rules, sharding, toxicity,
+    decontaminate, html_text, jaccard_join, licenses, masked_lm, merkle, mixing, quality_model, quality_rules, sharding, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         quality_rules.op1_quality_rules, toxicity.op2_toxicity, quality_model.op3_quality, jaccard_join.op4_jaccard_join,
         decontaminate.op5_decontaminate, sharding.op6_sharding, mixing.op7_mixing, html_text.op8_html,
-        masked_lm.op9_masked_lm, licenses.op10_licenses,
+        masked_lm.op9_masked_lm, licenses.op10_licenses, merkle.op11_merkle,
     )
 }
 
@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_sharding": sharding.op6_sql(),
     "op7_mixing": mixing.OP7_SQL,
+    "op11_merkle": merkle.op11_sql(),
 }
