@@ -17,6 +17,7 @@ from strandlake.llm import catalog, mixing, quality_rules, sharding, subword
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long, kept string",
     "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
 
@@ -132,7 +133,7 @@ def folder(spark, tmp_path_factory):
     rows += [(None, texts[7] + " x y", "en", "a", 1, "clash"), rows[8], rows[8], (None, texts[10][::-1], "fr", "b", 1, None)]
     tables = {
         "documents": rows, "labels": [(i, int(i % 3 > 0), 0) for i in range(0, 60)] + [(1, 0, 0), (None, 1, 0)],
-        "benchmark": [(1, passage), (2, None), (3, "")], "pages": [],
+        "benchmark": [(1, passage), (2, None), (3, "")], "pages": [], "embeddings": [],
     }
     at = tmp_path_factory.mktemp("tables")
     for name, schema in SCHEMAS.items():
