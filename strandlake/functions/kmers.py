@@ -5,7 +5,7 @@ Sequences are cut into chunks that overlap by a k-mer, so a long one is read by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,75 +57,137 @@ def representatives(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sequences.join(first.select(F.col("like").alias("seq_id")), "seq_id", "left_semi"), member
 
 
-def offsets(indexed: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+def offsets(indexed: DataFrame, least: int = 1, most: int | None = None, **limits) -> DataFrame:
     """seq_a < seq_b, dir, shift, n: common k-mers of each pair by offset, p - q if dir is 1, p + q against the complement if -1.
 
-    ``most`` leaves k-mers out that stand in more places, as a guard for repeats; without it every common k-mer counts.
+    ``most`` leaves k-mers out that stand in more places, as a guard for repeats; without it every common k-mer counts.  ``limits``: see ``hits``.
     """
     if most is not None:
         indexed = indexed.join(indexed.groupBy("kmer").agg(F.count("*").alias("many")).where(F.col("many") <= most).select("kmer"), "kmer", "left_semi")
-    return hits(indexed).groupBy("seq_a", "seq_b", "dir", "shift").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return hits(indexed, **limits).groupBy("seq_a", "seq_b", "dir", "shift").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def hits(indexed: DataFrame) -> DataFrame:
-    """seq_a, seq_b, dir, shift, centre (in a): a row per common k-mer of a pair."""
+def hits(
+    indexed: DataFrame, block: int = 4096, band: tuple[float, float, float] | None = None, shifts: tuple[int, int] | None = None
+) -> DataFrame:
+    """seq_a, seq_b, dir, shift, centre (in a): a row per common k-mer of a pair.
+
+    ``band`` = (linear, constant, window) keeps places q of b within ``window`` of linear * p + constant, so in the direction that
+    ``linear`` has; ``shifts`` keeps offsets between two bounds, both included.  A k-mer in more than ``block`` places is dealt to blocks, and
+    every pair of its blocks is a key of its own: no task gets all places of a k-mer, and each pair of places still meets once.
+    """
     a = indexed.select(F.col("seq_id").alias("seq_a"), "centre", "kmer")
     b = indexed.select(F.col("seq_id").alias("seq_b"), F.col("centre").alias("other"), "kmer")
-    forward = a.join(b, "kmer").where("seq_a < seq_b").select("seq_a", "seq_b", F.lit(1).alias("dir"), (F.col("centre") - F.col("other")).alias("shift"), "centre")
     turned = b.withColumn("kmer", reverse_complement("kmer"))
-    reverse = a.join(turned, "kmer").where("seq_a < seq_b").select("seq_a", "seq_b", F.lit(-1).alias("dir"), (F.col("centre") + F.col("other")).alias("shift"), "centre")
-    return forward.unionByName(reverse)
+    frequent = indexed.groupBy("kmer").agg(F.ceil(F.count("*") / block).cast("int").alias("m")).where("m > 1")
+    split = not frequent.isEmpty()
+    here = F.col("shift").between(*shifts) if shifts else F.lit(True)
+    near = F.abs(F.col("other") - F.col("centre") * band[0] - band[1]) <= band[2] if band else F.lit(True)
+    out = []
+    for way, other, shift in ((1, b, F.col("centre") - F.col("other")), (-1, turned, F.col("centre") + F.col("other"))):
+        if band and (band[0] > 0) != (way > 0):
+            continue
+        if split:
+            theirs = frequent.select(F.col("kmer") if way == 1 else reverse_complement("kmer").alias("kmer"), F.col("m").alias("n"))
+            blocks = frequent.join(theirs, "kmer", "full")
+            met = dealt(a, blocks, "seq_a", "centre", "m", "n", ("i", "j")).join(dealt(other, blocks, "seq_b", "other", "n", "m", ("j", "i")), ["kmer", "i", "j"])
+        else:
+            met = a.join(other, "kmer")
+        met = met.where("seq_a < seq_b").where(near).select("seq_a", "seq_b", F.lit(way).alias("dir"), shift.alias("shift"), "centre")
+        out.append(met.where(here))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def dealt(side: DataFrame, blocks: DataFrame, name: str, place: str, own: str, other: str, to: tuple[str, str]) -> DataFrame:
+    """Rows of ``side`` in their own block, once for every block of the other side, for k-mers of several blocks; in block 0 for the others."""
+    rows = side.join(blocks, "kmer", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in (own, other)})
+    rows = rows.withColumn(to[0], F.pmod(F.xxhash64(name, place), F.col(own)).cast("int"))
+    return rows.select(name, place, "kmer", to[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(to[1]))
+
+
+def best_offsets(counted: DataFrame, least: int = 10) -> DataFrame:
+    """seq_a, seq_b, dir, shift, n: each pair of enough common k-mers at its best offset (the lowest if tied, then the forward one)."""
+    best = counted.groupBy("seq_a", "seq_b").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"), "dir")).alias("p")).where(F.col("p.n") >= least)
+    return best.select("seq_a", "seq_b", F.col("p.dir").alias("dir"), (-F.col("p.s")).alias("shift"), F.col("p.n").alias("n"))
 
 
-def alignment_segments(indexed: DataFrame, k: int, drift: int = 5, share: int = 20, least: int | None = None) -> DataFrame:
-    """seq_a, seq_b, dir, shift, first_base, last_base (in a): runs of common k-mers near each pair's peak.
+PAIR = ["seq_a", "seq_b", "dir"]
+
+
+def alignment_segments(indexed: DataFrame, k: int, sequences: DataFrame, drift: int = 5, share: int = 20, least: int | None = None) -> DataFrame:
+    """seq_a, seq_b, dir, shift, first_base, last_base (in a): the stretches in which a pair agrees, near its peak.
 
     The peak is the offset of the most k-mers (lowest offset if tied).  Offsets within ``drift`` of it and of at least one
     ``share``-th of its count are kept; their runs of consecutive places, extended by half a k-mer, are segments if at least ``least`` long,
-    by default the logarithm of the product of both sequences' numbers of k-mers.  Segments inside others of the pair go.
+    by default the logarithm of the product of both sequences' numbers of k-mers.  Segments inside others go, overlaps are shared out, segments of discordant offsets
+    go, and segments that only unread letters part become one.
     """
-    found, pair = hits(indexed), ["seq_a", "seq_b", "dir"]
-    n = found.groupBy(*pair, "shift").agg(F.count("*").alias("n"))
-    peak = n.groupBy(*pair).agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("p"))
-    near = n.join(peak, pair).where((F.abs(F.col("shift") + F.col("p.s")) <= drift) & (F.col("n") * share >= F.col("p.n"))).select(*pair, "shift")
-    line = W.partitionBy(*pair, "shift").orderBy("centre")
-    runs = found.join(near, [*pair, "shift"]).distinct().withColumn("run", F.col("centre") - F.row_number().over(line))
-    at = runs.groupBy(*pair, "shift", "run").agg((F.min("centre") - k // 2).alias("first_base"), (F.max("centre") + k // 2).alias("last_base")).drop("run")
+    found = hits(indexed)
+    n = found.groupBy(*PAIR, "shift").agg(F.count("*").alias("n"))
+    peak = n.groupBy(*PAIR).agg(F.max(F.struct("n", (-F.col("shift")).alias("s"))).alias("p"))
+    near = n.join(peak, PAIR).where((F.abs(F.col("shift") + F.col("p.s")) <= drift) & (F.col("n") * share >= F.col("p.n"))).select(*PAIR, "shift")
+    line = W.partitionBy(*PAIR, "shift").orderBy("centre")
+    runs = found.join(near, [*PAIR, "shift"]).distinct().withColumn("run", F.col("centre") - F.row_number().over(line))
+    at = runs.groupBy(*PAIR, "shift", "run").agg((F.min("centre") - k // 2).alias("first_base"), (F.max("centre") + k // 2).alias("last_base")).drop("run")
     if least is None:
         sizes = indexed.groupBy("seq_id").agg(F.count("*").cast("double").alias("m"))
         at = at.join(sizes.select(F.col("seq_id").alias("seq_a"), F.col("m").alias("ma")), "seq_a").join(sizes.select(F.col("seq_id").alias("seq_b"), F.col("m").alias("mb")), "seq_b")
         at = at.where(F.col("last_base") - F.col("first_base") + 1 >= F.floor(F.log(F.col("ma") * F.col("mb")))).drop("ma", "mb")
     else:
         at = at.where(F.col("last_base") - F.col("first_base") + 1 >= least)
-    whole = W.partitionBy(*pair).orderBy("first_base", F.col("last_base").desc(), "shift")
-    reach = F.max("last_base").over(whole.rowsBetween(W.unboundedPreceding, -1))
-    return at.withColumn("reach", reach).where("reach is null or last_base > reach").drop("reach")
-
-
-def overlaps(sequences: DataFrame, counted: DataFrame, least: int = 10) -> DataFrame:
-    """seq_a, seq_b, dir, shift, n, score: each pair of enough common k-mers at its best offset.
-
-    The score is that of the best ungapped stretch on the diagonal: match 1, mismatch -2, N 0 (X mismatches).
-    """
-    best = counted.groupBy("seq_a", "seq_b").agg(F.max(F.struct("n", (-F.col("shift")).alias("s"), "dir")).alias("p")).where(F.col("p.n") >= least)
-    at = best.select("seq_a", "seq_b", F.col("p.dir").alias("dir"), (-F.col("p.s")).alias("shift"), F.col("p.n").alias("n"))
+    return joined(concordant(parted(outermost(at))), sequences)
+
+
+def in_b(place: str) -> Column:
+    """The place in b that belongs to one in a."""
+    return F.when(F.col("dir") == 1, F.col(place) - F.col("shift")).otherwise(F.col("shift") - F.col(place))
+
+
+def outermost(segments: DataFrame) -> DataFrame:
+    """Segments that lie inside no other of their pair, in a or in b.  Of two with the same place in either, neither stays."""
+    low, high = (F.least(in_b("first_base"), in_b("last_base")), F.greatest(in_b("first_base"), in_b("last_base")))
+    out = segments.withColumn("low", low).withColumn("high", high)
+    for first, last in (("first_base", "last_base"), ("low", "high")):
+        before = W.partitionBy(*PAIR).orderBy(first, F.col(last).desc(), "shift").rowsBetween(W.unboundedPreceding, -1)
+        alone = F.count("*").over(W.partitionBy(*PAIR, first, last)) == 1
+        out = out.withColumn(f"{first}_out", alone & (F.coalesce(F.max(last).over(before), F.col(last) - 1) < F.col(last)))
+    return out.where("first_base_out and low_out").select(segments.columns)
+
+
+def parted(segments: DataFrame) -> DataFrame:
+    """Segments cut back where neighbours (by place in a) overlap in a or in b: each gives half of the larger overlap, rounded up."""
+    line = W.partitionBy(*PAIR).orderBy("first_base", "last_base", "shift")
+    start, end, way = in_b("first_base"), in_b("last_base"), F.col("dir")
+    out = segments.withColumn("start", start * way).withColumn("end", end * way)
+    overlap = F.greatest(F.col("last_base") - F.lead("first_base").over(line), F.col("end") - F.lead("start").over(line)) + 1
+    out = out.withColumn("give", F.floor((F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)) + 1) / 2))
+    took = F.coalesce(F.lag("give").over(line), F.lit(0))
+    cut = out.withColumns({"first_base": F.col("first_base") + took, "last_base": F.col("last_base") - F.col("give")})
+    return cut.where("first_base <= last_base").select(segments.columns)
+
+
+def concordant(segments: DataFrame, window: int = 5, threshold: int = 10) -> DataFrame:
+    """Segments whose offset is within ``threshold`` of the median of those of up to ``window`` neighbours on each side."""
+    line = W.partitionBy(*PAIR).orderBy("first_base", "last_base", "shift").rowsBetween(-window, window)
+    near = F.sort_array(F.collect_list("shift").over(line))
+    median = F.get(near, F.floor(F.size(near) / 2).cast("int"))
+    return segments.withColumn("off", F.abs(median - F.col("shift"))).where(F.col("off") <= threshold).drop("off")
+
+
+def joined(segments: DataFrame, sequences: DataFrame, unread: str = "NX*-") -> DataFrame:
+    """Neighbours of one offset with a gap between them become one segment if every letter of b in the gap is that of a, or one of ``unread``."""
+    line = W.partitionBy(*PAIR).orderBy("first_base", "last_base", "shift")
+    at = segments.withColumn("from", F.when(F.lag("shift").over(line) == F.col("shift"), F.lag("last_base").over(line) + 1))
+    gaps = at.where("from < first_base").withColumn("to", F.col("first_base") - 1)
     text = lambda name, to: sequences.select(F.col("seq_id").alias(name), F.upper("dna").alias(to))
-    at = at.join(text("seq_a", "a"), "seq_a").join(text("seq_b", "b"), "seq_b")
-    size = F.length("b")
-    b = F.when(F.col("dir") == 1, F.col("b")).otherwise(reverse_complement("b"))
-    move = F.when(F.col("dir") == 1, F.col("shift")).otherwise(F.col("shift") - size - 1).cast("int")  # a = b + move
-    at = at.withColumn("b", b).withColumn("move", move)
-    first = F.greatest(F.lit(1), F.col("move") + 1)
-    last = F.least(F.length("a"), F.length("b") + F.col("move"))
-    at = at.withColumn("x", F.split(F.substring("a", first, last - first + 1), "")).withColumn("y", F.split(F.substring("b", first - F.col("move"), last - first + 1), ""))
-    each = F.zip_with("x", "y", lambda p, q: F.when((p == "N") | (q == "N"), 0).when((p == q) & (p != "X"), 1).otherwise(-2))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
-
-    def step(acc, s):
-        now = F.greatest(acc["now"] + s, F.lit(0))
-        return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"))
-
-    return at.select("seq_a", "seq_b", "dir", "shift", "n", F.aggregate(each, zero, step, lambda a: a["best"]).cast("long").alias("score"))
+    gaps = gaps.join(text("seq_a", "a"), "seq_a").join(text("seq_b", "b"), "seq_b")
+    low, size = F.least(in_b("from"), in_b("to")), F.col("to") - F.col("from") + 1
+    cut = F.substring("b", low.cast("int"), size.cast("int"))
+    mine, theirs = F.split(F.substring("a", F.col("from").cast("int"), size.cast("int")), ""), F.split(F.when(F.col("dir") == 1, cut).otherwise(reverse_complement(cut)), "")
+    fits = F.forall(F.zip_with(mine, theirs, lambda x, y: (x == y) | F.lit(unread).contains(y)), lambda x: x)
+    fits = gaps.where(fits).select(*PAIR, "shift", "first_base", F.lit(0).alias("new"))
+    marked = segments.join(fits, [*PAIR, "shift", "first_base"], "left").withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(line))
+    return marked.groupBy(*PAIR, "shift", "island").agg(F.min("first_base").alias("first_base"), F.max("last_base").alias("last_base")).drop("island")
 
 
 def oligo_hits(sequences: DataFrame, oligos: dict[str, str]) -> DataFrame:
@@ -142,9 +204,10 @@ def oligo_hits(sequences: DataFrame, oligos: dict[str, str]) -> DataFrame:
             regex = oligo_pattern(pattern)
             between, inside = F.transform(F.split("dna", regex, -1), F.length), F.transform(F.regexp_extract_all("dna", F.lit(regex), F.lit(0)), F.length)
             pieces = dna.where(F.col("dna").rlike(regex)).select("seq_id", between.alias("between"), inside.alias("inside"))
-            before = F.transform("inside", lambda _, i: F.aggregate(F.slice("between", F.lit(1), i + 1), F.lit(0), lambda a, v: a + v)
-                                 + F.aggregate(F.slice("inside", F.lit(1), i), F.lit(0), lambda a, v: a + v))
-            one = pieces.select(F.lit(name).alias("oligo"), F.lit(strand).alias("strand"), "seq_id", F.explode(before).alias("offset")).withColumn("offset", F.col("offset").cast("long"))
+            each = pieces.select(F.lit(name).alias("oligo"), F.lit(strand).alias("strand"), "seq_id", F.posexplode(F.arrays_zip("between", "inside")))
+            before = W.partitionBy("oligo", "strand", "seq_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+            end = F.sum(F.col("col.between") + F.coalesce("col.inside", F.lit(0))).over(before)
+            one = each.select("oligo", "strand", "seq_id", (end - F.col("col.inside")).alias("offset")).where("offset is not null")
             found = one if found is None else found.unionByName(one)
     return found
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions import alignment as al
 from strandlake.functions import consensus as co
 from strandlake.functions import kmers as km
 from strandlake.functions import reads as rd
@@ -220,18 +221,53 @@ call("kmer_segments", f"""with {_PAIRS}, peak as (select seq_a, seq_b, dir, max(
         near as (select n.seq_a, n.seq_b, n.dir, n.shift from n join peak p on p.seq_a=n.seq_a and p.seq_b=n.seq_b and p.dir=n.dir where abs(n.shift-p.at)<=5 and n.n*20>=p.top),
         h as (select distinct hit.* from hit join near using (seq_a, seq_b, dir, shift)), r as (select *, centre-row_number() over (partition by seq_a, seq_b, dir, shift order by centre) as run from h),
         m as (select seq_a, seq_b, dir, shift, min(centre)-15 as first_base, max(centre)+15 as last_base from r group by seq_a, seq_b, dir, shift, run), z as (select seq_id, count(*) as k from g group by seq_id),
-        l as (select m.* from m join z a on a.seq_id=m.seq_a join z b on b.seq_id=m.seq_b where last_base-first_base+1>=floor(ln(a.k*b.k)))
-        select * exclude reach from (select *, max(last_base) over (partition by seq_a, seq_b, dir order by first_base, last_base desc, shift rows between unbounded preceding and 1 preceding) as reach from l) x where reach is null or last_base>reach""")(
-    lambda a: km.alignment_segments(indexed(a), _K))
-call("overlap_pairs", f"""with {_PAIRS}, best as (select seq_a, seq_b, first(dir order by n desc, shift, dir desc) as dir, first(shift order by n desc, shift, dir desc) as shift, max(n) as n from n group by all having max(n)>=100),
-        t as (select best.*, a.dna as a, case when dir=1 then b.dna else reverse(translate(b.dna,'ACGT','TGCA')) end as b, case when dir=1 then shift else shift-length(b.dna)-1 end as move from best join a_dna a on a.seq_id=seq_a join a_dna b on b.seq_id=seq_b),
-        e as (select seq_a, seq_b, dir, shift, n, i, case when substr(a,i,1)=substr(b,i-move,1) then 1 else -2 end as s from (select *, unnest(range(greatest(1,move+1), least(length(a),length(b)+move)+1)) as i from t) x),
-        c as (select *, sum(s) over (partition by seq_a, seq_b order by i) as run from e), d as (select *, run-least(0,min(run) over (partition by seq_a, seq_b order by i)) as now from c)
-        select seq_a, seq_b, dir, shift, n, cast(max(now) as bigint) as score from d group by seq_a, seq_b, dir, shift, n""")(lambda a: overlaps(a))
+        l as (select m.* from m join z a on a.seq_id=m.seq_a join z b on b.seq_id=m.seq_b where last_base-first_base+1>=floor(ln(a.k*b.k))),
+        w as (select *, case when dir=1 then first_base-shift else shift-last_base end as low, case when dir=1 then last_base-shift else shift-first_base end as high from l),
+        o as (select * from w x where not exists (select 1 from w y where y.seq_a=x.seq_a and y.seq_b=x.seq_b and y.dir=x.dir and (y.shift<>x.shift or y.first_base<>x.first_base)
+            and (y.first_base<=x.first_base and y.last_base>=x.last_base or y.low<=x.low and y.high>=x.high))),
+        p as (select *, greatest(0, last_base+1-lead(first_base) over v, (case when dir=1 then high else -low end)+1-lead(case when dir=1 then low else -high end) over v) as both_ from o window v as (partition by seq_a, seq_b, dir order by first_base)),
+        c as (select seq_a, seq_b, dir, shift, first_base+coalesce(lag((both_+1)//2) over v,0) as first_base, last_base-(both_+1)//2 as last_base from p window v as (partition by seq_a, seq_b, dir order by first_base)),
+        d as (select *, list_sort(list(shift) over (partition by seq_a, seq_b, dir order by first_base, last_base, shift rows between 5 preceding and 5 following)) as near from c where first_base<=last_base),
+        e as (select * from d where abs(near[len(near)//2+1]-shift)<=10),
+        f as (select *, case when lag(shift) over v=shift then lag(last_base) over v end as back from e window v as (partition by seq_a, seq_b, dir order by first_base, last_base, shift)),
+        u as (select f.*, case when back+1<first_base and substr(a.dna,back+1,first_base-back-1)=case when dir=1 then substr(b.dna,back+1-shift,first_base-back-1)
+            else reverse(translate(substr(b.dna,shift-first_base+1,first_base-back-1),'ACGT','TGCA')) end then 0 else 1 end as new from f join a_dna a on a.seq_id=seq_a join a_dna b on b.seq_id=seq_b),
+        i as (select *, sum(new) over (partition by seq_a, seq_b, dir order by first_base, last_base, shift) as island from u)
+        select seq_a, seq_b, dir, shift, min(first_base) as first_base, max(last_base) as last_base from i group by seq_a, seq_b, dir, shift, island""")(
+    lambda a: km.alignment_segments(indexed(a), _K, a.once("dna")))
+_BAND = 4
+_ROWS = 8  # of the matrix in one step of the recursion
+
+
+def _next_rows(before: str) -> str:
+    """The next rows of the matrices of ``before``, one inside the other; a and b are the letters that these rows need."""
+    inside, js = "row+lo+j-1 between 0 and size-1 and row<stop", f"range(1,{2 * _BAND + 2})"
+    for _ in range(_ROWS):
+        before = f"(select * exclude row, row+1 as row from {before} x)"
+        before = f"""(select * exclude h, list_transform({js}, lambda j: case when {inside} then
+            greatest(0, h[j]+case when substr(a,row-begin,1)=substr(b,row+lo+j-base+1,1) then 1 else -2 end, coalesce(h[j+1],0)-4) else 0 end) as d from {before} x)"""
+        before = f"(select * exclude d, list_transform({js}, lambda j: case when {inside} then list_max(list_transform(range(1,j+1), lambda k: d[k]+4*k))-4*j else 0 end) as h from {before} x)"
+        better = "list_max(h)>top.score"
+        before = f"(select * exclude top, case when {better} then struct_pack(score := list_max(h), at := row, col := list_position(h,list_max(h))) else top end as top from {before} x)"
+    return before
+
+
+_STATE = f"""go.seq_a, go.seq_b, go.row as begin, greatest(1, go.row+z.lo+2) as base, substr(z.a,go.row+2,{_ROWS}) as a, substr(z.b,greatest(1, go.row+z.lo+2),{_ROWS + 2 * _BAND + 1}) as b,
+    length(z.b) as size, z.lo, z.stop, go.row, go.h, go.top"""
+call("overlap_pairs", f"""with recursive {_PAIRS}, best as (select seq_a, seq_b, first(dir order by n desc, shift, dir desc) as dir, first(shift order by n desc, shift, dir desc) as shift, max(n) as n from n group by all having max(n)>=100),
+        t as materialized (select best.*, a.dna as a, case when dir=1 then b.dna else reverse(translate(b.dna,'ACGT','TGCA')) end as b, case when dir=1 then shift else shift-length(b.dna)-1 end as move from best join a_dna a on a.seq_id=seq_a join a_dna b on b.seq_id=seq_b),
+        z as materialized (select *, -move-{_BAND} as lo, greatest(0, move-{_BAND}) as begin, least(length(a), length(b)+move+{_BAND}) as stop from t),
+        go as (select seq_a, seq_b, begin-1 as row, list_transform(range(1,{2 * _BAND + 2}), lambda j: 0) as h, struct_pack(score := 0, at := 0::bigint, col := 0) as top from z
+          union all select seq_a, seq_b, row, h, top from {_next_rows(f"(select {_STATE} from go join z on z.seq_a=go.seq_a and z.seq_b=go.seq_b where go.row+1<z.stop)")} y)
+        select seq_a, seq_b, t.dir, t.shift, t.n, g.score::bigint as score, case when g.score>0 then g.at+1 end as a_end, case when g.score>0 then g.at-t.move-{_BAND}+g.col end as b_end
+        from t join (select seq_a, seq_b, arg_max(top, row) as g from go group by all) using (seq_a, seq_b)""")(lambda a: overlaps(a))
 
 
 def overlaps(a: Assembly) -> DataFrame:
-    return km.overlaps(a.dna, km.offsets(indexed(a)), 100)
+    """Pairs of a hundred common k-mers or more, aligned with gaps on a band around their best offset."""
+    dna = a.once("dna")
+    pairs = al.oriented(km.best_offsets(km.offsets(indexed(a)), 100), dna, sq.reverse_complement)
+    return al.aligned(pairs, _BAND).drop("move")
 
 
 _OLIGOS = {"one": "ACGTACG", "two": "TTGACCA", "three": "GAATTC", "four": "CGCACTA"}

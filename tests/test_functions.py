@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import consensus, integrity, joins, kmers, lineage, mappings, reads, scaffolds, selections, sequences, statistics, tags
+from strandlake.functions import alignment, consensus, integrity, joins, kmers, lineage, mappings, reads, scaffolds, selections, sequences, statistics, tags
 from strandlake.sources import exchange, files, tables
 from strandlake.streaming.increments import follow, increment
 
@@ -320,8 +320,11 @@ def test_kmers_and_oligos(spark):
     assert rows(member) == [(1, 1), (2, 2), (3, 3), (4, 1), (6, 6)]
     found = kmers.index(reps, 11)
     assert {tuple(r) for r in kmers.offsets(found, 20).collect()} == {(1, 2, 1, 20, 90), (1, 3, -1, 91, 50), (2, 3, -1, 71, 50)}
-    assert {tuple(r) for r in kmers.alignment_segments(found, 11, least=20).collect()} == {(1, 2, 1, 20, 21, 120), (1, 3, -1, 91, 31, 90), (2, 3, -1, 71, 11, 70)}
-    assert {tuple(r) for r in kmers.overlaps(some, kmers.offsets(found)).collect()} == {(1, 2, 1, 20, 90, 100), (1, 3, -1, 91, 50, 60), (2, 3, -1, 71, 50, 60)}
+    assert {tuple(r) for r in kmers.alignment_segments(found, 11, some, least=20).collect()} == {(1, 2, 1, 20, 21, 120), (1, 3, -1, 91, 31, 90), (2, 3, -1, 71, 11, 70)}
+    best = alignment.oriented(kmers.best_offsets(kmers.offsets(found)), some, sequences.reverse_complement)
+    for band in (0, 3, None):
+        scores = {tuple(r) for r in alignment.aligned(best, band).select("seq_a", "seq_b", "dir", "shift", "n", "score").collect()}
+        assert scores == {(1, 2, 1, 20, 90, 100), (1, 3, -1, 91, 50, 60), (2, 3, -1, 71, 50, 60)}
     counts = {r["seq_id"]: (r["accepted"], r["rejected"]) for r in kmers.accepted(some, 11).collect()}
     assert counts[1] == (110, 0) and counts[6] == (0, 30)
     packed = kmers.packed(spark.createDataFrame([(1, "ACGTT")], "seq_id long, dna string"), 2)
