@@ -44,6 +44,12 @@ def free_by_origin(reads: DataFrame, placed: DataFrame, templates: DataFrame, li
     return at.groupBy("clone_id").agg(F.count("*").alias("free_reads"))
 
 
+def free_by_ligation(reads: DataFrame, placed: DataFrame, templates: DataFrame, ligations: DataFrame, complement: bool = False) -> DataFrame:
+    """Free reads whose template is of one of ``ligations`` (ligation_id); with ``complement``, those of no one of them, reads of unknown ligation included."""
+    of = templates.join(ligations.select("ligation_id").distinct(), "ligation_id", "left_semi").select("template_id")
+    return free_reads(reads, placed).join(of, "template_id", "left_anti" if complement else "left_semi")
+
+
 def free_as_of(reads: DataFrame, mappings: DataFrame, contigs: DataFrame, edges: DataFrame, day: str) -> DataFrame:
     """Reads that no contig current on ``day`` holds."""
     return free_reads(reads, mappings.join(current_as_of(contigs, edges, day).select("contig_id"), "contig_id", "left_semi"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of reads that come from the sequencing line.
-REGULAR_NAME = r"\.[pq][12]k$"
+#: Names that an assembler has added to, as a fixed pattern.
+MANGLED_NAME = r"\.[pq][12]k\.[\w\-]+"
 
 
 def named(column: str, name: str) -> Column:
@@ -103,8 +104,14 @@ def without_short(mappings: DataFrame, span: int) -> DataFrame:
     return mappings.where(F.col("cfinish") - F.col("cstart") + 1 > span)
 
 
-def invalid_names(reads: DataFrame, pattern: str = REGULAR_NAME) -> DataFrame:
-    return reads.where(~F.col("readname").rlike(pattern))
+def invalid_names(reads: DataFrame, pattern: str = MANGLED_NAME) -> DataFrame:
+    """Reads whose name matches the pattern anywhere; a null name doesn't."""
+    return reads.where(F.col("readname").rlike(pattern))
+
+
+def valid_names(reads: DataFrame, pattern: str = MANGLED_NAME) -> DataFrame:
+    """The other reads."""
+    return reads.where(~F.coalesce(F.col("readname").rlike(pattern), F.lit(False)))
 
 
 def without_reads(mappings: DataFrame, names: DataFrame) -> DataFrame:
@@ -130,7 +137,13 @@ def transfer_requests(requests: DataFrame, requester: int | None = None, owner:
 
 
 def transfer_candidates(requests: DataFrame, current: DataFrame) -> DataFrame:
-    """request_id and why it can't be carried out; ``active`` if nothing speaks against it."""
+    """request_id and why a pending request can't be carried out; ``active`` if nothing speaks against it.
+
+    A contig that isn't current can't move, nor can one that an earlier request, pending or approved, asks for; nor one that has left the
+    project the request names.
+    """
     now = current.select("contig_id", F.col("project_id").alias("now"))
-    reason = F.when(F.col("now").isNull(), "not current").when(F.col("now") != F.col("old_project_id"), "project changed").otherwise("active")
-    return requests.where("status = 'pending'").join(now, "contig_id", "left").select("request_id", reason.alias("reason"))
+    first = requests.where(F.col("status").isin("pending", "approved")).groupBy("contig_id").agg(F.min("request_id").alias("first"))
+    reason = F.when(F.col("now").isNull(), "not current").when(F.col("first") < F.col("request_id"), "already requested")
+    reason = reason.when(F.col("now") != F.col("old_project_id"), "project changed").otherwise("active")
+    return requests.where("status = 'pending'").join(now, "contig_id", "left").join(first, "contig_id", "left").select("request_id", reason.alias("reason"))

@@ -43,13 +43,20 @@ call("flt_window_reads")(lambda a: se.window_reads(a.map, 300, 700).select("cont
 call("flt_project_inventory")(lambda a: se.project_inventory(a.project, a.contig).select("project_id", "name"))
 call("flt_include_exclude")(lambda a: se.in_projects(a.cur, a.project, exclude=["BIN", "FREEASSEMBLY", "TRASH"], longer=1000).select("contig_id", "name", "length"))
 call("flt_short_reads")(lambda a: se.counted_again(se.without_short(a.map, 310)))
-call("flt_invalid_names", "select read_id, readname from a_readinfo where not regexp_matches(readname, '[.](p|q)(1|2)k$')")(lambda a: se.invalid_names(a.readinfo).select("read_id", "readname"))
+_NAMES = "select read_id, concat(readname, case cast(floor(read_id/64.0) as bigint)%4 when 0 then '.a-1' when 1 then '.' else '' end) as readname from a_readinfo"
+call("flt_invalid_names", f"select * from ({_NAMES}) n where not (contains(readname, 'p1k.a-1') or contains(readname, 'p2k.a-1') or contains(readname, 'q1k.a-1') or contains(readname, 'q2k.a-1'))")(
+    lambda a: se.valid_names(a.sql(_NAMES)))
 call("flt_named_reads")(lambda a: se.counted_again(se.without_reads(a.map, se.select_reads(a.readinfo, status="FAIL"))))
 call("flt_deprecated_tags", "select tag_id, contig_id, tagtype from (select *, case when tag_id%4=0 then 'Y' else 'N' end as deprecated from a_tag) t where deprecated='N'")(
     lambda a: a.tag.withColumn("deprecated", F.when(F.col("tag_id") % 4 == 0, "Y").otherwise("N")).where("deprecated = 'N'").select("tag_id", "contig_id", "tagtype"))
 call("flt_history_range")(lambda a: se.history_range(a.contig, "created", "1995-01-01", "1996-12-31").groupBy("project_id", "created").agg(F.count("*").alias("contigs"), F.sum("length").alias("length")))
 call("flt_transfer_requests")(lambda a: se.transfer_requests(a.transfer).select("request_id", "contig_id", "requester", "status"))
-call("flt_transfer_candidates")(lambda a: se.transfer_candidates(a.transfer, a.cur))
+_ASKED = """select request_id, contig_id, old_project_id, status from a_transfer union all
+    select request_id+100000000, contig_id, old_project_id, case when status='done' then 'approved' else 'pending' end from a_transfer where requester=0"""
+call("flt_transfer_candidates", f"""with q as ({_ASKED}) select request_id, case when c.contig_id is null then 'not current'
+        when exists (select 1 from q e where e.contig_id=q.contig_id and e.request_id<q.request_id and e.status in ('pending','approved')) then 'already requested'
+        when c.project_id<>old_project_id then 'project changed' else 'active' end as reason from q left join a_cur c on c.contig_id=q.contig_id where status='pending'""")(
+    lambda a: se.transfer_candidates(a.sql(_ASKED), a.cur))
 
 
 @call("ext_procedures", """select 'find reads by name' as procedure, count(*) as n from a_readinfo r left join a_curmap m on m.seq_id=r.read_id
@@ -108,10 +115,10 @@ _WALK = """with recursive walk(contig_id, relative, gen) as (select contig_id, p
           union all select w.contig_id, k.parent_id, w.gen+1 from walk w join a_c2c k on k.contig_id=w.relative)"""
 call("lineage_relations", _WALK + """ select contig_id, relative, min(gen) as gen_min, max(gen) as gen_max from walk group by contig_id, relative
     union all select relative, contig_id, -max(gen), -min(gen) from walk group by contig_id, relative""")(lambda a: li.both_ways(li.relations(a.c2c)))
-call("lineage_age")(lambda a: li.ages(a.cur, li.relations(a.c2c)))
+call("lineage_age")(lambda a: li.ages(a.cur, a.c2c))
 call("contigs_at_age", """with recursive walk(contig_id, relative, gen) as (select c.contig_id, c.contig_id, 0 from a_cur c
           union all select w.contig_id, k.parent_id, w.gen+1 from walk w join a_c2c k on k.contig_id=w.relative)
-        select relative as contig_id from walk group by relative having max(gen)=2""")(lambda a: li.at_age(a.cur, li.relations(a.c2c), 2))
+        select relative as contig_id from walk group by relative having max(gen)=2""")(lambda a: li.at_age(a.cur, a.c2c, 2))
 call("link_contigs", f"with {_LINKS} select * from links")(lambda a: linked(a, None))
 
 
@@ -183,6 +190,33 @@ call("assign_contigs", """select t.contig_id, case when outcome='moved' then pid
       left join a_cur r on r.contig_id=t.contig_id) t""")(
     lambda a: li.assigned(a.transfer.select("contig_id", (F.col("new_project_id") + F.col("requester")).alias("new_project_id")), a.contig, a.cur, a.project))
 
+call("assign_audit", """select t.contig_id, c.project_id as from_project, p.project_id as to_project, t.requester, t.opened from a_transfer t join a_contig c on c.contig_id=t.contig_id
+      join a_cur r on r.contig_id=t.contig_id join a_project p on p.project_id=t.new_project_id+t.requester where p.project_id<>c.project_id""")(
+    lambda a: li.audit_rows(a.transfer.select("contig_id", (F.col("new_project_id") + F.col("requester")).alias("new_project_id"), "requester", "opened"), a.contig, a.cur, a.project))
+
+#: The parents' reads of every third contig lie up to 120 places off.
+_UNRULY = """select contig_id, seq_id, direction, cstart+d as cstart, cfinish+d as cfinish from (select *, case when contig_id%3=0 then (seq_id*37)%11*12 else 0 end as d from a_map) x"""
+call("link_unruly", f"""with moved as ({_UNRULY}), {_LINKS.replace('a_map', 'moved').replace('where nreads>=least', 'where nreads>=1')},
+      w as (select *, cfinish-cstart+1 as size, max(cfinish-cstart+1) over (partition by contig_id, parent_id, shift) as big, count(*) over (partition by contig_id, parent_id, shift) as many from parts),
+      e as (select contig_id, parent_id, shift, count(*) as n, avg((cstart+cfinish)/2.0::double) as place, sum(((cstart+cfinish)/2.0::double)^2) as pp, sum((cstart+cfinish)/2.0::double*shift) as ps, sum(shift::double^2) as ss
+        from w where many=1 or size>case when big<=5 then big/2.0 else 5 end group by all),
+      t as (select *, place-lag(place) over v as step from e window v as (partition by contig_id, parent_id order by shift)),
+      u as (select *, case when step*lag(step) over (partition by contig_id, parent_id order by shift)<0 then 1 else 0 end as turn from t),
+      bad as (select contig_id, parent_id from u group by all having max(shift)-min(shift)>=20 and abs(sum(ps)/sqrt(sum(pp)*sum(ss)))<0.9 and sum(n-1+turn)>0),
+      b as (select contig_id, parent_id, shift, sum(cfinish-cstart+1) as b from kept group by all),
+      r as (select *, sum(b) over (partition by contig_id, parent_id order by shift) as run, sum(b) over (partition by contig_id, parent_id) as every from b),
+      mid as (select contig_id, parent_id, min(shift) as middle from r semi join bad using (contig_id, parent_id) where run*2>=every group by all),
+      f as (select p.*, middle, middle is not null and abs(shift-middle)*2>20 as far from parts p left join mid using (contig_id, parent_id) where middle is null or cfinish>cstart),
+      g as (select contig_id, parent_id, min(cstart) as s, max(cfinish) as f from f where far group by all),
+      h as (select f.*, g.s, g.f, row_number() over (partition by contig_id, parent_id order by cstart, cfinish desc, shift) as k from f left join g using (contig_id, parent_id) where not far),
+      i as (select * from h where k=1 or s is null or cstart<s or cfinish>f),
+      j as (select * from i x where not exists (select 1 from i y where y.contig_id=x.contig_id and y.parent_id=x.parent_id and (y.shift<>x.shift or y.part<>x.part) and y.cstart<=x.cstart and y.cfinish>=x.cfinish
+          and (y.cstart<x.cstart or y.cfinish>x.cfinish or (y.shift, y.part)<(x.shift, x.part)))),
+      l2 as (select *, (greatest(0, cfinish+1-lead(cstart) over (partition by contig_id, parent_id order by cstart))+1)//2 as give from j)
+      select contig_id, parent_id, dir, shift, cast(part as bigint) as part, nreads, cstart+coalesce(lag(give) over (partition by contig_id, parent_id order by cstart),0) as cstart, cfinish-give as cfinish
+      from l2 qualify cstart+coalesce(lag(give) over (partition by contig_id, parent_id order by cstart),0)<=cfinish-give""")(
+    lambda a: li.link_contigs(a.sql(_UNRULY), a.c2c, least_reads=1, window=20, correlation=0.9, defects=0, prune=True))
+
 # ---- statistics
 
 call("project_summary")(lambda a: st.project_summary(a.once("cur")))

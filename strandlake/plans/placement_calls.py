@@ -30,6 +30,9 @@ call("cur_contigs_asof")(lambda a: pl.current_as_of(a.contig, a.c2c, AS_OF).sele
 call("initial_contigs")(lambda a: pl.initial(a.contig, a.c2c).select("contig_id"))
 call("free_reads")(lambda a: pl.free_reads(a.readinfo, a.curmap).select("read_id", "readname"))
 call("free_reads_by_origin")(lambda a: pl.free_by_origin(a.readinfo, a.curmap, a.template, a.ligation))
+_FREE = "select read_id, readname from a_readinfo r where not exists (select 1 from a_curmap m where m.seq_id=r.read_id) and template_id {0} (select template_id from a_template where ligation_id%5=0)"
+call("free_reads_ligation", _FREE.format("in"))(lambda a: pl.free_by_ligation(a.readinfo, a.curmap, a.template, a.ligation.where("ligation_id % 5 = 0")).select("read_id", "readname"))
+call("free_reads_other_ligation", _FREE.format("not in"))(lambda a: pl.free_by_ligation(a.readinfo, a.curmap, a.template, a.ligation.where("ligation_id % 5 = 0"), True).select("read_id", "readname"))
 call("free_reads_asof")(lambda a: pl.free_as_of(a.readinfo, a.map, a.contig, a.c2c, AS_OF).select("read_id"))
 call("read_placement")(lambda a: pl.placements(a.curmap, a.readinfo, a.project))
 call("read_current_contig")(lambda a: pl.current_contig(a.curmap))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import alignment as al
 from strandlake.functions import consensus as co
 from strandlake.functions import kmers as km
+from strandlake.functions import lineage as li
 from strandlake.functions import reads as rd
 from strandlake.functions import sequences as sq
 from strandlake.operators.components import kept
@@ -197,6 +198,10 @@ def stale_pads(a: Assembly) -> DataFrame:
     return a.base_at.where("base = ' '").join(listed, "seq_id", "left").where("listed is null or listed < 2").select("seq_id", "pos")
 
 
+_QUALITY = "list_transform(range(1,length(dna)+1), lambda i: (ascii(substr(dna,cast(i as int),1))*7+i*13)%41)"
+call("contig_checksum_content", f"""select seq_id, md5(dna) as dna_md5, md5(reverse(translate(dna,'ACGT','TGCA'))) as reverse_md5, md5(array_to_string({_QUALITY},',')) as quality_md5,
+      md5(array_to_string(list_reverse({_QUALITY}),',')) as quality_reverse_md5 from a_dna where length(dna)>0""")(lambda a: li.content_checksums(with_quality(a.dna.where("length(dna) > 0"))))
+
 # ---- k-mers and oligos
 
 _K = 31

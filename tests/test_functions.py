@@ -1,5 +1,6 @@
 """Operators against hand-computed values and plain Python on small fixtures with nulls, ties and empty tables."""
 
+import hashlib
 import random
 from datetime import date
 
@@ -150,10 +151,86 @@ def test_deep_lineage(spark):
     far = closure.where("contig_id = 1000 and relative = 1").first()
     assert (far["gen_min"], far["gen_max"]) == (1, 999)
     old = spark.createDataFrame([(1000,)], "contig_id long")
-    assert rows(lineage.at_age(old, closure, 998)) == [(2,)]
-    assert lineage.relations(edges.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        lineage.relations(spark.createDataFrame([(1, 2), (2, 1)], "contig_id long, parent_id long"), rounds=6)
+    assert rows(lineage.at_age(old, edges, 998)) == [(2,)]
+    assert {r["contig_id"]: r["age"] for r in lineage.ages(old, edges).collect()} == {i: 1000 - i for i in range(1, 1001)}
+    assert lineage.relations(edges.limit(0)).count() == 0 and rows(lineage.ages(old, edges.limit(0))) == [(1000, 0)]
+    for loop in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 4), (4, 2), (5, 4)]):
+        for check in (lineage.relations, lambda e: lineage.ages(old, e)):
+            with pytest.raises(ValueError):
+                check(spark.createDataFrame(loop, "contig_id long, parent_id long")).count()
+
+
+def test_ages_of_branching_lineages(spark):
+    rng = random.Random(3)
+    pairs = [(a, b) for a in range(60, 1, -1) for b in rng.sample(range(1, a), min(a - 1, rng.choice([1, 1, 1, 2, 3])))] + [(100, 60), (61, 30)] + [(200, 201 + i) for i in range(50)]
+    current = [100, 200, 300, 45]  # 61 has no child but isn't current; 45 is an ancestor and stays at least 0
+    age = {c: 0 for c in current}
+    for _ in range(70):
+        for a, b in pairs:
+            if a in age:
+                age[b] = max(age.get(b, 0), age[a] + 1)
+    found = lineage.ages(spark.createDataFrame([(c,) for c in current] * 2, "contig_id long"), spark.createDataFrame(pairs + pairs[:9], "contig_id long, parent_id long"))
+    assert {r["contig_id"]: r["age"] for r in found.collect()} == age
+
+
+def unruly_pair(shifts, width=30):
+    """Mappings of contigs 2 (child) and 1 (parent) with one read a shift, at the places that are given."""
+    rows = []
+    for i, (place, shift) in enumerate(shifts):
+        rows += [(2, i, "Forward", place, place + width - 1), (1, i, "Forward", place - shift, place - shift + width - 1)]
+    return rows
+
+
+def test_unruly_links(spark):
+    m, pair = "contig_id long, seq_id long, direction string, cstart long, cfinish long", spark.createDataFrame([(2, 1)], "contig_id long, parent_id long")
+    link = lambda rows, **how: lineage.link_contigs(spark.createDataFrame(rows, m), pair, least_reads=1, **how)
+    bad = lambda rows, **how: rows_of(lineage.unruly(lineage.shared_reads(spark.createDataFrame(rows, m), pair).withColumn("bases", F.lit(30)), **how))
+    rows_of = lambda df: [tuple(r) for r in df.collect()]
+    zigzag = unruly_pair([(100 + 1000 * (i % 2) + 40 * i, s) for i, s in enumerate([-30, -20, -10, 0, 1, 2, 10, 20, 30])])
+    assert bad(zigzag) == [(2, 1, 1)]  # 7 turns, no correlation
+    assert bad(zigzag, defects=7) == [] and bad(zigzag, defects=6) == [(2, 1, 1)]  # on both sides of the number of turns
+    assert bad(zigzag, window=61) == [] and bad(zigzag, window=60) == [(2, 1, 1)]  # and of the spread
+    places, shifts = [r[3] for r in zigzag[::2]], [-30, -20, -10, 0, 1, 2, 10, 20, 30]
+    mid = [p + 14.5 for p in places]
+    r = abs(sum(p * s for p, s in zip(mid, shifts)) / (sum(p * p for p in mid) * sum(s * s for s in shifts)) ** 0.5)
+    assert bad(zigzag, correlation=r + 1e-9) == [(2, 1, 1)] and bad(zigzag, correlation=r - 1e-9) == []
+    steady = unruly_pair([(100 + 50 * i, s) for i, s in enumerate([-30, -20, -10, 0, 1, 2, 10, 20, 30])])
+    assert bad(steady) == []  # no turn
+    kept = sorted(r["shift"] for r in link(zigzag, window=40).collect())
+    assert kept == [-10, 0, 2, 20]  # -30, -20 and 30 are too far, and mark 100 to 1169; 1 and 10 lie inside it, as does -10, the first
+    assert link(zigzag).count() == link(steady, window=40).count() == 9
+
+
+def test_moves_are_audited(spark):
+    moves = spark.createDataFrame([(1, 5, "ann"), (2, 5, "ann"), (3, 5, "bob"), (4, 9, "bob"), (6, 5, "bob")], "contig_id long, new_project_id long, who string")
+    contigs = spark.createDataFrame([(1, 4), (2, 5), (3, 4), (4, 4)], "contig_id long, project_id long")
+    current = contigs.where("contig_id <> 3")
+    projects = spark.createDataFrame([(4,), (5,)], "project_id long")
+    assert rows(lineage.audit_rows(moves, contigs, current, projects)) == [(1, 4, 5, "ann")]
+
+
+def test_free_reads_of_ligations(spark):
+    reads_ = spark.createDataFrame([(1, 11), (2, 12), (3, 13), (4, None)], "read_id long, template_id long")
+    placed = spark.createDataFrame([(2,)], "seq_id long")
+    templates = spark.createDataFrame([(11, 1), (12, 1), (13, 2)], "template_id long, ligation_id long")
+    chosen = spark.createDataFrame([(1,), (1,)], "ligation_id long")
+    from strandlake.functions import placements
+
+    assert [r["read_id"] for r in placements.free_by_ligation(reads_, placed, templates, chosen).collect()] == [1]
+    assert sorted(r["read_id"] for r in placements.free_by_ligation(reads_, placed, templates, chosen, complement=True).collect()) == [3, 4]
+
+
+def test_content_checksums(spark):
+    row = lineage.content_checksums(spark.createDataFrame([(1, "AACG", [3, 2, 1]), (2, None, None)], "seq_id long, dna string, quality array<int>")).orderBy("seq_id").collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert tuple(row[0]) == (1, md5("AACG"), md5("CGTT"), md5("3,2,1"), md5("1,2,3")) and tuple(row[1]) == (2, None, None, None, None)
+
+
+def test_links_are_pruned(spark):
+    made = [(2, 1, 1, s, 1, 1, a, b) for s, a, b in [(0, 1, 100), (5, 20, 60), (7, 90, 150), (9, 90, 150), (3, 151, 170), (4, 170, 200)]]
+    found = lineage.pruned_links(spark.createDataFrame(made, "contig_id long, parent_id long, dir int, shift long, part long, nreads long, cstart long, cfinish long"))
+    # 90-100 is shared by 6 each, 170 by one each; the inner one and the second of two equal ones go
+    assert rows(found.select("shift", "cstart", "cfinish")) == [(0, 1, 94), (3, 151, 169), (4, 171, 200), (7, 96, 150)]
 
 
 def test_links_and_load(spark):
@@ -365,7 +442,12 @@ def test_selections_and_joins(spark):
     assert found("a*") == [1, 2] and found("a*", only_free=True) == [1] and found("b_p1k") == [3] and found("zz") == []
     pick = lambda **k: [r[0] for r in rows(selections.select_reads(names, **k))]
     assert pick() == [1, 3, 4] and pick(after="2000-06-01") == [3] and pick(status=None, matching="q") == [2] and pick(limit=1, like="%k") == [1] and pick(before="2000-06-01", unlike="b%") == [1]
-    assert [r[0] for r in rows(selections.invalid_names(names))] == [3]
+    mangled = spark.createDataFrame([(1, "t1.p1k"), (2, "t1.q2k.x-1"), (3, "t1.p3k.x"), (4, "t1.p1k."), (5, None), (6, "a.q1k._b.c")], "read_id long, readname string")
+    assert [r[0] for r in rows(selections.invalid_names(mangled))] == [2, 6] and [r[0] for r in rows(selections.valid_names(mangled))] == [1, 3, 4, 5]
+    asked = spark.createDataFrame([(1, 1, 7, "pending"), (2, 1, 7, "pending"), (3, 2, 7, "done"), (4, 2, 7, "pending"), (5, 3, 8, "pending"), (6, 9, 7, "pending"), (7, 4, 7, "approved"), (8, 4, 7, "pending")],
+                                  "request_id long, contig_id long, old_project_id long, status string")
+    now = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7)], "contig_id long, project_id long")
+    assert rows(selections.transfer_candidates(asked, now)) == [(1, "active"), (2, "already requested"), (4, "active"), (5, "project changed"), (6, "not current"), (8, "already requested")]
     contigs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "contig_id long, length long")
     edges = spark.createDataFrame([(2, 1)], "contig_id long, parent_id long")
     by = lambda **k: [r[0] for r in rows(selections.contigs_by_property(contigs, edges, **k))]
