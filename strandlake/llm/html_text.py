@@ -4,13 +4,15 @@ Every node of the page's tree gets a density: its characters per tag, adjusted b
 (``C / T`` times a logarithm of ``C/LC * T/LT`` to a base that grows with the share of link text).  The density
 sum of a node adds its children's densities.  The node of the greatest sum is the core; the least density on the
 path from it to the body is the threshold.  Subtrees that reach the threshold are content, so that sections beside
-the core are kept, and so are headings and loose text beside them.  Tags only mend that choice: if an ``article`` or ``main``
-element around the core holds more than half of the plain text so chosen, it is taken whole; otherwise the densities stand.
+the core are kept, and so are headings and loose text beside them.  Elements that only style a line (``b``, ``span``) don't count as tags.  The densities
+alone choose; ``article`` and ``main`` have no say.
 
-What never belongs to the article is cut before: by tag (menus, forms, scripts ...), by role, or by name.  A class or id counts
+What doesn't belong to the article is cut before: by tag (menus, forms, scripts ...), by role, or by name.  A class or id counts
 as a name when every part of it is one of the words below (``cookie-notice``, ``site-footer``), so ``has-sidebar``,
-``comments-open`` or ``related-work`` cut nothing.  An element with more than half of the page's plain text (nine
-tenths for names that leave no doubt, such as comments) is never cut by name.
+``comments-open`` or ``related-work`` cut nothing.  No cut takes the page with it: an element with more than half of the page's plain text (nine
+tenths for names that leave no doubt, such as comments) is never cut by name, and a menu, form, dialog, header, footer or aside that holds more than half of the plain text
+and four fifths of that in paragraphs and headings stays, so a form around the whole page, an open dialog or a menu that is never closed loses no article; their links and controls have
+no density.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by one line feed.
@@ -40,11 +42,15 @@ from strandlake.llm.batches import map_rows, table
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is not markup, and is never part of an article.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea iframe xmp noembed noframes".split()}
-#: Elements whose text is never part of an article.
-CUT = set("head nav header footer aside form noscript template svg button select dialog menu".split())
+#: Elements whose text is never part of an article, and those that may hold a whole page by mistake or design.
+CUT = set("head noscript template svg button select".split())
+BESIDES = set("nav header footer aside form dialog menu".split())
+PROSE = set("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
             "footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot "
             "th thead tr ul caption".split())
+#: Elements that only style a line; they don't count as tags.
+STYLE = set("abbr b bdi bdo big br cite code del dfn em font i ins kbd mark q rb rp rt ruby s samp small span strong strike sub sup time tt u var wbr".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IN_HEAD = {"base", "link", "meta", "noscript", "template", *RAW}
 #: What an opening tag closes when it is still open, and where the search for it ends.
@@ -131,10 +137,10 @@ def named(names: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "mark", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "cut", "aside", "mark", "chars", "tags", "link_chars", "link_tags", "prose", "headings", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children, self.cut, self.mark = tag, parent, [], False, 0
+        self.tag, self.parent, self.children, self.cut, self.aside, self.mark = tag, parent, [], False, False, 0
 
 
 class Tree:
@@ -174,9 +180,10 @@ class Tree:
         if tag in CLOSES and (found := self.nearest(CLOSES[tag][0])) > self.nearest(CLOSES[tag][1]):
             self.close(found)
         node = Node(tag, self.stack[-1])
-        node.cut = tag in CUT or attributes.get("role", "").lower() in ROLES
+        node.cut = tag in CUT
+        node.aside = tag in BESIDES or attributes.get("role", "").lower() in ROLES
         if tag == "header" and self.places["article"]:
-            node.cut = None  # decided by its headings
+            node.aside = None  # decided by its headings
         if tag not in ("article", "main"):
             node.mark = named(attributes.get("class", ""))
             if tag not in HEADINGS and node.mark < 2:
@@ -207,19 +214,23 @@ def in_order(top: Node) -> list[Node]:
 
 
 def count(nodes: list[Node]) -> None:
-    """Characters and tags below each node, and those of links."""
+    """Characters and tags below each node, those of links, and headings and the plain characters of prose."""
     for node in reversed(nodes):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.chars = node.tags = node.link_chars = node.link_tags = node.prose = node.headings = 0
         for child in node.children:
             if isinstance(child, str):
                 node.chars += len(" ".join(child.split()))
             elif not child.cut:
                 node.chars += child.chars
-                node.tags += child.tags + 1
+                node.tags += child.tags + (child.tag not in STYLE)
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
+                node.prose += child.prose
+                node.headings += child.headings + (child.tag in HEADINGS)
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.tag in PROSE:
+            node.prose = plain(node)
 
 
 def plain(node: Node) -> int:
@@ -227,14 +238,20 @@ def plain(node: Node) -> int:
 
 
 def cut_asides(top: Node) -> None:
-    """Settle which headers and named elements are cut."""
+    """Settle which menus, forms, headers and named elements are cut."""
+    nodes = in_order(top)
+    count(nodes)
+    for node in nodes:
+        if node.aside is None:
+            node.cut = not node.headings
+        elif node.aside:
+            holds_page = plain(node) * 2 > plain(top) and node.prose * 5 >= top.prose * 4 > 0
+            node.cut = not holds_page
     nodes = in_order(top)
     count(nodes)
     for node in nodes:
         if node.mark and plain(node) * 10 <= plain(top) * (9 if node.mark == 2 else 5):
             node.cut = True
-        if node.cut is None:
-            node.cut = not any(n.tag in HEADINGS for n in in_order(node))
 
 
 def measure(top: Node) -> list[Node]:
@@ -270,11 +287,6 @@ def content(top: Node) -> tuple[set[Node], set[Node]]:
             stack += [c for c in node.children if not isinstance(c, str) and not c.cut]
         elif node.density >= threshold > 0 or node.tag in HEADINGS or node.tag not in BLOCK:
             whole.add(node)
-    chosen = sum(plain(n) for n in whole)
-    for tag in ("article", "main"):
-        around = [n for n in path if n.tag == tag]
-        if around and plain(around[-1]) * 2 > chosen:
-            return set(path[path.index(around[-1]) + 1 :]), {around[-1]}
     return way, whole
 
 

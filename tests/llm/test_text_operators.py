@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import xml.etree.ElementTree as ElementTree
 from fractions import Fraction
 from itertools import combinations
 
@@ -171,9 +172,95 @@ def test_article_choice(html, text):
     assert html_text.article(html) == re.sub(" +\n", "\n", text).strip()
 
 
+WHOLE = f"<h1>Title</h1><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><form id='aspnetForm'><div><a href=1>Home</a></div><div>{WHOLE}</div><input><select><option>a</select><button>Go</button><footer><p>f</p></footer></form></body>",
+    f"<body><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul><article>{WHOLE}</article></body>",
+    f"<body><dialog open><article>{WHOLE}</article></dialog></body>", f"<div role='dialog'>{WHOLE}</div>", f"<aside>{WHOLE}</aside>", f"<header>{WHOLE}</header><footer>f</footer>",
+    f"<article>{WHOLE}</article><dialog><p>We use cookies for many good things. Do you accept them all?</p></dialog>",
+    f"<div>{WHOLE}</div><form><label>Name</label><input><p>Please fill in this form.</p></form><nav><p>Menu</p></nav>",
+])
+def test_no_cut_takes_the_page(html):
+    assert html_text.article(html).split("\n") == ["Title", PROSE.strip(), "Short one.", PROSE.strip()]
+
+
+def plain_article(html):
+    """Densities by recursion over a well-formed page of div, p, h2, a, b and span elements."""
+    top = ElementTree.fromstring(html)
+    kids = lambda e: list(e)
+    texts = lambda e: [t for t in [e.text, *(c.tail for c in e)] if t]
+    chars = lambda e: sum(len(" ".join(t.split())) for t in texts(e)) + sum(map(chars, kids(e)))
+    tags = lambda e: sum(tags(c) + (c.tag not in ("b", "span")) for c in kids(e))
+    links = lambda e: chars(e) if e.tag == "a" else sum(map(links, kids(e)))
+    link_tags = lambda e: sum(link_tags(c) + (c.tag == "a") for c in kids(e))
+
+    def density(e):
+        c, t, lc = chars(e), max(1, tags(e)), links(e)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + links(top) / chars(top) * c + math.e)
+        ratio = max(1.0, c / max(1, lc) * t / max(1, link_tags(e)))
+        return c / t * (math.log(ratio, base) if base > 1 else math.log(ratio))
+
+    total = lambda e: max(sum(map(density, kids(e))), density(e) if any(not t.isspace() for t in texts(e)) else 0.0)
+    parent = {c: e for e in top.iter() for c in e}
+    core = max(top.iter(), key=total)
+    path = [core]
+    while path[-1] is not top:
+        path.append(parent[path[-1]])
+    least = min(map(density, path))
+    out, line = [], []
+
+    def end():
+        if text := " ".join("".join(line).split()):
+            out.append(text)
+        line.clear()
+
+    alone = not any(c is not core and c not in path and (density(c) >= least > 0 or c.tag in ("h2", "a", "b", "span")) for e in path[1:] for c in e) and core is not top
+
+    def walk(e, inside):
+        inside = inside or e is core or (e not in path and (density(e) >= least > 0 or e.tag in ("h2", "a", "b", "span")))
+        if not inside and e not in path:
+            return
+        block = e.tag in ("div", "p", "h2", "body")
+        if block:
+            end()
+        own = inside or not alone
+        line.append(e.text if own and e.text else "")
+        for c in e:
+            walk(c, inside)
+            line.append(c.tail if own and c.tail else "")
+        if block:
+            end()
+
+    walk(top, False)
+    return "\n".join(out)
+
+
+def test_densities_are_the_plain_ones():
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta"]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "links", "div", "div"]) if depth else rng.choice(["p", "links"])
+        if kind == "p":
+            return f"<p>{say(rng.randint(1, 60))}" + (f" <b>{say(3)}</b> <a>{say(2)}</a> {say(4)}" if rng.random() < 0.4 else "") + "</p>"
+        if kind == "h2":
+            return f"<h2>{say(3)}</h2>"
+        if kind == "links":
+            return "<div>" + "".join(f"<span><a>{say(2)}</a></span> " for _ in range(rng.randint(1, 8))) + "</div>"
+        return "<div>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 5))) + "</div>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(part(3) for _ in range(rng.randint(1, 5))) + "</body>"
+        assert html_text.article(page) == plain_article(page), page
+
+
 def test_broken_pages_take_linear_time_and_never_fail():
     n = 20_000
-    for page in ("<div>" * n + "x" + "</span></p>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<" * n, "<a " * n, '<a b="' * n + "x", "<!--" * n, "<a" + " " * n, "<p>" * n):
+    for page in ("<article>" + "<header>" * n + "x" + "</header>" * n, "<div>" * n + "x" + "</span></p>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<" * n, "<a " * n, '<a b="' * n + "x", "<!--" * n, "<a" + " " * n, "<p>" * n):
         began = time.time()
         html_text.article(page)
         assert time.time() - began < 3
