@@ -6,7 +6,7 @@ size of the corpus, to the raw count, so that words of one text only do not tell
 n-grams, divided by their number; it is kept when it passes the base rules and its score reaches ``threshold``.
 
 Everything is DataFrame functions: word hashes, pair hashes (by zipping an array with itself shifted) and window
-hashes live in arrays of the row.  Texts are shuffled once, to meet the ids of trusted ones, as these ids grow with
+hashes live in arrays of the row.  Texts with an id are shuffled once, to meet the ids of trusted ones, as these ids grow with
 the corpus; then only bucket counts are.  The two weight
 tables come to the driver (``buckets`` numbers, a parameter) and go back as one literal array.
 
@@ -44,14 +44,25 @@ def bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1))
 
 
+#: Keys that a repeated id's rows are dealt to when they meet the trusted ids.
+SALTS = 16
+
+
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
-    """bucket, count over all documents, count over the trusted ones."""
-    good = labels.where("quality = 1").select("doc_id").na.drop().distinct()
-    good = good.withColumn("__good", F.lit(1)).hint("shuffle_hash")
-    marked = hashed(docs.select("doc_id", "text").join(good, "doc_id", "left"))
-    each = marked.select("__good", F.explode(F.concat("__h", "__p")).alias("h"))
-    counted = each.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("target"))
-    return [tuple(r) for r in counted.collect()]
+    """bucket, count over all documents, count over the trusted ones.
+
+    All documents are counted where they are read.  Texts move only to find the trusted ones: those without an id stay, and those of one id are dealt by text.
+    """
+    good = labels.where("quality = 1").select("doc_id").na.drop().distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.select("doc_id", "text").where("doc_id is not null").withColumn("__salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    trusted = salted.join(good.hint("shuffle_hash"), ["doc_id", "__salt"], "left_semi")
+
+    def counted(some: DataFrame, name: str) -> DataFrame:
+        each = hashed(some.select("text")).select(F.explode(F.concat("__h", "__p")).alias("h"))
+        return each.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias(name))
+
+    found = counted(docs, "raw").join(counted(trusted, "target"), "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+    return [tuple(r) for r in found.collect()]
 
 
 def weights(counts: list[tuple[int, int, int]], buckets: int, smoothing: float) -> list[float]:
