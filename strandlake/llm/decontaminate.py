@@ -127,30 +127,26 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, sample: int = 1
     fields = [("__words", T.LongType()), (FOUND, SPANS), (ITEMS, T.ArrayType(T.StringType()))]
     stay = [c for c in docs.columns if c not in ("__words", FOUND, ITEMS)]
 
-    def searched(rows: DataFrame, block: Windows, again: bool) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast((block.vocabulary, block.by_length()))
-
-        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            vocabulary, windows = sent.value
-            texts = [folded_words(t) for t in utf8(batch.column("text"))]
-            old = lambda name: batch.column(name).to_pylist()
-            spans = [[(s["first"], s["last"]) for s in x] for x in old(FOUND)] if again else [[] for _ in texts]
-            items = [set(x) for x in old(ITEMS)] if again else [set() for _ in texts]
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast((block.vocabulary, block.by_length())) for block in blocks(benchmark, width, block_bytes)]
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts = [folded_words(t) for t in utf8(batch.column("text"))]
+        spans, items = [[] for _ in texts], [set() for _ in texts]
+        for block in sent:
+            vocabulary, windows = block.value
             for doc, first, last, owners in occurrences(texts, vocabulary, windows, sample) if windows else ():
                 spans[doc].append((first, last))
                 items[doc].update(owners)
-            return {
-                "__words": pa.array([len(t) for t in texts], pa.int64()),
-                FOUND: pa.array([[{"first": a, "last": b} for a, b in merged(x)] for x in spans], ARROW_SPANS),
-                ITEMS: pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            }
-
-        return map_rows(rows, work, fields, stay, shard_rows)
-
-    out, again = docs.select(stay), False
-    for block in blocks(benchmark, width, block_bytes):
-        out, again = searched(out, block, again), True
-    return out if again else searched(out, Windows(width), False)
+            if len(sent) > 1:
+                block.__dict__.pop("_value", None)  # a task holds one block at a time; the next shard reads it from disk again
+        return {
+            "__words": pa.array([len(t) for t in texts], pa.int64()),
+            FOUND: pa.array([[{"first": a, "last": b} for a, b in merged(x)] for x in spans], ARROW_SPANS),
+            ITEMS: pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        }
+
+    return map_rows(docs.select(stay), work, fields, stay, shard_rows)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
