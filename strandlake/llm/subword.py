@@ -89,7 +89,12 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> pa.Table:
     chosen = [
         known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_label[y]) for y in (0, 1)
     ]
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    wanted = F.broadcast(chosen[0].unionByName(chosen[1]))
+    met = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # rows that repeat an id count once: the text of the least digest, so that the sample is bounded in rows
+    first = met.groupBy("doc_id", "__y").agg(F.min(F.md5("text")).alias("__digest"))
+    picked = met.withColumn("__digest", F.md5("text")).join(F.broadcast(first), ["doc_id", "__y", "__digest"]).drop("__digest")
+    picked = picked.dropDuplicates(["doc_id", "__y"])
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         counts = [Counter(words_of(t, s.lower)) for t in batch.column("text").to_pylist()]
