@@ -327,7 +327,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, tolerance: float, thresh
     """set_key, root, links: partial link counts and tree edges of all verified pairs."""
     packed = cut(candidates(classes, tolerance, threshold, **blocks))
     wanted = packed.select(*HOME, F.explode("keys").alias("set_key"))
-    ids = wanted.select("set_key").distinct().join(classes.select("set_key", "doc_id", "rows"), "set_key")
+    ids = wanted.select("set_key").distinct().join(classes.select("set_key", "doc_id", "text_key", "rows"), "set_key")
 
     def sets(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         found = [shingles(t) for t in utf8(batch.column("text"))]
@@ -336,8 +336,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, tolerance: float, thresh
             "found": pa.array([s.tobytes() for s in found], pa.binary()),
         }
 
-    chosen = ids.select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    chosen = ids.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.md5("text")) == F.col("__key"))  # rows without an id are told apart by their texts
+    texts = docs.join(chosen, same, "left_semi").select("text")
     fields = [("key", T.BinaryType()), ("found", T.BinaryType())]
     every = map_rows(texts, sets, fields, []).groupBy("key").agg(F.first("found").alias("found"))
     known = ids.join(every, F.col("set_key") == F.col("key")).select("set_key", "rows", "found")
@@ -378,9 +379,10 @@ def grouped(
     slim = docs.select("doc_id", "text")
     signed = cut(signatures(slim.withColumn("text_key", F.unhex(F.md5("text")))))
     classes = signed.where("size > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("size", "sig", "bands"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("f"), F.count("*").alias("rows"),
+        *(F.first(c).alias(c) for c in ("size", "sig", "bands")),
     )
-    classes = cut(classes)
+    classes = cut(classes.withColumns({"doc_id": F.col("f.doc_id"), "text_key": F.col("f.text_key")}).drop("f"))
     linked = cut(linked_classes(slim, classes, tolerance, threshold, block=block, parts=parts, most=most, most_shingles=shingles))
     links = linked.groupBy("set_key").agg(F.sum("links").alias("links"))
     trees = components(linked.select(F.col("set_key").alias("a"), F.col("root").alias("b")))

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, html_text, jaccard_join, licenses, masked_lm, mixing, quality_rules, sharding, subword
 from strandlake.llm.fm_index import FMIndex, suffix_array
@@ -94,6 +95,59 @@ def test_jaccard_groups(spark, docs, texts):
     assert kept.count() == len({root[i] for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+def largest_share(df, where):
+    """The rows that the fullest task of the shuffles of ``df`` reads, over all rows, by the sizes of its partitions."""
+    sizes = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sizes, where
+    return max(r["count"] for r in sizes) / sum(r["count"] for r in sizes)
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_rows_without_ids_of_their_own(spark, texts, ids, monkeypatch):
+    """Nine rows of ten without an id, or one id for all: same results as with ids, and no task that gets them all."""
+    rng = random.Random(7)
+    some = [prose(rng, rng.randint(12, 40)) for _ in range(200)]
+    given = [(i if ids == "null" and i % 10 == 0 else None if ids == "null" else 5, t, "en", "a", None, "x") for i, t in enumerate(some + some[:40])]
+    docs = spark.createDataFrame(given, SCHEMA)
+    groups = jaccard_join.grouped(docs, block=4)
+    assert groups.count() == 240 and groups.where("n_links > 0").count() == 80 and groups.select("group").distinct().count() == 200
+    assert jaccard_join.keep_one(docs).select("text").distinct().count() == jaccard_join.keep_one(docs).count() == 200
+    labels = spark.createDataFrame([(0, 1), (5, 1)], "doc_id long, quality int")
+    counts = quality_rules.bucket_counts(docs, labels, 1 << 16)
+    words = sum(2 * len(t.split()) - 1 for t in some + some[:40])
+    trusted = words if ids == "one" else sum(2 * len(t.split()) - 1 for t in some[:1])
+    assert (sum(r for _, r, _ in counts), sum(t for *_, t in counts)) == (words, trusted)
+    mixed = mixing.plan(docs.select("doc_id", "source", mixing.words_in("text").alias("size")))
+    assert mixed.count() == 240
+    bench = spark.createDataFrame([(1, " ".join(some[3].split()[:12]))], "item_id long, text string")
+    assert decontaminate.find(docs, bench).where("size(__spans) > 0").count() == 2
+    if ids == "one":
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        good = spark.createDataFrame([(5,)], "doc_id long").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(quality_rules.SALTS - 1))))
+        salted = docs.withColumn("__salt", F.pmod(F.xxhash64("text"), F.lit(quality_rules.SALTS)).cast("int"))
+        share = largest_share(salted.join(good.hint("shuffle_hash"), ["doc_id", "__salt"], "left_semi"), "quality rules")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert share < 0.35
+
+
+def test_blocks_are_searched_in_one_stage(spark, docs, texts):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "item_id long, text string")
+    one, many = (decontaminate.find(docs, bench, block_bytes=size) for size in (64_000_000, 20_000))
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def test_a_repeated_id_gives_one_labelled_row(spark):
+    s = subword.Settings("toxic", lower=True, buckets=1 << 10, epochs=2)
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(90)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, toxic int")
+    held = {r["doc_id"] for r in docs.where(subword.held_out()).select("doc_id").distinct().collect()}
+    found = subword.sample(docs, labels, s)
+    assert found.num_rows == len({1, 2} - held)
+
+
 def test_pruning_bound_is_the_posterior():
     r = 0.8 + 0.2 / 256
     for n, m in zip(range(16, 129, 16), jaccard_join.least_matches(Fraction(4, 5), 1e-9)):
