@@ -51,18 +51,17 @@ SALTS = 16
 def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
     """bucket, count over all documents, count over the trusted ones.
 
-    All documents are counted where they are read.  Texts move only to find the trusted ones: those without an id stay, and those of one id are dealt by text.
+    Texts without an id are counted where they are read; the others move to meet the trusted ids, those of one id dealt by text.
     """
     good = labels.where("quality = 1").select("doc_id").na.drop().distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.select("doc_id", "text").where("doc_id is not null").withColumn("__salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-    trusted = salted.join(good.hint("shuffle_hash"), ["doc_id", "__salt"], "left_semi")
-
-    def counted(some: DataFrame, name: str) -> DataFrame:
-        each = hashed(some.select("text")).select(F.explode(F.concat("__h", "__p")).alias("h"))
-        return each.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias(name))
-
-    found = counted(docs, "raw").join(counted(trusted, "target"), "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
-    return [tuple(r) for r in found.collect()]
+    good = good.withColumn("__good", F.lit(1)).hint("shuffle_hash")
+    texts = docs.select("doc_id", "text")
+    salted = texts.where("doc_id is not null").withColumn("__salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    marked = salted.join(good, ["doc_id", "__salt"], "left").select("text", "__good")
+    marked = marked.unionByName(texts.where("doc_id is null").select("text", F.lit(None).cast("int").alias("__good")))
+    each = hashed(marked).select("__good", F.explode(F.concat("__h", "__p")).alias("h"))
+    counted = each.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("target"))
+    return [tuple(r) for r in counted.collect()]
 
 
 def weights(counts: list[tuple[int, int, int]], buckets: int, smoothing: float) -> list[float]:
