@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions import rounds
 from strandlake.operators.components import components, kept
 
 
@@ -84,24 +85,30 @@ def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made(grown(seeds, out_of))
 
 
-def chained(items: DataFrame, bridges: DataFrame, least: int = 2) -> DataFrame:
+def chained(items: DataFrame, bridges: DataFrame, least: int = 2, most: int = 100_000) -> DataFrame:
     """``CHAIN``: greedy chains of items (item, rank; the lowest rank seeds first) over bridges (one, side, other, other_side, n, gap).
 
     A chain grows from its seed to the right, then to the left, each time to the unused item end of the most links (lowest item, then L, if
-    tied), as long as there are ``least``.  Chains can't leave a connected component, so components are chained side by side, many in a
-    task and one after the other; a task holds one component at a time.
+    tied), as long as there are ``least``.  Chains can't leave a connected component, so components of up to ``most`` items and bridges are chained
+    side by side, many in a task and one after the other; larger ones by ``rounds.grown``, which holds none in a task and makes the same chains.
     """
-    strong = kept(bridges.where(F.col("n") >= least))
+    known = items.select(F.col("item").alias("one"))
+    strong = kept(bridges.where(F.col("n") >= least).join(known, "one", "left_semi").join(known.withColumnRenamed("one", "other"), "other", "left_semi").select(
+        "one", "side", "other", "other_side", F.col("n").cast("long").alias("n"), F.col("gap").cast("long").alias("gap")))
     roots = components(strong.select(F.col("one").alias("a"), F.col("other").alias("b")))
-    at = items.select("item", "rank").join(roots.withColumnRenamed("node", "item"), "item", "left")
+    at = items.select("item", F.col("rank").cast("long").alias("rank")).join(roots.withColumnRenamed("node", "item"), "item", "left")
     alone = at.where("root is null").select(
         F.col("item").alias("scaffold"), F.lit(1).cast("long").alias("ordinal"), "item", F.lit("F").alias("direction"), F.lit(None).cast("long").alias("gap_before"))
+    edges = strong.join(roots.select(F.col("node").alias("one"), "root"), "one")
     none = F.lit(None)
-    named = at.where("root is not null").select("root", "item", F.col("rank").cast("long").alias("rank"), none.cast("long").alias("n"), none.cast("string").alias("side"),
+    named = at.where("root is not null").select("root", "item", "rank", none.cast("long").alias("n"), none.cast("string").alias("side"),
                                                 none.cast("long").alias("other"), none.cast("string").alias("other_side"), none.cast("long").alias("gap"))
-    edges = strong.join(roots.select(F.col("node").alias("one"), "root"), "one").select(
-        "root", F.col("one").alias("item"), none.cast("long").alias("rank"), F.col("n").cast("long").alias("n"), "side", "other", "other_side", F.col("gap").cast("long").alias("gap"))
-    rows = named.unionByName(edges).repartition("root").sortWithinPartitions(
+    rows = named.unionByName(edges.select("root", F.col("one").alias("item"), none.cast("long").alias("rank"), "n", "side", "other", "other_side", "gap"))
+    large = kept(rows.groupBy("root").agg(F.count("*").alias("rows")).where(F.col("rows") > most).select("root"))
+    if not large.isEmpty():
+        alone = alone.unionByName(rounds.grown(at.join(large, "root", "left_semi").select("item", "rank"), edges.join(large, "root", "left_semi").drop("root")))
+        rows = rows.join(large, "root", "left_anti")
+    rows = rows.repartition("root").sortWithinPartitions(
         "root", F.col("other").isNotNull(), F.col("rank").asc_nulls_last(), F.col("n").desc(), "item", "other", "other_side", "gap")
     return alone.unionByName(rows.mapInArrow(chains, CHAIN))
 

@@ -21,17 +21,20 @@ def kept(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node of its component) for every node of ``edges`` (a, b).
 
-    In each round a node takes the least root among its own, its neighbours' and its root's; roots only fall, so it
-    ends when their sum stays.  A node of very many edges is aggregated before the shuffle.
+    In each round a node takes the least root among its own, its neighbours' and its root's, and a root the least that any of its
+    nodes has met, so that trees merge as a whole and long paths take few rounds; roots only fall, so it ends when their sum
+    stays.  A node of very many edges and a root of very many nodes are aggregated before the shuffle.
     """
     both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     total = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
     while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        joined = roots.join(near, roots["node"] == near["a"]).join(jump, "root")
-        roots = kept(joined.select("node", F.least("root", "near", "beyond").alias("root")))
+        met = kept(roots.join(near, roots["node"] == near["a"]).select("node", "root", "near"))
+        hooked = met.groupBy("root").agg(F.min("near").alias("hook"))
+        jump = met.select(F.col("node").alias("root"), F.least("root", "near").alias("beyond")).join(hooked, "root")
+        taken = met.join(jump, "root").select("node", F.least("root", "near", "beyond", "hook").alias("root"))
+        roots = kept(taken)
         now = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return roots
