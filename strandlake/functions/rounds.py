@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.operators.components import components, kept
+from strandlake.operators.components import components, settled
 
 
 def opposite(side: str) -> Column:
@@ -39,11 +39,11 @@ def pieces(items: DataFrame, links: DataFrame) -> DataFrame:
     inner = links.join(first.select(F.col("item").alias("one")), "one", "left_anti").join(first.select(F.col("item").alias("other")), "other", "left_anti")
     sides = items.select("item", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("side"))
     step = inner.select(F.col("one").alias("item"), "side", F.col("other").alias("to"), opposite("other_side").alias("to_side"))
-    at = kept(sides.join(step, ["item", "side"], "left").select(
+    at = settled(sides.join(step, ["item", "side"], "left").select(
         "item", "side", F.coalesce("to", "item").alias("to"), F.coalesce("to_side", "side").alias("to_side"), F.col("to").isNotNull().cast("long").alias("dist")))
     while True:
         ahead = at.select(F.col("item").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("next"), F.col("to_side").alias("next_side"), F.col("dist").alias("more"))
-        moved = kept(at.join(ahead, ["to", "to_side"]).select("item", "side", F.col("next").alias("to"), F.col("next_side").alias("to_side"), (F.col("dist") + F.col("more")).alias("dist"), "more"))
+        moved = settled(at.join(ahead, ["to", "to_side"]).select("item", "side", F.col("next").alias("to"), F.col("next_side").alias("to_side"), (F.col("dist") + F.col("more")).alias("dist"), "more"))
         at = moved.drop("more")
         if moved.where("more > 0").isEmpty():
             break
@@ -86,7 +86,7 @@ def walks(nodes: DataFrame, bridges: DataFrame) -> DataFrame:
     back to itself, and what has lost its way to its seed is let go.  The claim of lowest rank never changes again, then that of the next, so
     the only state that stays is that of growing seed by seed; the rounds grow with the longest run of choices that hang on each other.
     """
-    own = kept(nodes.select("node", "rank", "seed", F.lit(0).alias("way"), F.lit(0).cast("long").alias("step"), F.lit(None).cast("string").alias("entered"), F.lit(None).cast("long").alias("entry_gap")))
+    own = settled(nodes.select("node", "rank", "seed", F.lit(0).alias("way"), F.lit(0).cast("long").alias("step"), F.lit(None).cast("string").alias("entered"), F.lit(None).cast("long").alias("entry_gap")))
     claims, before = own, None
     line = W.partitionBy("rank", "seed", "way").orderBy("step")
     rest = [c for c in own.columns if c not in ("node", *CLAIM)]
@@ -97,7 +97,7 @@ def walks(nodes: DataFrame, bridges: DataFrame) -> DataFrame:
         steps = won.where("step > 0").withColumn("k", F.row_number().over(line)).where("k = step").drop("k").join(seeds, ["rank", "seed"], "left_semi")
         whole = steps.unionByName(won.where("step = 0").select(steps.columns))
         lost = own.join(whole.select("node"), "node", "left_anti")
-        claims = kept(whole.select(own.columns).unionByName(lost))
+        claims = settled(whole.select(own.columns).unionByName(lost))
         now = claims.agg(F.sum(F.xxhash64(*own.columns).cast("decimal(38,0)"))).first()[0]
         if now == before:
             return claims
@@ -107,12 +107,12 @@ def walks(nodes: DataFrame, bridges: DataFrame) -> DataFrame:
 def grown(items: DataFrame, bridges: DataFrame) -> DataFrame:
     """scaffold, ordinal, item, direction, gap_before: greedy chains of items (item, rank) over bridges, without holding a component in a task."""
     known = items.select(F.col("item").alias("one"))
-    strong = kept(bridges.join(known, "one", "left_semi").join(known.withColumnRenamed("one", "other"), "other", "left_semi"))
-    links = kept(plain_links(strong))
-    placed = kept(pieces(items, links))
+    strong = settled(bridges.join(known, "one", "left_semi").join(known.withColumnRenamed("one", "other"), "other", "left_semi"))
+    links = settled(plain_links(strong))
+    placed = settled(pieces(items, links))
     nodes = items.join(placed, "item").groupBy("piece").agg(F.min(F.struct("rank", "item")).alias("m"), F.count("*").alias("size"))
-    nodes = kept(nodes.select(F.col("piece").alias("node"), F.col("m.rank").alias("rank"), F.col("m.item").alias("seed"), "size"))
-    at = walks(nodes.drop("size"), kept(contracted(strong, placed, links))).join(nodes.select("node", "size"), "node")
+    nodes = settled(nodes.select(F.col("piece").alias("node"), F.col("m.rank").alias("rank"), F.col("m.item").alias("seed"), "size"))
+    at = walks(nodes.drop("size"), settled(contracted(strong, placed, links))).join(nodes.select("node", "size"), "node")
 
     # nodes from left to right: those of the left way backwards, the seed, those of the right way
     line = W.partitionBy("seed").orderBy("order")
