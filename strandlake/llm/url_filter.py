@@ -23,7 +23,7 @@ the new ones (host, path, rule, verdict) are replaced.  An empty table gives no
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,19 +81,19 @@ class DigestArray:
     """Memory-mapped digests in rising order, and the texts and values that belong to them."""
 
     def __init__(self, names: list[str]) -> None:
-        root = SparkFiles.getRootDirectory()
-        home = os.path.join(root, f"{names[0]}.digests")
-        if not os.path.isdir(home):
-            self.lay_out(names, root, home)
-        self.keys = np.memmap(f"{home}/keys", np.int64, "r") if os.path.getsize(f"{home}/keys") else np.empty(0, np.int64)
-        self.ends = np.memmap(f"{home}/ends", np.int64, "r") if len(self.keys) else np.empty(0, np.int64)
-        self.data = np.memmap(f"{home}/data", np.uint8, "r") if len(self.keys) else np.empty(0, np.uint8)
+        base = os.path.join(os.path.abspath(SparkFiles.getRootDirectory()), names[0])
+        if not os.path.exists(f"{base}.keys"):
+            self.lay_out(names, base)
+        self.keys = np.memmap(f"{base}.keys", np.int64, "r") if os.path.getsize(f"{base}.keys") else np.empty(0, np.int64)
+        self.ends = np.memmap(f"{base}.ends", np.int64, "r") if len(self.keys) else np.empty(0, np.int64)
+        self.data = np.memmap(f"{base}.data", np.uint8, "r") if len(self.keys) else np.empty(0, np.uint8)
 
     @staticmethod
-    def lay_out(names: list[str], root: str, home: str) -> None:
-        """Write the flat files beside the executor's copies of the entries; the first worker to finish gives them their name."""
-        made, at = tempfile.mkdtemp(dir=root), 0
-        with open(f"{made}/keys", "wb") as keys, open(f"{made}/ends", "wb") as ends, open(f"{made}/data", "wb") as data:
+    def lay_out(names: list[str], base: str) -> None:
+        """Write the flat files beside the executor's copies of the entries.  Each takes its name when it is whole, the keys last; workers
+        that do so at once write the same bytes, so it doesn't matter whose file stays."""
+        own, at = f"{base}.{uuid.uuid4().hex}", 0
+        with open(f"{own}.keys", "wb") as keys, open(f"{own}.ends", "wb") as ends, open(f"{own}.data", "wb") as data:
             for name in names:
                 for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(8192):
                     keys.write(batch.column("key").to_numpy().tobytes())
@@ -102,12 +102,8 @@ class DigestArray:
                             data.write(x)
                             at += len(x)
                             ends.write(at.to_bytes(8, "little"))
-        try:
-            os.rename(made, home)
-        except OSError:  # another worker was first
-            for name in ("keys", "ends", "data"):
-                os.remove(f"{made}/{name}")
-            os.rmdir(made)
+        for kind in ("data", "ends", "keys"):
+            os.replace(f"{own}.{kind}", f"{base}.{kind}")
 
     def entry(self, at: int) -> tuple[bytes, bytes]:
         start = self.ends[2 * at - 1] if at else 0

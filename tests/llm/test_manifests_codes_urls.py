@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,3 +238,21 @@ def test_digests_are_those_of_spark(spark):
     for text in ("", "rexample.org/é"):
         mine = spark.sql("select xxhash64(:t)", args={"t": text}).first()[0]
         assert mine % (1 << 64) == xxhash.xxh64_intdigest(text.encode(), url_filter.SEED)
+
+
+def test_rules_are_laid_out_by_any_worker(tmp_path, monkeypatch):
+    def refused(*_):
+        raise OSError
+
+    texts = [b"hcom", b"rcom/fr/"]
+    keys = [xxhash.xxh64_intdigest(t, url_filter.SEED) for t in texts]
+    rows = sorted(zip(np.array(keys, np.uint64).view(np.int64).tolist(), (t.decode() for t in texts), ("4", "allow")))
+    pq.write_table(pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "value": [r[2] for r in rows]}), tmp_path / "part-0")
+    monkeypatch.setattr(url_filter.SparkFiles, "getRootDirectory", classmethod(lambda cls: str(tmp_path)))
+    monkeypatch.setattr(url_filter.SparkFiles, "get", classmethod(lambda cls, name: str(tmp_path / name)))
+    monkeypatch.setattr(url_filter.os, "rename", refused)
+    first = url_filter.DigestArray(["part-0"])
+    url_filter.DigestArray.lay_out(["part-0"], str(tmp_path / "part-0"))  # a second worker, at the same time
+    for array in (first, url_filter.DigestArray(["part-0"])):
+        assert array.values([*texts, b"hde"]) == [b"4", b"allow", None]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["part-0", "part-0.data", "part-0.ends", "part-0.keys"]
