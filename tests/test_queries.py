@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from strandlake.plans.model import needed, with_views
-from strandlake.plans.assembly import TABLES
+from strandlake.plans.assembly import TABLES, Assembly
 from strandlake.queries import CHAINS, ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -52,3 +52,10 @@ def test_views_come_in_order():
     order = needed("select * from a_place")
     assert order.index("a_read") < order.index("a_base") < order.index("a_map") < order.index("a_curmap")
     assert "materialized" in with_views("select * from a_cur", duck=True)
+
+
+def test_long_runs_of_other_letters(spark, tmp_path):
+    runs = [(1, "ab" + " -1_é" * 40_000 + "cd"), (2, "0123"), (3, None)]
+    spark.createDataFrame(runs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r["seq_id"], r["dna"]) for r in Assembly(spark, str(tmp_path)).dna.collect()) == [(1, "ACGT"), (2, "")]
+    assert "(\\W|_|0|" in with_views("select * from a_dna", duck=True)
