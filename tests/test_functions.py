@@ -497,3 +497,31 @@ def test_caf_comes_back(spark, tmp_path):
     assert {r["name"]: len(r["quality"]) for r in files.caf_sequences(blocks).collect()} == {"c1": 80, "r1": 3}
     (tmp_path / "v").write_text('Sequence : r1\nIs_read\nSeq_vec SVEC 1 20 "puc19"\nClone_vec CVEC 90 120\n')
     assert rows(files.caf_vectors(files.caf_blocks(spark, str(tmp_path / "v")))) == [("r1", "Clone_vec", 90, 120, ""), ("r1", "Seq_vec", 1, 20, "puc19")]
+
+
+PADDED = [(1, "ac-gt  nA*c"), (2, ""), (3, None), (4, " -*"), (5, "a"), (6, "zq"), (7, "-acgtacgtnnacgtxé𝒳-acgttttgcatgcaacg*")]
+
+
+def test_whole_sequences_are_read_where_they_lie(spark):
+    def quality(codes):
+        return codes * 7 % 41
+
+    whole = spark.createDataFrame(PADDED, "seq_id long, dna string")
+    bases = spark.createDataFrame([(i, k + 1, c, ord(c) * 7 % 41) for i, t in PADDED for k, c in enumerate(t or "")], "seq_id long, pos long, base string, q int")
+    for args in ((15, 15, 0), (2, 30, 12)):
+        assert rows(sequences.low_places(whole, quality, *args)) == rows(sequences.low_quality(bases, *args))
+        want = sequences.with_low_replaced(bases, sequences.low_quality(bases, *args), "?")
+        assert rows(sequences.low_replaced(whole, quality, "?", *args)) == rows(want)
+    assert rows(sequences.clips_of(whole, quality)) == rows(sequences.quality_clips(bases))
+    spelled, segments = sequences.without_positions(bases, bases.where("base in (' ', '-', '*')"))
+    found = sequences.unpadded(whole)
+    assert rows(found.select("seq_id", "dna", "kept")) == rows(spelled.select("seq_id", "dna", F.size("quality").alias("kept")))
+    assert rows(found.selectExpr("seq_id", "inline(segments)")) == rows(segments.select("seq_id", "x0", "x1", "y0", "y1"))
+
+
+def test_letters_and_sites_are_not_shuffled(spark):
+    whole = spark.createDataFrame([(1, "GAATTCGANTCGAATTC")], "seq_id long, dna string")
+    for df in (sequences.low_places(whole, lambda c: c % 41), sequences.low_replaced(whole, lambda c: c % 41, "n"), sequences.unpadded(whole), sequences.clips_of(whole, lambda c: c % 41),
+               sequences.digest(whole, {"EcoRI": "GAATTC"}), kmers.oligo_hits(whole, {"three": "GAATTC", "one": "ACGTACG"})):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Union" not in plan
