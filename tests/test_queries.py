@@ -6,6 +6,7 @@ import pytest
 from strandlake.plans.model import needed, with_views
 from strandlake.plans.assembly import TABLES, Assembly
 from strandlake.queries import CHAINS, ORACLES, QUERIES
+from strandlake.sources.exchange import with_quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +60,16 @@ def test_long_runs_of_other_letters(spark, tmp_path):
     spark.createDataFrame(runs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r["seq_id"], r["dna"]) for r in Assembly(spark, str(tmp_path)).dna.collect()) == [(1, "ACGT"), (2, "")]
     assert "(\\W|_|0|" in with_views("select * from a_dna", duck=True)
+
+
+@pytest.mark.parametrize("name", ["read_completeness", "chk_read_sequence", "single_read_contigs", "fn_padded_quality", "low_quality_reads"])
+def test_letters_travel_with_documents_only(spark, name):
+    plan = QUERIES[name](spark, DATA)._sc._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, DATA)._jdf.queryExecution(), "formatted")
+    moved = [block for block in plan.split("\n\n") if "Exchange\n" in block and ("dna#" in block or "quality#" in block)]
+    assert moved and all("hashpartitioning(__doc" in block or "BroadcastExchange" in block for block in moved)
+
+
+def test_letters_are_those_of_the_view(spark):
+    a = Assembly(spark, DATA)
+    mine = a.lettered(a.readinfo.select("read_id"), "read_id").select("read_id", "dna", "quality")
+    assert sorted(mine.collect()) == sorted(with_quality(a.readseq).select("read_id", "dna", "quality").collect())
