@@ -1,9 +1,15 @@
 """Work that must grow with the input: rows that joins make, calls of users' functions, passes over the tables."""
 
+import random
+
+import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from strandlake.functions import lineage, reads
+from strandlake.functions import consensus, lineage, reads
 from strandlake.plans.assembly import Assembly
+from strandlake.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +69,36 @@ def test_many_contigs_a_call(spark):
 def test_placements_read_the_reads_once(spark):
     plan = Assembly(spark, DATA).segment._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lineitem.parquet") + plan.count("l_orderkey#") > 0 and "Union" not in plan
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTNXé*"])
+def test_whole_contigs_are_called_like_rows(spark, letters):
+    rng = random.Random(7)
+    dna = {s: "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 7, 20, 33]))) for s in range(40)}
+    quality = lambda codes, at: (codes.astype(int) * 5 + at * 3) % 110 - 2
+    code = lambda text: np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    segments, maps = [], []
+    for s in dna:
+        for contig in {rng.randrange(6), rng.randrange(6)}:
+            way, x = rng.choice([1, -1]), rng.randrange(1, 30)
+            xs = [(x, x + 9), (x + 10 + rng.randrange(4), 0)]
+            xs[1] = (xs[1][0], xs[1][0] + 9)
+            ys = [(1, 10), (11, 20)] if way == 1 else [(11, 20), (1, 10)]
+            segments += [(contig, s, *a, *b, way) for a, b in zip(xs, ys)]
+            maps.append((contig, s, way, ["Unknown", "p", "t", None][s % 4], *([v[i] for v in side] for side in (xs, ys) for i in (0, 1))))
+    reads_ = [(s, t, [int(v) for v in quality(code(t), np.arange(1, len(t) + 1))], ["Unknown", "p", "t", None][s % 4]) for s, t in dna.items()]
+    piled = consensus.pileup(spark.createDataFrame(segments, "contig_id long, seq_id long, x0 long, x1 long, y0 long, y1 long, dir int"),
+                             spark.createDataFrame(reads_, "seq_id long, dna string, quality array<int>, chemistry string")).cache()
+    packed = consensus.packed_letters(spark.createDataFrame(list(dna.items()), "seq_id long, dna string"))
+    placed = spark.createDataFrame(maps, "contig_id long, seq_id long, dir int, chemistry string, x0 array<long>, x1 array<long>, y0 array<long>, y1 array<long>").join(packed, "seq_id").cache()
+    sums = piled.groupBy("contig_id", "base", "strand").agg(F.count("*").alias("n"), F.sum("q").alias("quality"), F.min("pos").alias("first_base"), F.max("pos").alias("last_base"))
+    assert sorted(consensus.pile_sums(placed, quality).collect()) == sorted(sums.collect())
+    for name in ("vote", "bayes"):
+        want = {r["contig_id"]: (r["dna"], r["quality"]) for r in consensus.assembled(consensus.called(piled, name)).collect()}
+        assert {r["contig_id"]: (r["dna"], r["quality"]) for r in consensus.consensus(placed, name, quality).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["pileup", "consensus_vote"])
+def test_no_row_a_position_is_shuffled(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "quality" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
