@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import consensus, lineage, reads
 from strandlake.plans.assembly import Assembly
 from strandlake.queries import QUERIES
+from strandlake.sources import exchange
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,3 +103,13 @@ def test_whole_contigs_are_called_like_rows(spark, letters):
 def test_no_row_a_position_is_shuffled(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "quality" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_blocks_of_reads_take_one_pass(spark):
+    contigs = spark.createDataFrame([("c", "AC", [1, 2]), ("d", None, None)], "name string, dna string, quality array<int>")
+    segments = spark.createDataFrame([("c", "r", 1, 2, 1, 2)], "name string, read string, cstart long, cfinish long, rstart long, rfinish long")
+    reads_ = spark.range(2).selectExpr("concat('r', id) as name", "'t' as template", "'Forward' as strand", "1 as si_low", "2 as si_high", "cast(null as int) as qleft", "3 as qright", "if(id = 0, 'ACG', null) as dna", "array(4, 5, 6) as quality")
+    out = exchange.caf(contigs, segments, reads_)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (0, 2") == 1
+    want = ["Sequence : c", "Sequence : d", "DNA : c", "BaseQuality : c", "Sequence : r0", "Sequence : r1", "DNA : r0", "BaseQuality : r0"]
+    assert sorted(r["block"].split("\n")[0] for r in out.collect()) == sorted(want)
