@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.functions import alignment, kmers
 
@@ -152,3 +153,41 @@ def test_segments_of_pairs_with_gaps(spark):
     dna = spark.createDataFrame([(1, base), (2, gapped)], "seq_id long, dna string")
     found = [tuple(r)[3:] for r in kmers.alignment_segments(kmers.index(dna, 11), 11, dna, least=20).orderBy("first_base").collect()]
     assert [f[0] for f in found] == [0, 2] and found[1][2] == 300 and 96 <= found[0][2] <= 101 and found[1][1] <= 106
+
+
+def test_ends_of_runs_stand_for_all_hits(spark):
+    rng = random.Random(6)
+    dna = ["ACACACAC" * 4, "GTGTGTGT" * 3 + "TT", "".join(rng.choice("ACGT") for _ in range(60)), "ACACA" * 5 + "NACACAC", "A" * 40]
+    dna += [dna[2][10:] + dna[0], "T" * 30, ""]
+    some = spark.createDataFrame(list(enumerate(dna)), "seq_id long, dna string")
+    strings, numbers = kmers.index(some, 5), kmers.places(some, 5)
+    want = {}
+    for a, b, way, shift, _ in plain_hits([tuple(r) for r in strings.collect()], 5):
+        want[a, b, way, shift] = want.get((a, b, way, shift), 0) + 1
+    for index in (strings, numbers):
+        assert {tuple(r)[:4]: r["n"] for r in kmers.offsets(index).collect()} == want
+    for few, block in ((0, 4096), (0, 5), (3, 7)):
+        ends = kmers.breaks(numbers, few, block)
+        assert {tuple(r)[:4]: r["n"] for r in ends.groupBy(*kmers.PAIR, "shift").agg(F.expr("sum(if(last, centre + 1, -centre)) as n")).collect()} == want
+    copies = spark.createDataFrame([(i, dna[2]) for i in range(2)], "seq_id long, dna string")
+    assert kmers.breaks(kmers.places(copies, 5)).where("dir = 1 and shift = 0").count() == 2  # of 56 hits
+
+
+def test_windows_of_pieces(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ACGTN" if n % 3 else "ACGT") for _ in range(n)) for n in (3, 11, 12, 50, 200, 131)] + ["N" * 20, "", "a\u00e9cgtacgtacgtaccgt"]
+    some = spark.createDataFrame([*enumerate(texts), (99, None)], "seq_id long, dna string")
+    plain = {}
+    for i, text in enumerate(texts):
+        for at in range(len(text) - 10):
+            plain.setdefault(i, []).append((text[at : at + 11].upper(), at + 6))
+    good = {i: [w for w in found if not set(w[0]) - set("ACGT")] for i, found in plain.items()}
+    want = sorted((i, len(g), min(g)[0], max(at for _, at in g), len(plain[i]) - len(g)) for i, g in good.items() if g)
+    number = lambda word: sum("ACGT".index(c) << 2 * p for p, c in enumerate(reversed(word)))
+    ends = sorted((number(w), i, at - 5) for i, g in good.items() for w, at in g if at + 5 <= 30 or at - 5 > len(texts[i]) - 30)
+    for piece in (kmers.PIECE, 13):
+        monkeypatch.setattr(kmers, "PIECE", piece)
+        held = [*kmers.read_pieces([(i, t.upper()) for i, t in enumerate(texts)], 11)]
+        assert sorted((w.ids[k], int(p), int(c)) for w in (kmers.windows_of(h, 11) for h in held) for k, p, c in zip(w.which, w.pos, w.code)) == sorted((i, at - 5, number(w)) for i, g in good.items() for w, at in g)
+    assert sorted(tuple(r) for r in kmers.summed(some, 11).collect()) == want
+    assert [tuple(r) for r in kmers.packed(some, 11, 30).collect()] == ends
