@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import consensus, lineage, reads
+from strandlake.functions import alignment, consensus, lineage, reads
 from strandlake.plans.assembly import Assembly
 from strandlake.queries import QUERIES
 from strandlake.sources import exchange
@@ -113,3 +113,13 @@ def test_blocks_of_reads_take_one_pass(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Range (0, 2") == 1
     want = ["Sequence : c", "Sequence : d", "DNA : c", "BaseQuality : c", "Sequence : r0", "Sequence : r1", "DNA : r0", "BaseQuality : r0"]
     assert sorted(r["block"].split("\n")[0] for r in out.collect()) == sorted(want)
+
+
+def test_steps_end_with_their_pairs(monkeypatch):
+    rng, rows = random.Random(3), []
+    dna = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (900, 30, 30, 30)]
+    next_row = alignment.Matrix.next
+    monkeypatch.setattr(alignment.Matrix, "next", lambda self, before, *how: rows.append(len(before)) or next_row(self, before, *how))
+    codes = [alignment.codes(x) for x in dna]
+    score, *_ = alignment.Matrix(codes, codes, [0] * 4, 4).best()
+    assert list(score) == [900, 30, 30, 30] and sum(rows) == 990
