@@ -11,12 +11,13 @@ times ``1 / number of different words`` for a word of a group.  The network embe
 hidden tanh layer follows, and each node of the tree has its own vector and constant, so context takes part in every
 factor down to the leaf.  The constants start at the counts of the whole corpus, which is the unigram model.
 
-The tasks take one of ``every`` windows of every document, by a hash of the text and the place, so what is learned
-from grows in proportion to the corpus.  The windows are dealt and sorted by that hash, and numpy takes one step of AdaGrad per
-``BATCH`` windows.  A share of the documents, with about ``block`` windows, comes first and trains one network.  Each part of the other
-windows, of ``block`` windows or of ten windows a leaf if that is more, trains a copy of it (parts and network both grow as the root of
-the corpus), and Spark mixes the copies: the change of each row of parameters is the mean over the parts, weighted by the squared
-gradients it has met there, so a word counts where it was seen.  Only words and one network reach the driver.
+Every window of every document is learned from (a caller may ask for one of ``every``, by a hash of the text and the place).  Whole
+documents are dealt and sorted by a hash of id and text, their windows are made in the task that learns them and shuffled there in
+runs of ``MIXED`` steps, and numpy takes one step of AdaGrad per ``BATCH`` windows, so only texts travel.  A share of the documents,
+with about ``block`` windows, comes first and trains one network.  Each part of the other documents, of ``block`` windows or of forty
+windows a leaf if that is more, trains a copy of it (parts and network both grow as the root of the corpus), and Spark mixes the
+copies: the change of each row of parameters is the mean over the parts, weighted by the squared gradients it has met there, so a word
+counts where it was seen.  Only words and one network reach the driver.
 
 A document's ``log_prob`` is the sum of its tokens' conditional log-probabilities; ``score`` is the mean.
 
@@ -45,6 +46,8 @@ from strandlake.llm.batches import BLANKS, cut, map_rows, table, utf8
 PLACES = (-2, -1, 1, 2)
 #: Windows of one step of training.
 BATCH = 1024
+#: Steps whose windows are shuffled among each other.
+MIXED = 64
 #: Heaviest nodes of the tree, whose values are computed for all windows at once.
 TOP = 256
 #: Bytes of a word from which on its digest stands for it.
@@ -154,8 +157,9 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(rows):
         return rows, values
     order = np.argsort(rows, kind="stable")
-    found, first = np.unique(rows[order], return_index=True)
-    return found, np.add.reduceat(values[order], first)
+    sorted_rows = rows[order]
+    first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+    return sorted_rows[first], np.add.reduceat(values.T[:, order], first, axis=1).T if values.ndim > 1 else np.add.reduceat(values[order], first)
 
 
 class Network:
@@ -255,58 +259,74 @@ def train(cell: np.ndarray, n: np.ndarray, inputs: int, outputs: int, width: int
 WINDOW = [*(f"w{k}" for k in range(len(PLACES))), "leaf"]
 
 
+def windows(words: Words, texts: list[bytes | None], every: int) -> np.ndarray:
+    """One of ``every`` windows of the texts: the leaves around, then the leaf."""
+    ids, place, sizes = words.tokens(texts)
+    hit = np.arange(len(ids))
+    if every > 1:
+        key = np.repeat(np.array([zlib.crc32(t or b"") for t in texts], np.uint64), sizes) << np.uint64(32) | place.astype(np.uint64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            key = (key ^ key >> np.uint64(shift)) * np.uint64(by)
+        key ^= key >> np.uint64(31)
+        hit = np.flatnonzero(key % np.uint64(every) == 0)
+    return np.concatenate((words.around(ids, place, sizes, hit), ids[hit, None]), 1)
+
+
+def found_in(words: Words, batches: Iterable[pa.RecordBatch], every: int, texts: int = 1024) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, texts):
+            yield windows(words, utf8(batch.column("text").slice(at, texts)), every)
+
+
 def windows_of(docs: DataFrame, sent, every: int) -> DataFrame:
-    """key and one of ``every`` windows (the leaves around, then the leaf); ``sent`` holds a pair whose first is the words."""
+    """The windows that ``learn`` learns from; ``sent`` holds a pair whose first is the words."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value[0]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                texts = utf8(batch.column("text").slice(at, 1024))
-                ids, place, sizes = words.tokens(texts)
-                key = np.repeat(np.array([zlib.crc32(t or b"") for t in texts], np.uint64), sizes) << np.uint64(32) | place.astype(np.uint64)
-                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    key = (key ^ key >> np.uint64(shift)) * np.uint64(by)
-                key ^= key >> np.uint64(31)
-                hit = np.flatnonzero(key % np.uint64(every) == 0)
-                columns = [key[hit].view(np.int64), *words.around(ids, place, sizes, hit).T, ids[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", *WINDOW])
-
-    return docs.select("text").mapInArrow(pick, ", ".join(["key long", *(f"{c} int" for c in WINDOW)]))
-
-
-def steps_of(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Windows in steps of ``BATCH``, the last one smaller."""
-    held = np.zeros((0, len(WINDOW)), np.int32)
-    for batch in batches:
-        held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in WINDOW], 1)])
-        whole = len(held) - len(held) % BATCH
-        for at in range(0, whole, BATCH):
-            yield held[at : at + BATCH]
-        held = held[whole:]
-    if len(held):
-        yield held
+        for found in found_in(sent.value[0], batches, every):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=WINDOW)
+
+    return docs.select("text").mapInArrow(pick, ", ".join(f"{c} int" for c in WINDOW))
+
+
+def steps_of(found: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Windows in steps of ``BATCH``, the last one smaller; those of ``MIXED`` steps are shuffled, alike in every run."""
+    rng, held, size = np.random.RandomState(7), [], BATCH * MIXED
+
+    def steps(run: np.ndarray) -> Iterator[np.ndarray]:
+        run = run[rng.permutation(len(run))]
+        yield from (run[at : at + BATCH] for at in range(0, len(run), BATCH))
+
+    for part in found:
+        held.append(part)
+        if sum(map(len, held)) >= size:
+            whole = np.concatenate(held)
+            for at in range(0, len(whole) - size + 1, size):
+                yield from steps(whole[at : at + size])
+            held = [whole[len(whole) - len(whole) % size :]]
+    if held and sum(map(len, held)):
+        yield from steps(np.concatenate(held))
 
 
 def learn(docs: DataFrame, words: Words, network: Network, every: int, block: int) -> Network:
-    """Train ``network`` on a share of the documents, then mix copies of it that are trained on parts of the other windows."""
+    """Train ``network`` on a share of the documents, then mix copies of it that are trained on parts of the others."""
     many = float(words.counts.sum()) / every
     shares = max(1, round(many / block))
     context = docs.sparkSession.sparkContext
-    first = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)) == 0
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("turn"))
+    first = F.pmod("turn", F.lit(shares)) == 0
     sent = context.broadcast((words, network))
-    network = mixed(windows_of(docs.where(first), sent, every).repartition(1), sent, network)
+    network = mixed(texts.where(first).repartition(1), sent, network, every)
     if shares > 1:
         sent = context.broadcast((words, network))
-        parts = max(1, round(many / max(block, 10 * len(network.begins))))
-        network = mixed(windows_of(docs.where(~first), sent, every).repartition(parts, "key"), sent, network)
+        parts = max(1, round(many / max(block, 40 * len(network.begins))))
+        network = mixed(texts.where(~first).repartition(parts, "turn"), sent, network, every)
     return network
 
 
-def mixed(found: DataFrame, sent, network: Network, piece: int = 1 << 14) -> Network:
-    """The mean of copies of ``network`` (the second of ``sent``), each trained on the windows of a partition."""
-    again = F.row_number().over(Window.partitionBy("key", *WINDOW).orderBy(F.lit(1)))  # so that copies of a text are not learned in a row
-    turn = found.withColumn("turn", F.xxhash64("key", again)).sortWithinPartitions("turn", *WINDOW).select(WINDOW)
+def mixed(texts: DataFrame, sent, network: Network, every: int, piece: int = 1 << 14) -> Network:
+    """The mean of copies of ``network`` (the second of ``sent``), each trained on the windows of a partition of ``texts`` (text, turn)."""
+    again = F.row_number().over(Window.partitionBy("turn").orderBy("text"))  # so that copies of a row are not learned one after the other
+    turn = texts.withColumn("again", F.xxhash64("turn", again)).sortWithinPartitions("again", "text").select("text")
     kinds, names = "which int, piece int, rows binary, met binary, change binary", ["which", "piece", "rows", "met", "change"]
 
     def packed(which: int, part: int, rows: np.ndarray, met: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
@@ -314,8 +334,8 @@ def mixed(found: DataFrame, sent, network: Network, piece: int = 1 << 14) -> Net
         return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (which, part)), *each], names=names)
 
     def train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, own = sent.value[1], None
-        for step in steps_of(batches):
+        (words, start), own = sent.value, None
+        for step in steps_of(found_in(words, batches, every)):
             own = own or start.copied()
             own.learn(step[:, :-1], step[:, -1])
         for which in range(len(start.params) if own else 0):
@@ -358,7 +378,7 @@ def mixed(found: DataFrame, sent, network: Network, piece: int = 1 << 14) -> Net
     return new
 
 
-def score(docs: DataFrame, vocabulary: int | None = None, width: int = 12, hidden: int = 16, every: int = 8, block: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int | None = None, width: int = 12, hidden: int = 16, every: int = 1, block: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, log_prob and score of every row of ``docs``."""
     words = learn_words(docs, vocabulary)
     network = Network(len(words.counts) + 1, words.counts, width, hidden)

@@ -408,6 +408,17 @@ def test_masked_lm_learns_from_more_of_more_documents(spark, docs):
     assert gathered(docs.union(docs)) == 2 * gathered(docs) > 0
 
 
+def test_masked_lm_learns_from_every_window(spark, docs, monkeypatch):
+    taken, learn = [], masked_lm.learn
+    monkeypatch.setattr(masked_lm, "learn", lambda rows, words, network, every, block: taken.append(
+        (masked_lm.windows_of(rows, spark.sparkContext.broadcast((words, None)), every).count(), words.counts.sum())) or learn(rows, words, network, every, block))
+    masked_lm.score(docs, 50, 3, 4)
+    assert taken[0][0] == taken[0][1] > 0
+    found = [np.arange(n * 5).reshape(n, 5) + k * 1_000_000 for k, n in enumerate((3, 70_000, 0, 140_001))]
+    steps = list(masked_lm.steps_of(found))
+    assert {len(s) for s in steps[:-1]} == {masked_lm.BATCH} and np.array_equal(np.sort(np.concatenate(steps), 0), np.sort(np.concatenate(found), 0))
+
+
 def test_misspelling_shares_subwords():
     s = subword.Settings("toxic", lower=True, buckets=1 << 12, epochs=20)
     rng = random.Random(1)
