@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import alignment, consensus, lineage, reads
+from strandlake.functions import alignment, consensus, lineage, mappings, reads
 from strandlake.plans.assembly import Assembly
 from strandlake.queries import QUERIES
 from strandlake.sources import exchange
@@ -123,3 +123,36 @@ def test_steps_end_with_their_pairs(monkeypatch):
     codes = [alignment.codes(x) for x in dna]
     score, *_ = alignment.Matrix(codes, codes, [0] * 4, 4).best()
     assert list(score) == [900, 30, 30, 30] and sum(rows) == 990
+
+
+def plan_of(frame) -> str:
+    return frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+
+
+def test_keys_of_an_anti_join_are_not_gathered(spark):
+    plan = QUERIES["chk_seq2read"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan and plan.count("Window [") <= 3
+    versions = Assembly(spark, DATA).version
+    assert versions.where("version = 1").count() == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_tax > 0.04").count() > 0
+
+
+@pytest.mark.parametrize("name", ["read_versions", "map_transform_string"])
+def test_letters_and_digests_meet_reads_by_document(spark, name):
+    plan = plan_of(QUERIES[name](spark, DATA))
+    moved = [block for block in plan.split("\n\n") if "Exchange\n" in block and "dna#" in block]
+    assert all("__doc" in block or "BroadcastExchange" in block for block in moved)
+    joins = [block for block in plan.split("\n\n") if "Join" in block.split("\n")[0] and "Left keys" in block and ("readname" in block or "seq_id" in block)]
+    assert len(joins) <= 1
+
+
+def test_versions_of_equal_and_new_sequences(spark):
+    given = spark.createDataFrame([("r", "h1", "q"), ("r", "h1", "q"), ("r", "h1", "p"), ("n", "x", "y"), (None, "h1", "q"), ("r", None, "q")], "readname string, seq_hash string, qual_hash string")
+    stored = spark.createDataFrame([("r", 0, "h0", "q"), ("r", 2, "h1", "q"), ("r", 1, "h1", "q"), (None, 4, "h1", "q"), ("r", 3, None, "q")], "readname string, version int, seq_hash string, qual_hash string")
+    found = sorted(map(str, map(tuple, reads.versions_matched(given, stored).collect())))
+    assert found == sorted(map(str, [("r", 1, False), ("r", 1, False), ("r", 4, True), ("n", 0, True), (None, 0, True), ("r", 4, True)]))
+
+
+def test_carried_stops_at_the_end_of_the_string(spark):
+    pieces = spark.createDataFrame([(9, 1, 11, 15, 1, 5, -1), (9, 1, 1, 6, 6, 11, -1), (8, 1, 5, 6, 9, 10, -1), (8, 1, 1, 3, 6, 8, 1)], "contig_id long, seq_id long, x0 long, x1 long, y0 long, y1 long, dir int")
+    found = {r["contig_id"]: r["carried"] for r in mappings.carried(pieces, spark.createDataFrame([(1, "AACCGTTA")], "seq_id long, dna string")).collect()}
+    assert found == {9: "TAA" + "-" * 4 + "CGGTT", 8: "TTA-"}
