@@ -1,5 +1,6 @@
 """Work that must grow with the input: rows that joins make, calls of users' functions, passes over the tables."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -156,3 +157,22 @@ def test_carried_stops_at_the_end_of_the_string(spark):
     pieces = spark.createDataFrame([(9, 1, 11, 15, 1, 5, -1), (9, 1, 1, 6, 6, 11, -1), (8, 1, 5, 6, 9, 10, -1), (8, 1, 1, 3, 6, 8, 1)], "contig_id long, seq_id long, x0 long, x1 long, y0 long, y1 long, dir int")
     found = {r["contig_id"]: r["carried"] for r in mappings.carried(pieces, spark.createDataFrame([(1, "AACCGTTA")], "seq_id long, dna string")).collect()}
     assert found == {9: "TAA" + "-" * 4 + "CGGTT", 8: "TTA-"}
+
+
+def test_imported_names_carry_no_letters(spark):
+    fasta = spark.createDataFrame([("old", "AC"), ("t.1", "ACGT"), ("t.1", "GG"), ("u", "A")], "name string, dna string")
+    known, templates = spark.createDataFrame([("old",), (None,)], "readname string"), spark.createDataFrame([("t", 40)], "name string, template_id long")
+    made = reads.imported_consensus(fasta, known, templates)
+    assert all("dna#" not in block for block in plan_of(made["reads"]).split("\n\n") if "Exchange" in block)
+    best = min((hashlib.md5(d.encode()).hexdigest(), d) for d in ("ACGT", "GG"))
+    assert sorted(map(tuple, made["reads"].select("readname", "template", "length", "seq_hash").collect()))[0] == ("t.1", "t", len(best[1]), best[0])
+    assert {r["readname"]: r["dna"] for r in made["sequence"].collect()} == {"t.1": best[1], "u": "A"}
+    assert [(r["template"], r["template_id"]) for r in made["template"].collect()] == [("u", 41)]
+
+
+def test_a_text_of_many_contigs_is_wrapped_once(spark, monkeypatch):
+    seen, write = [], exchange.write_wrapped
+    monkeypatch.setattr(exchange, "write_wrapped", lambda rows, path: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, path))
+    assert QUERIES["sink_fasta"](spark, DATA).count() > 0
+    above = seen[0].split("Join Inner")[0]
+    assert "regexp_replace" in seen[0] and "regexp_replace" not in above
