@@ -176,3 +176,8 @@ def test_a_text_of_many_contigs_is_wrapped_once(spark, monkeypatch):
     assert QUERIES["sink_fasta"](spark, DATA).count() > 0
     above = seen[0].split("Join Inner")[0]
     assert "regexp_replace" in seen[0] and "regexp_replace" not in above
+
+
+def test_placements_of_current_contigs_number_the_reads_once(spark):
+    plan = Assembly(spark, DATA).place._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
