@@ -53,3 +53,9 @@ def test_offsets_of_all_pairs(spark, folder):
     assert found[1, 3, 1, 0] == found[3, 7, 1, 0] == 105 and (2, 5, 1, 0) in found and (5, 7, 1, -20) in found and (15, 16, 1, 4) in found
     columns, theirs = duck(folder, "kmer_offsets")
     assert sorted(tuple(r) for r in QUERIES["kmer_offsets"](spark, folder).select(columns).collect()) == theirs
+
+
+def test_segments_of_all_pairs(spark, folder):
+    columns, theirs = duck(folder, "kmer_segments")
+    mine = sorted(tuple(r) for r in QUERIES["kmer_segments"](spark, folder).select(columns).collect())
+    assert mine == theirs and {(1, 3), (3, 7), (1, 2), (2, 3), (5, 7), (4, 6), (4, 7), (6, 7), (2, 5)} <= {r[:2] for r in mine}
