@@ -27,7 +27,7 @@ def test_digests_are_those_of_the_sequences(spark, tmp_path):
     assert sorted(tuple(map(str, r)) for r in files.caf_heads(blocks).collect()) == [("a", "read", "None", "Forward", "2"), ("a", "read", "None", "Forward", "4"), ("c", "contig", "2", "None", "12")]
 
 
-@pytest.mark.parametrize("name", ["sink_caf", "src_caf", "sink_fastq"])
+@pytest.mark.parametrize("name", ["sink_caf", "src_caf", "sink_fastq", "sink_maf"])
 def test_texts_are_formatted_once(spark, monkeypatch, name):
     """What is made of letters stands below the join of contigs with them."""
     seen, folder = [], exchange.shared_folder
